@@ -31,7 +31,9 @@ from scholia_spark.llm.textkit import batches, mix, tokenise
 
 _U = np.uint64
 END, START = _U(0xE0D0E0D0E0D0E0D1), _U(0x5747A27B5747A27B)
-CHUNK = 2_000_000
+#: Tokens counted at once, and characters scored at once: what a worker holds.
+CHUNK = 1_500_000
+SCORE_CHARS = 3_000_000
 HOT = 1 / 2000
 MAX_BUCKETS = 1 << 14
 
@@ -336,7 +338,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
                 held.append((None if pd.isna(i) else int(i), t))
                 size += len(t or "")
-                if size >= 6 * CHUNK:
+                if size >= SCORE_CHARS:
                     yield scored()
                     held, size = [], 0
         if held:
