@@ -75,6 +75,10 @@ class Index:
         order = np.argsort(keys, kind="stable")
         self.keys, self.which, self.at = keys[order], which[order], at[order]
 
+    def band(self, t: int) -> int:
+        """Words that an alignment may drift: less for short templates, whose matches may follow each other closely."""
+        return min(BAND, max(1, self.words[t].size // 4))
+
     def candidates(self, words: np.ndarray) -> list[tuple[int, int]]:
         """(template, offset of its first word in the text), one for each cluster of offsets within the band."""
         grams = ngram_hashes(words, K)
@@ -87,7 +91,7 @@ class Index:
         found = sorted({(int(self.which[k]), int(places[i]) - int(self.at[k])) for i in hit for k in range(low[i], high[i])})
         out: list[tuple[int, int]] = []
         for t, shift in found:
-            if not (out and out[-1][0] == t and shift - out[-1][1] <= BAND):
+            if not (out and out[-1][0] == t and shift - out[-1][1] <= self.band(t)):
                 out.append((t, shift))
         return out
 
@@ -131,7 +135,7 @@ def scan_text(text: str | None, index: Index, coverage: float = COVERAGE) -> lis
     words, starts, ends = words_of(text)
     found = []
     for t, shift in index.candidates(words):
-        matched, first, last = align(index.words[t], words, shift)
+        matched, first, last = align(index.words[t], words, shift, index.band(t))
         share = matched / index.words[t].size
         if matched and share >= coverage:
             found.append((-matched, index.names[t], share, first, last))
