@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from scholia_spark.plans import activity, gates, ingest, retrieval, text  # noqa: F401
+from scholia_spark.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "q5_hybrid_search"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
