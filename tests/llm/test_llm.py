@@ -241,7 +241,9 @@ def test_sharding(spark, texts):
     assert all(rows.loc[i, "text_crc32"] == zlib.crc32((t or "").encode()) for i, t in enumerate(every))
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in rows.groupby("shard")) and rows.shard.between(0, 23).all()
     texts_of = rows.assign(t=[every[i] for i in rows.index])
-    assert all(g.shard.nunique() == 1 for t, g in texts_of[texts_of.t != "hot"].groupby("t"))
+    limit = sum(size) / 24 / 8  # larger groups are dealt in pieces
+    together = [g.shard.nunique() for _, g in texts_of.groupby("t") if g["size"].sum() <= limit]
+    assert len(together) > 40 and set(together) == {1}
     assert sharding.assign_shards(documents(spark, []), 24).count() == 0
     even = sharding.assign_shards(documents(spark, [f"text {i}" for i in range(3000)]), 24).groupBy("shard").agg(F.sum("size").alias("b")).toPandas()
     assert len(even) == 24 and even.b.max() / even.b.mean() < 1.03
