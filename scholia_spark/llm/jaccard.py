@@ -37,7 +37,7 @@ from scholia_spark.llm.textkit import batches, mix, ngram_hashes, tokenise
 _U = np.uint64
 #: Most frequent shingles kept for the global order (bounds a broadcast of 3.2 MB), and the chunk of shingles counted at once.
 HEAVY = 200_000
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Rows of a block in a pass over pairs, and sets of a trie.
 BLOCK = 1024
 TRIE_SETS = 64
@@ -193,7 +193,7 @@ def _read_sets(docs: DataFrame, n: int) -> DataFrame:
 
         def frequent():
             tokens, counts = np.unique(np.concatenate(pending), return_counts=True)
-            at = counts >= 4
+            at = counts >= 3
             return pd.DataFrame({"kind": np.ones(at.sum(), np.int32), "a": tokens[at].view(np.int64), "b": counts[at], "c": 0, "d": 0})
 
         for pdf in it:
