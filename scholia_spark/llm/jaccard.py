@@ -321,9 +321,10 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     prefixes = _prefixes(nodes, n, num, den, order)
     prefixes = shared.keep(shared.keep_only(prefixes, only, "doc", only.count()), "jaccard-prefixes")
     band = F.floor(F.log("n") / F.lit(float(np.log(den / num)) if num < den else 1.0)).alias("band")
-    dealt = prefixes.select("doc", "n", F.explode("prefix").alias("token"))
+    dealt = prefixes.select("doc", F.explode("prefix").alias("token"))  # two columns: these rows are shuffled
     common = dealt.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    dealt = shared.keep(dealt.join(common, "token").withColumn("band", band), "jaccard-dealt")
+    dealt = dealt.join(common, "token").join(prefixes.select("doc", "n"), "doc")  # far fewer rows by now
+    dealt = shared.keep(dealt.withColumn("band", band), "jaccard-dealt")
 
     bits = prefixes.select("doc", "n", "bits")
 
