@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from scholia_spark.llm import shared
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 
 
 def byte_symbols() -> list[str]:
