@@ -8,7 +8,6 @@ from scholia_spark.functions import text as T
 from scholia_spark.functions import unicode as U
 from scholia_spark.operators import gates as G
 from scholia_spark.plans.base import query, table
-from scholia_spark.session import ship_package
 
 
 @query("""WITH x AS (SELECT doc_id AS id, (doc_id % 100)::VARCHAR || '.5 and ' || (doc_id % 17 + 1) || ' of ' || (doc_id % 9 + 2) || ' in ' || 3 * doc_id AS draft, (doc_id % 100)::VARCHAR || '.52 ' || (doc_id % 13 + 1) || ' ' || (doc_id % 9 + 2) AS src FROM documents),
@@ -106,14 +105,12 @@ def j12_stale_chunks(spark, d):
 
 @query("SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g')) AS q FROM documents")
 def x2_nfc(spark, d):
-    ship_package(spark)
     return table(spark, d, "documents").select("doc_id", U.nfc_query("text").alias("q"))
 
 
 @query()
 def x3_casefold_n3_forms(spark, d):
     """X3, N3."""
-    ship_package(spark)
     docs = table(spark, d, "documents")
     return docs.select("doc_id", U.saved_query("text").alias("q"), F.explode(T.evidence_numbers(F.col("text"))).alias("number")).select("doc_id", "q", "number", U.number_forms("number").alias("forms"))
 
