@@ -65,3 +65,64 @@ def chunk_id(paper_id: Column, ordinal: Column) -> Column:
 def dedupe_key(*parts: Column) -> Column:
     """X22."""
     return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+#: Tiers of the first source that do not name it.
+ARXIV_TIERS = ("native_html", "ar5iv", "eprint_latex", "pdf")
+
+
+def tier_priority(tier: Column) -> Column:
+    """Rank of the source that a stored tier names (smaller is better)."""
+    up = F.upper(tier)
+    return F.when(F.contains(up, F.lit("ARXIV")) | tier.isin(*ARXIV_TIERS), 0).when(F.contains(up, F.lit("SEMANTIC_SCHOLAR")), 1).otherwise(2)
+
+
+def namespace(paper_id: Column) -> Column:
+    """Namespace of an id outside the corpus, else null."""
+    prefix = F.when(F.contains(paper_id, F.lit(":")), F.split_part(paper_id, F.lit(":"), F.lit(1)))
+    return F.when(prefix.isin("arxiv", "doi", "userdoc", "attachment"), prefix)
+
+
+def live_key(arxiv: Column, doi: Column) -> Column:
+    """The arXiv id (also one inside its own DOI prefix), else the DOI."""
+    low = F.lower(F.trim(F.coalesce(doi, F.lit(""))))
+    found = F.coalesce(F.nullif(F.trim(arxiv), F.lit("")), F.when(low.startswith("10.48550/arxiv."), F.substring(low, 16, 1000)))
+    return F.when(found.isNotNull(), F.concat(F.lit("arxiv:"), F.regexp_replace(found, r"v\d+$", ""))).otherwise(F.concat(F.lit("doi:"), F.lower(F.coalesce(doi, F.lit("")))))
+
+
+def record_ref(ref: Column) -> Column:
+    """Struct (paper, version) of at most 100 characters, else null."""
+    whole = r"(?i)^(?:arxiv:)?(.+?)(?:v(\d+))?$"
+    paper = F.regexp_extract(ref, whole, 1)
+    return F.when((F.length(ref) <= 100) & (paper != ""), F.struct(paper.alias("paper"), F.nullif(F.regexp_extract(ref, whole, 2), F.lit("")).cast("int").alias("version")))
+
+
+def versioned_arxiv(paper_id: Column) -> Column:
+    """The arXiv id with its version (1 where it has none), else null."""
+    bare = F.trim(paper_id)
+    ref = record_ref(bare)
+    ok = F.regexp_like(bare, F.lit(r"(?i)^(?:arxiv:)?(?:[a-z-]+(?:\.[A-Z]{2})?/\d{7}|\d{4}\.\d{4,5})(?:v\d+)?$"))
+    return F.when(ok, F.concat(ref["paper"], F.lit("v"), F.coalesce(ref["version"], F.lit(1)).cast("string")))
+
+
+def graph_paper_id(paper_id: Column) -> Column:
+    """The form a citation graph looks papers up by."""
+    v = F.trim(paper_id)
+    prefix, rest = F.upper(F.regexp_extract(v, "^([^:]*):", 1)), F.regexp_extract(v, "^[^:]*:(.*)$", 1)
+    bare = lambda c: F.regexp_replace(c, r"(?i)v\d+$", "")
+    return (
+        F.when(prefix == "ARXIV", F.concat(F.lit("ARXIV:"), bare(rest)))
+        .when(prefix.isin("DOI", "PMID", "PMCID", "MAG", "ACL", "CORPUSID", "URL"), F.concat(prefix, F.lit(":"), rest))
+        .when(F.regexp_like(v, F.lit(r"(?i)^(?:[a-z-]+(?:\.[A-Z]{2})?/\d{7}|\d{4}\.\d{4,5})(?:v\d+)?$")), F.concat(F.lit("ARXIV:"), bare(v)))
+        .when(F.regexp_like(v, F.lit(r"(?i)^10\.\d{4,9}/\S+$")), F.concat(F.lit("DOI:"), v))
+        .when(F.regexp_like(v, F.lit("^https?://")), F.concat(F.lit("URL:"), v)).otherwise(v)
+    )
+
+
+def cache_key(request: Column, glossary_ver: Column, user_id: Column, model_ver: str, prompt_ver: str, format_ver: str, seed_ver: str, parser: str) -> Column:
+    """Parts of a cache key. ``request``: paper_id, version, task, lang, scope, persona. Summaries cover the whole paper; translations have no persona; the owner counts only with a glossary."""
+    summary = request["task"] == "summary"
+    return F.concat_ws(
+        "/", request["paper_id"], request["version"].cast("string"), request["task"], request["lang"], F.when(summary, "full").otherwise(request["scope"]), F.when(summary, request["persona"]).otherwise("expert"),
+        glossary_ver.cast("string"), F.when(glossary_ver > 0, user_id).otherwise("-"), F.lit(model_ver), F.when(summary, prompt_ver).otherwise(f"{prompt_ver}-{format_ver}"), F.lit(seed_ver), F.lit(parser.rpartition("@")[2]),
+    )
