@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholia_spark.plans import activity, docmodel, gates, ingest, records, refine, retrieval, serving, text  # noqa: F401
+from scholia_spark.plans import activity, docmodel, gates, ingest, records, refine, repair, retrieval, serving, text  # noqa: F401
 from scholia_spark.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "q5_hybrid_search"
