@@ -113,10 +113,11 @@ def parsed_year(paper_id: Column, published: Column, updated: Column) -> Column:
 def heading_sections(text: Column) -> Column:
     """Array of (section, body): titles in lower case, text before the first heading goes; without headings one ``body``."""
     body = F.coalesce(text, F.lit(""))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     parts = F.split(body, r"(?m)(?=^[A-Z][A-Za-z0-9 ,.()/_:-]{2,80}$)")
     headed = F.filter(parts, lambda p: F.regexp_like(p, F.lit(r"^[A-Z][A-Za-z0-9 ,.()/_:-]{2,80}(?:\n|$)")))
-    pairs = F.transform(headed, lambda p: F.struct(F.lower(F.trim(F.split_part(p, F.lit("\n"), F.lit(1)))).alias("section"), F.trim(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("body")))
-    return F.when(F.size(headed) > 0, pairs).otherwise(F.array(F.struct(F.lit("body").alias("section"), F.trim(body).alias("body"))))
+    pairs = F.transform(headed, lambda p: F.struct(F.lower(F.trim(F.split_part(p, F.lit("\n"), F.lit(1)))).alias("section"), strip(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("body")))
+    return F.when(F.size(headed) > 0, pairs).otherwise(F.array(F.struct(F.lit("body").alias("section"), strip(body).alias("body"))))
 
 
 def assemble_records(chunks: DataFrame, papers: DataFrame) -> DataFrame:
