@@ -144,3 +144,22 @@ def queue_tally(records: DataFrame, reason: Column, updated: Column, since: Colu
     """Records of the window that are admitted, and the count of each reason among the others."""
     due = records.where((updated > since) & (updated <= until)).withColumn("reason", reason)
     return due.where("reason IS NULL").drop("reason"), due.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def reset_watermark(stored: DataFrame, source: str, value: Column) -> DataFrame:
+    """T4: a rebuild puts a source's watermark anywhere, also back."""
+    return stored.withColumn("ts", F.when(F.col("source") == source, value).otherwise(F.col("ts")))
+
+
+def schema_readable(stored: Column, current: str) -> Column:
+    """the same major version, and no newer minor and patch; other strings are refused."""
+    part = lambda i: F.try_element_at(F.split(stored, r"\."), F.lit(i)).try_cast("int")
+    major, minor, patch = map(int, current.split("."))
+    older = (part(2) < minor) | ((part(2) == minor) & (part(3) <= patch))
+    return F.coalesce((F.size(F.split(stored, r"\.")) == 3) & (part(1) == major) & older, F.lit(False))
+
+
+def reembed(rows: DataFrame, done: DataFrame, embed) -> DataFrame:
+    """SNK5: rows that ``done`` lacks, with the vector of their text; ``embed`` is a Column function such as an Arrow UDF. A rerun after a loss goes on where it stopped."""
+    text = embed_text(F.col("section"), F.col("abstract"), F.col("lexical_terms"), F.col("title"))
+    return rows.join(done.select("chunk_id").distinct(), "chunk_id", "left_anti").withColumn("vector", embed(text))

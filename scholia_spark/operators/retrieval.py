@@ -37,15 +37,16 @@ def term_overlap(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataF
     return top(collapse(hits), ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Q2: BM25 over one field; statistics over all chunks, postings of query terms only."""
+def bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, k1: float = 1.2, b: float = 0.75, keep: Column | None = None) -> DataFrame:
+    """BM25 over one field; statistics over all chunks, postings of query terms only. ``keep`` limits what is found, not what is counted."""
+    chunks = chunks.withColumn("_keep", F.lit(True) if keep is None else F.coalesce(keep, F.lit(False)))
     q = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     stats = chunks.agg(F.count("*").alias("docs"), F.avg(F.size("tokens")).alias("mean"))
     wanted = q.select("term").distinct()
-    tf = chunks.select("chunk_id", "paper_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    tf = tf.groupBy("term", "chunk_id", "paper_id", "len").agg(F.count("*").alias("tf"))
+    tf = chunks.select("chunk_id", "paper_id", "_keep", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    tf = tf.groupBy("term", "chunk_id", "paper_id", "_keep", "len").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(df, "term").join(q, "term").crossJoin(F.broadcast(stats))  # one row of statistics
+    scored = tf.where("_keep").join(df, "term").join(q, "term").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     hits = scored.groupBy("query_id", "paper_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
@@ -136,3 +137,9 @@ def recall_at(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """Q19, A10: share of each query's relevant papers among its first k."""
     hit = relevant.join(ranked.where(F.col("rank") <= k).select("query_id", "paper_id", F.lit(1).alias("hit")), ["query_id", "paper_id"], "left")
     return hit.groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall"))
+
+
+def rerank_by_terms(pairs: DataFrame) -> DataFrame:
+    """Pairs (query_id, paper_id, query, text): distinct words of the query that the text holds."""
+    words = lambda c: F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"\s+"), ""))
+    return pairs.select("query_id", "paper_id", F.size(F.array_intersect(words("query"), words("text"))).cast("double").alias("score"))

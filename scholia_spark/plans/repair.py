@@ -103,3 +103,27 @@ def src18_latest_versions(spark, d):
 def t6_rejections(spark, d):
     reason = F.when(F.col("lang") != "en", "off_field").when(F.col("doc_id") % 3 == 0, "no_venue")
     return P.queue_tally(table(spark, d, "documents"), reason, F.col("doc_id"), F.lit(10), F.lit(150))[1]
+
+
+@query("SELECT doc_id, doc_id % 6 IN (0, 1) AS readable FROM documents")
+def f20_readable_schemas(spark, d):
+    return table(spark, d, "documents").select("doc_id", P.schema_readable(_pick_version(F.col("doc_id")), "1.2.0").alias("readable"))
+
+
+def _pick_version(i):
+    return F.element_at(_arr("1.2.0", "1.0.9", "1.2.1", "2.0.0", "1.x.0", "1.2"), (i % 6 + 1).cast("int"))
+
+
+@query("SELECT user_id AS source, CASE WHEN user_id = 7 THEN TIMESTAMP '2000-01-01' ELSE max(ts) END AS ts FROM events GROUP BY user_id")
+def t4_watermark_reset(spark, d):
+    stored = table(spark, d, "events").groupBy(F.col("user_id").alias("source")).agg(F.max("ts").alias("ts"))
+    return P.reset_watermark(stored, 7, F.lit("2000-01-01").cast("timestamp_ntz"))
+
+
+@query("""SELECT doc_id AS chunk_id, length(CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END)::DOUBLE AS vector FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""")
+def snk5_reembed(spark, d):
+    """SNK5, U3; the length of the text stands for a model's vector."""
+    i = F.col("doc_id")
+    rows = table(spark, d, "documents").select(i.alias("chunk_id"), F.lit("body").alias("section"), F.col("lang").alias("abstract"), F.when(i % 2 == 0, F.col("source")).alias("lexical_terms"), F.lit("t").alias("title"))
+    done = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"))
+    return P.reembed(rows, done, lambda t: F.length(t).cast("double")).select("chunk_id", "vector")

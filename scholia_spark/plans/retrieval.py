@@ -132,3 +132,16 @@ def q19_recall_at_10(spark, d):
     words = table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.col("text").alias("body"), F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w"))
     rel = words.join(items.withColumn("w", first), "w").where(F.contains("body", "text")).select("query_id", "paper_id").distinct()
     return R.recall_at(R.term_overlap(_queries(spark, d), _chunks(spark, d)), rel, 10)
+
+
+@query(f"""WITH {_BM25} SELECT * FROM (SELECT query_id, paper_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM h WHERE 2010 + paper_id % 15 BETWEEN 2013 AND 2020) WHERE rank <= 150""")
+def f10_bm25_of_years(spark, d):
+    """the bounds leave the scores as they are over all chunks."""
+    return R.bm25(_queries(spark, d), _chunks(spark, d), keep=(2010 + F.col("paper_id") % 15).between(2013, 2020))
+
+
+@query("""SELECT doc_id AS paper_id, doc_id % 40 AS query_id, (CASE WHEN list_contains(w, 'the') THEN 1 ELSE 0 END + CASE WHEN list_contains(w, lang) THEN 1 ELSE 0 END)::DOUBLE AS score FROM (SELECT *, string_split_regex(lower(coalesce(text, '')), '\\s+') AS w FROM documents)""")
+def q7b_term_rerank(spark, d):
+    """Q7b."""
+    docs = table(spark, d, "documents")
+    return R.rerank_by_terms(docs.select((F.col("doc_id") % 40).alias("query_id"), F.col("doc_id").alias("paper_id"), F.concat(F.lit("The the "), F.col("lang")).alias("query"), "text"))
