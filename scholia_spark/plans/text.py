@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scholia_spark.functions import ids, text
+from scholia_spark.functions import ids, tex, text
 from scholia_spark.plans.base import query, table
 
 
@@ -110,3 +110,10 @@ def src19_inverted_abstract(spark, d):
     words = table(spark, d, "documents").select("doc_id", F.posexplode(F.array_remove(F.split("text", r"\s+"), "")).alias("p", "w"))
     index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("index"))
     return index.select("doc_id", text.inverted_text(F.col("index")).alias("abstract"))
+
+
+@query("""SELECT doc_id, '\\mathbb{R}' AS r, '\\operatorname*{arg' || doc_id || '}' AS op, '\\frac{#1}{#2}' AS f, 3::BIGINT AS n FROM documents""")
+def x36_macros(spark, d):
+    source = F.concat(F.lit("\\newcommand{\\R}{\\mathbb{R}} % \\newcommand{\\no}{x}\n\\DeclareMathOperator*{\\op}{arg"), F.col("doc_id").cast("string"), F.lit("}\\def\\f#1#2{\\frac{#1}{#2}}\\newcommand\\bad{\\href{u}{x}}\\newcommand{\\open}{"))
+    found = table(spark, d, "documents").select("doc_id", tex.macros(source).alias("m"))
+    return found.select("doc_id", *[F.col("m")[k].alias(n) for k, n in (("\\R", "r"), ("\\op", "op"), ("\\f", "f"))], F.size("m").cast("long").alias("n"))

@@ -82,3 +82,11 @@ def test_job_routes(spark):
     body = ['{"kind":"new","paper_id":"p","version":1}', '{"kind":"odd","paper_id":"p"}', "junk", '{"kind":"tick"}', '{"kind":"new","paper_id":"p","not_before":"2999-01-01T00:00:00Z"}', None]
     df = spark.createDataFrame(list(enumerate(body)), "message_id long, body string")
     assert [r["route"] for r in jobs.parse_jobs(df).orderBy("message_id").collect()] == ["ok", "dlq", "dlq", "ok", "retry", "dlq"]
+
+
+def test_telemetry_sink_replays(spark, sf_dir, tmp_path):
+    src = tmp_path / "in"
+    spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).limit(50).write.parquet(str(src))
+    for n in range(2):  # the second run has a new checkpoint, so it replays the batch
+        jobs.telemetry_sink(jobs.event_stream(spark, str(src)), str(tmp_path / "out"), str(tmp_path / f"c{n}")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 50
