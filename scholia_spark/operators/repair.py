@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia_spark.operators.records import cell_numbers
-from scholia_spark.operators.retrieval import rank_by
 
 #: Shortest caption and shortest agreement that identify a table, in letters and digits.
 MIN_AGREEMENT = 30
@@ -82,7 +83,7 @@ def audit_violations(least: float = 0.5) -> Column:
 def band_quota(ranked: DataFrame, buckets: list[tuple[str, int]], frontier: int, recent: int, shares: tuple[float, float]) -> DataFrame:
     """Ranked (id, year, score, buckets) fill the buckets in turn; each takes its newest bands by share, then the rest, and leaves what an earlier bucket took.
 
-    The loop runs over the few buckets, not over rows; each turn is a top-k by band.
+    The loop runs over the few buckets, not over rows; each band is a top-k, ranked in every task before a bounded number of rows meets.
     """
     band = F.when(F.col("year") >= frontier, 0).when(F.col("year") >= recent, 1).otherwise(2)
     chosen = None
@@ -90,9 +91,10 @@ def band_quota(ranked: DataFrame, buckets: list[tuple[str, int]], frontier: int,
         pool = ranked.where(F.array_contains("buckets", name)).select("id", "year", "score", band.alias("band"))
         if chosen is not None:
             pool = pool.join(chosen.select("id"), "id", "left_anti")
-        cap = F.when(F.col("band") == 0, int(target * shares[0])).when(F.col("band") == 1, int(target * shares[1])).otherwise(target)
-        kept = rank_by(pool, ["band"], [F.desc("score"), F.col("id")], "_n").where(F.col("_n") <= cap)
-        first = kept.orderBy("band", "_n").limit(target).select("id", F.lit(name).alias("bucket"))
+        order = [F.desc("score"), F.col("id")]
+        caps = enumerate((int(target * shares[0]), int(target * shares[1]), target))
+        kept = functools.reduce(DataFrame.unionByName, [pool.where(F.col("band") == k).orderBy(*order).limit(cap) for k, cap in caps])
+        first = kept.orderBy("band", *order).limit(target).select("id", F.lit(name).alias("bucket"))
         chosen = first if chosen is None else chosen.unionByName(first)
     return chosen
 
