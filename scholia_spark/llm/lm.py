@@ -1,4 +1,4 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark, stored as sorted hash arrays.
+"""LM scoring: an interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark, stored as sorted hash arrays.
 
 Counting maps chunks of tokens to sorted counts, dealt by hash bucket and merged one bucket a task. Bigrams of a context
 share a bucket, except those of contexts with more than a ``HOT`` share of all tokens (at most 1 / HOT of them), which are
@@ -10,12 +10,18 @@ p(w | v) = max(c(vw) - D, 0) / c(v) + g(v) * p(w), with p(w) from continuation c
 probabilities of all words and the unknown word sum to 1. Each D comes from counts of counts (Chen and Goodman). Tokens are
 hashes of 64 bits; a bigram key keeps 14 bits of its bucket, 16 of the context and 34 of the pair.
 
+At order 3, p(w | uv) is of the same form over p(w | v). Trigrams are dealt by v (by u as well where v is hot), so a task sees
+each context uv whole and adds up how many words precede vw; these continuation counts stand for c(vw) below, but for the
+first word of a text, which nothing precedes: it is scored at order 2 with its count. A context seen once is known by its
+bigram; the others have rows of their own. A trigram key keeps 14 bits of its bucket, 8 of v, 8 of uv and 34 of the trigram.
+
 Defined cases: null texts are empty and consist of the end token; without training rows every probability is 1 / (V + 1);
 repeated rows count and are scored each time; a null id hashes as the empty text; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -71,6 +77,11 @@ def pair_keys(context: np.ndarray, words: np.ndarray, hot: np.ndarray, n: int) -
     return (bucket << _U(50)) | ((c >> _U(48)) << _U(34)) | (pair >> _U(30))
 
 
+def triple_keys(pairs: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """``pairs``: pair_keys of the middle word and the first."""
+    return (pairs >> _U(42) << _U(42)) | ((pairs & _U(0xFF)) << _U(34)) | (mix(pairs * _U(0x9DDFEA08EB382D69) + words) >> _U(30))
+
+
 def _cuts(buckets: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(buckets, np.arange(n + 1))
 
@@ -121,17 +132,41 @@ def _merge_words(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "words": [distinct.size], "tokens": [int(total.sum())], "c0": [distinct.tobytes()], "c1": [total.tobytes()]})
 
 
+def _runs(b: np.ndarray, n: int, values: np.ndarray) -> pd.DataFrame:
+    """Runs of equal ``values`` within each bucket: the values and the lengths."""
+    at = np.flatnonzero(np.append(True, (values[1:] != values[:-1]) | (b[1:] != b[:-1])))
+    return _packed(b[at], n, values[at], np.diff(np.append(at, b.size)).astype(np.uint32))
+
+
+def _packed_pairs(keys: np.ndarray, n: int, context: np.ndarray, words: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+    b = (keys >> _U(50)).astype(np.int64)
+    runs = _runs(b, n, context)
+    return _packed(b, n, words, counts.astype(np.uint32)).assign(c2=runs["c0"], c3=runs["c1"])
+
+
 def _count_pairs(n: int, hot: np.ndarray):
     def run(it):
         for tokens, before in _chunks(it):
             keys, first, counts = np.unique(pair_keys(before, tokens, hot, n), return_index=True, return_counts=True)
-            context = before[first]
-            run_at = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | ((keys[1:] >> _U(50)) != (keys[:-1] >> _U(50)))))
-            lengths = np.diff(np.append(run_at, keys.size)).astype(np.uint32)
+            yield _packed_pairs(keys, n, before[first], tokens[first], counts)
+
+    return run
+
+
+def two_before(before: np.ndarray) -> np.ndarray:
+    """The context's own context; that of a text's first word is START, too."""
+    out = np.append(START, before[:-1]) if before.size else before
+    return np.where(before == START, START, out)
+
+
+def _count_triples(n: int, hot: np.ndarray):
+    def run(it):
+        for tokens, before in _chunks(it):
+            first = two_before(before)
+            keys, at, counts = np.unique(triple_keys(pair_keys(before, first, hot, n), tokens), return_index=True, return_counts=True)
             b = (keys >> _U(50)).astype(np.int64)
-            pairs = _packed(b, n, tokens[first], counts.astype(np.uint32))
-            runs = _packed(b[run_at], n, context[run_at], lengths)
-            yield pairs.assign(c2=runs["c0"], c3=runs["c1"])
+            u, v = _runs(b, n, first[at]), _runs(b, n, before[at])
+            yield _packed(b, n, tokens[at], counts.astype(np.uint32)).assign(c2=u["c0"], c3=u["c1"], c4=v["c0"], c5=v["c1"])
 
     return run
 
@@ -143,6 +178,42 @@ def _write(path: str, array: np.ndarray) -> None:
     os.replace(part, path)
 
 
+def _write_counts(folder: str, names: str, bucket: int, keys: np.ndarray, total: np.ndarray) -> pd.DataFrame:
+    """Writes sorted keys and their counts; returns the counts of counts."""
+    _write(f"{folder}/{names}k{bucket}.npy", keys)
+    big = np.flatnonzero(total >= 255)
+    _write(f"{folder}/{names}n{bucket}.npy", np.minimum(total, 255).astype(np.uint8))
+    _write(f"{folder}/{names}o{bucket}.npy", np.stack([big, total[big]]))
+    return pd.DataFrame({"bucket": [-1], "c0": [np.array([(total == k).sum() for k in (1, 2, 3, 4)]).tobytes()]})
+
+
+def _merge_triples(folder: str, n: int, hot: np.ndarray):
+    """Writes the trigrams of a bucket and its contexts; returns counts of counts, and the counts of their last two words."""
+
+    def run(pdf):
+        bucket = int(pdf["bucket"].iloc[0])
+        words, counts = _join(pdf["c0"], _U), _join(pdf["c1"], np.uint32)
+        u, v = (np.repeat(_join(pdf[a], _U), _join(pdf[b], np.uint32)) for a, b in (("c2", "c3"), ("c4", "c5")))
+        keys, at, inverse = np.unique(triple_keys(pair_keys(v, u, hot, n), words), return_index=True, return_inverse=True)
+        total = np.bincount(inverse, counts).astype(np.int64)
+        words, u, v = words[at], u[at], v[at]
+        del inverse, counts, at
+        inner = v != START
+        out = _write_counts(folder, "t", bucket, keys[inner], total[inner])
+        context, place = np.unique(pair_keys(v[inner], u[inner], hot, n), return_inverse=True)
+        times = total[inner]
+        facts = np.stack([np.bincount(place, times, context.size), *[np.bincount(place, times == k if k < 3 else times >= 3, context.size) for k in (1, 2, 3)]], axis=1).astype(np.int64)
+        more = facts[:, 0] > 1
+        _write(f"{folder}/xk{bucket}.npy", context[more])
+        _write(f"{folder}/xf{bucket}.npy", facts[more].astype(np.uint32 if facts.max(initial=0) < 1 << 32 else np.int64))
+        del context, place, times, facts
+        keys, at, inverse = np.unique(pair_keys(v, words, hot, n), return_index=True, return_inverse=True)
+        adds = np.bincount(inverse, np.where(inner, 1, total))
+        return pd.concat([out.assign(c1=b"", c2=b"", c3=b""), _packed_pairs(keys, n, v[at], words[at], adds)], ignore_index=True)
+
+    return run
+
+
 def _merge_pairs(folder: str, n: int, hot: np.ndarray):
     """Writes the arrays of a bucket; returns its counts of counts, and what its words and contexts add, by word bucket."""
 
@@ -154,18 +225,15 @@ def _merge_pairs(folder: str, n: int, hot: np.ndarray):
         total = np.bincount(inverse, counts).astype(np.int64)
         words, context = words[first], context[first]
         del inverse, counts
-        _write(f"{folder}/k{bucket}.npy", keys)
-        big = np.flatnonzero(total >= 255)
-        _write(f"{folder}/n{bucket}.npy", np.minimum(total, 255).astype(np.uint8))
-        _write(f"{folder}/o{bucket}.npy", np.stack([big, total[big]]))
-        out = [pd.DataFrame({"bucket": [-1], "c0": [np.array([(total == k).sum() for k in (1, 2, 3, 4)]).tobytes()], "c1": [b""]})]
+        out = [_write_counts(folder, "", bucket, keys, total).assign(c1=b"")]
         after, times = np.unique(words, return_counts=True)
-        facts = np.zeros((after.size, 4), np.uint32)
+        facts = np.zeros((after.size, 5), np.uint32)
         facts[:, 0] = times
         ahead, place = np.unique(context, return_inverse=True)
-        more = np.zeros((ahead.size, 4), np.uint32)
+        more = np.zeros((ahead.size, 5), np.uint32)
         for k in (1, 2, 3):
             more[:, k] = np.bincount(place, total == k if k < 3 else total >= 3)
+        more[:, 4] = np.bincount(place, total)
         names, facts = np.concatenate([after, ahead]), np.concatenate([facts, more])
         b = word_bucket(names, n)
         o = np.argsort(b, kind="stable")
@@ -176,17 +244,17 @@ def _merge_pairs(folder: str, n: int, hot: np.ndarray):
 
 
 def _merge_facts(folder: str):
-    """Writes words, counts, and facts (continuations; followers seen once, twice, more often); returns counts of continuations."""
+    """Writes words, counts, and facts (continuations; followers seen once, twice, more often; sum of the followers' counts); returns counts of continuations."""
 
     def run(pdf):
         bucket = int(pdf["bucket"].iloc[0])
         counted, added = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
         words, counts = _join(counted["c0"], _U), _join(counted["c1"], np.int64)
-        names, facts = _join(added["c0"], _U), _join(added["c1"], np.uint32).reshape(-1, 4)
+        names, facts = _join(added["c0"], _U), _join(added["c1"], np.uint32).reshape(-1, 5)
         every, inverse = np.unique(np.concatenate([words, names]), return_inverse=True)
         c = np.zeros(every.size, np.int64)
         c[inverse[: words.size]] = counts
-        f = np.stack([np.bincount(inverse[words.size :], facts[:, k], every.size) for k in range(4)], axis=1).astype(np.int64)
+        f = np.stack([np.bincount(inverse[words.size :], facts[:, k], every.size) for k in range(5)], axis=1).astype(np.int64)
         _write(f"{folder}/w{bucket}.npy", every)
         _write(f"{folder}/c{bucket}.npy", c)
         _write(f"{folder}/f{bucket}.npy", f)
@@ -216,6 +284,7 @@ class Model:
     d_pair: np.ndarray
     d_word: np.ndarray
     rest: float  # mass that the word level leaves to the uniform distribution
+    d_triple: np.ndarray | None = None  # of order 3
 
     def _look(self, names: str, bucket: int):
         at = f"{self.folder}/{names}{bucket}.npy"
@@ -223,7 +292,7 @@ class Model:
 
     def word_facts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts and facts of sorted distinct words (zero where unknown)."""
-        count, facts = np.zeros(words.size, np.int64), np.zeros((words.size, 4), np.int64)
+        count, facts = np.zeros(words.size, np.int64), np.zeros((words.size, 5), np.int64)
         b = word_bucket(words, self.buckets)
         o = np.argsort(b, kind="stable")
         cut = _cuts(b[o], self.buckets)
@@ -236,36 +305,64 @@ class Model:
             count[at[ok]], facts[at[ok]] = self._look("c", k)[p[ok]], self._look("f", k)[p[ok]]
         return count, facts
 
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
+    def gram_counts(self, keys: np.ndarray, names: str = "") -> np.ndarray:
         """Counts of sorted distinct keys."""
         out = np.zeros(keys.size, np.int64)
         cut = _cuts((keys >> _U(50)).astype(np.int64), self.buckets)
         for k in np.flatnonzero(np.diff(cut)):
-            have, own = self._look("k", k), keys[cut[k] : cut[k + 1]]
+            have, own = self._look(f"{names}k", k), keys[cut[k] : cut[k + 1]]
             if have is None or not have.size:
                 continue
             p = np.minimum(np.searchsorted(have, own), have.size - 1)
-            n = np.where(np.asarray(have[p]) == own, self._look("n", k)[p], 0).astype(np.int64)
+            n = np.where(np.asarray(have[p]) == own, self._look(f"{names}n", k)[p], 0).astype(np.int64)
             big = np.flatnonzero(n == 255)
             if big.size:
-                places, values = self._look("o", k)
+                places, values = self._look(f"{names}o", k)
                 n[big] = values[np.searchsorted(places, p[big])]
             out[cut[k] : cut[k + 1]] = n
         return out
 
+    def context_facts(self, keys: np.ndarray) -> np.ndarray:
+        """Sum of the followers' counts and followers seen once, twice, more often, of sorted distinct contexts of two words, as if each were seen once at least."""
+        out = np.tile(np.array([1, 1, 0, 0]), (keys.size, 1))
+        cut = _cuts((keys >> _U(50)).astype(np.int64), self.buckets)
+        for k in np.flatnonzero(np.diff(cut)):
+            have, own = self._look("xk", k), keys[cut[k] : cut[k + 1]]
+            if have is None or not have.size:
+                continue
+            p = np.minimum(np.searchsorted(have, own), have.size - 1)
+            ok = np.flatnonzero(np.asarray(have[p]) == own)
+            out[cut[k] + ok] = self._look("xf", k)[p[ok]]
+        return out
+
+    def third(self, tokens: np.ndarray, before: np.ndarray, seen: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Probabilities of order 3 over those of order 2. ``seen``: whether each token's bigram was seen."""
+        p = low.copy()
+        at = np.flatnonzero((before != START) & np.append(False, seen[:-1])) if tokens.size else np.empty(0, np.int64)
+        if not at.size:
+            return p
+        context = pair_keys(before[at], two_before(before)[at], self.hot, self.buckets)
+        keys, place = np.unique(triple_keys(context, tokens[at]), return_inverse=True)
+        n = self.gram_counts(keys, "t")[place]
+        keys, place = np.unique(context, return_inverse=True)
+        facts = self.context_facts(keys)
+        back = (facts[:, 1:] * self.d_triple[1:]).sum(axis=1) / facts[:, 0]
+        p[at] = np.maximum(n - self.d_triple[np.minimum(n, 3)], 0) / facts[place, 0] + back[place] * low[at]
+        return p
+
     def score(self, tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token: its training count, base log10 probability, model log10 probability."""
         words, place = np.unique(np.concatenate([tokens, before]), return_inverse=True)
         count, facts = self.word_facts(words)
-        count_of = count.copy()
-        count_of[words == START] = count[words == END].sum() if (words == END).any() else 0  # each text starts once and ends once
         low = np.maximum(facts[:, 0] - self.d_word[np.minimum(facts[:, 0], 3)], 0) / max(self.types, 1) + self.rest / (self.words + 1)
         keys, pair_place = np.unique(pair_keys(before, tokens, self.hot, self.buckets), return_inverse=True)
-        n = self.pair_counts(keys)[pair_place]
+        n = self.gram_counts(keys)[pair_place]
         w, v = place[: tokens.size], place[tokens.size :]
-        total = np.maximum(count_of, 1)
-        back = np.where(count_of > 0, (facts[:, 1:] * self.d_pair[1:]).sum(axis=1) / total, 1.0)
+        total = np.maximum(facts[:, 4], 1)
+        back = np.where(facts[:, 4] > 0, (facts[:, 1:4] * self.d_pair[1:]).sum(axis=1) / total, 1.0)
         p = np.maximum(n - self.d_pair[np.minimum(n, 3)], 0) / total[v] + back[v] * low[w]
+        if self.d_triple is not None:
+            p = self.third(tokens, before, n > 0, p)
         base = np.log10((count + 1) / (self.tokens + (self.words + 1)))
         return count[w], base[w], np.log10(p)
 
@@ -279,8 +376,17 @@ def local_folder(path: str) -> str:
     return path
 
 
-def train(docs: DataFrame, buckets: int | None = None) -> Model:
+def _sum_of_counts(df: DataFrame) -> list[int]:
+    n_of = np.zeros(4, np.int64)
+    for r in df.where("bucket = -1").select("c0").collect():  # four numbers a bucket
+        n_of += np.frombuffer(r["c0"], np.int64)
+    return [int(x) for x in n_of]
+
+
+def train(docs: DataFrame, buckets: int | None = None, order: int = 2) -> Model:
     """The model of all rows of ``docs`` (text)."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order}: 2 and 3 are built")
     spark = docs.sparkSession
     shared.bound_batches(spark)
     n = min(MAX_BUCKETS, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -301,20 +407,29 @@ def train(docs: DataFrame, buckets: int | None = None) -> Model:
 
     hot = words.select("c0", "c1").mapInPandas(frequent, "word long").toPandas()["word"].to_numpy(np.int64)  # at most 1 / HOT
     hot = np.sort(hot.view(_U))
-    pairs = texts.mapInPandas(_count_pairs(n, hot), f"{four}, c2 binary, c3 binary").groupBy("bucket").applyInPandas(_merge_pairs(folder, n, hot), four)
+    six = f"{four}, c2 binary, c3 binary"
+    triples, d_triple = None, None
+    if order == 3:
+        triples = texts.mapInPandas(_count_triples(n, hot), f"{six}, c4 binary, c5 binary").groupBy("bucket").applyInPandas(_merge_triples(folder, n, hot), six)
+        triples = shared.keep(triples, "lm-triples")
+        d_triple = discounts(*_sum_of_counts(triples))
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffled trigrams
+    pairs = triples.where("bucket >= 0") if triples is not None else texts.mapInPandas(_count_pairs(n, hot), six)
+    pairs = pairs.groupBy("bucket").applyInPandas(_merge_pairs(folder, n, hot), four)
     pairs = shared.keep(pairs, "lm-facts")
-    n_of = np.zeros(4, np.int64)
-    for r in pairs.where("bucket = -1").select("c0").collect():  # four numbers a bucket
-        n_of += np.frombuffer(r["c0"], np.int64)
+    if triples is not None:
+        shared.forget(triples)
+    d_pair = discounts(*_sum_of_counts(pairs))
     both = words.select("bucket", F.lit(0).alias("kind"), "c0", "c1").union(pairs.where("bucket >= 0").select("bucket", F.lit(1).alias("kind"), "c0", "c1"))
     facts = both.groupBy("bucket").applyInPandas(_merge_facts(folder), "bucket int, m1 long, m2 long, m3 long, m4 long, types long, seen long")
     r = shared.keep(facts, "lm-continuations").agg(*[F.sum(c).alias(c) for c in ("m1", "m2", "m3", "m4", "types", "seen")]).first()
     shared.forget(pairs)
     m = [int(r[f"m{k}"] or 0) for k in (1, 2, 3, 4)]
     types, seen = int(r["types"] or 0), int(r["seen"] or 0)
-    d_pair, d_word = discounts(*map(int, n_of)), discounts(*m)
+    d_word = discounts(*m)
     rest = (d_word[1] * m[0] + d_word[2] * m[1] + d_word[3] * (seen - m[0] - m[1])) / types if types else 1.0
-    return Model(folder, n, hot, n_tokens, n_words, types, d_pair, d_word, float(rest))
+    return Model(folder, n, hot, n_tokens, n_words, types, d_pair, d_word, float(rest), d_triple)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -348,7 +463,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, schema)
 
 
-def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
-    model = train(docs.where(fold(F.col("doc_id"), folds) != held))
+def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 2) -> DataFrame:
+    model = train(docs.where(fold(F.col("doc_id"), folds) != held), order=order)
     out = score(docs, model)
     return out.withColumn("held_out", fold(F.col("doc_id"), folds) == held).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

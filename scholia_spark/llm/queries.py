@@ -48,7 +48,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.lm_scores(table(spark, sf_dir, "documents"))
+    return lm.lm_scores(table(spark, sf_dir, "documents"), order=3)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
