@@ -4,7 +4,7 @@ Numbers, units behind numbers, and names (capitalised words that follow a lower-
 typed placeholders that keep their value as a slot; the rest is lower-cased words. Windows of ``WINDOW`` canonical tokens
 are hashed and joined with those of the benchmark. A document that covers at least ``COVERAGE`` of the windows of an item
 along one offset is a copy or a re-parameterised copy, unless a slot value of the item would stand for two values in the
-document (or a placeholder faces a literal), which tells a chance match of templates apart.
+matched windows, which tells a chance match of templates apart. Every such offset is checked; the best consistent one counts.
 
 Windows with fewer than ``LITERALS`` literal tokens are too general and don't count. The benchmark side is broadcast up
 to ``BROADCAST_WINDOWS`` windows (about 40 bytes each), else shuffled.
@@ -72,6 +72,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))))
 
 
+def alignments(hits: DataFrame, coverage: float) -> DataFrame:
+    """_key, item_id, n_windows, windows (shift, ipos): every offset with enough of the item's windows. hits: by shift, ``at`` is a set of ipos."""
+    placed = F.transform("at", lambda i: F.struct("shift", i.alias("ipos")))
+    return hits.where(F.size("at") >= coverage * F.col("n_windows")).select("_key", "item_id", "n_windows", placed.alias("windows"))
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """_key, doc_id, item_id, matched_windows, n_windows, n_slots, new_slots of each pair of document and item that it leaks."""
     items = shared.keep(item_windows(benchmark), "decontaminate-items")
@@ -81,27 +87,24 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
     tokens = _tokenised(keyed, "_key").withColumn("canon", canonical(F.col("raw")))
     at = tokens.select("_key", F.posexplode(windows(F.col("canon"), F.col("n"))).alias("pos", "h"))
     hits = at.join(side, "h").groupBy("_key", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"))
-    hits = hits.agg(F.countDistinct("ipos").alias("matched_windows"), F.max("n_windows").alias("n_windows"))
-    hits = hits.groupBy("_key", "item_id").agg(F.max(F.struct("matched_windows", (-F.col("shift")).alias("back"), "n_windows")).alias("best"))
-    hits = hits.select("_key", "item_id", "best.matched_windows", "best.n_windows", (-F.col("best.back")).alias("shift"))
-    hits = shared.keep(hits.where(F.col("matched_windows") >= coverage * F.col("n_windows")), "decontaminate-hits")
+    hits = hits.agg(F.collect_set("ipos").alias("at"), F.max("n_windows").alias("n_windows"))
+    hits = shared.keep(alignments(hits, coverage), "decontaminate-hits")
 
     ids = shared.keep(hits.select("_key").distinct(), "decontaminate-keys")
     texts = shared.keep_only(keyed, ids, "_key", ids.count())
     raw_items = _tokenised(benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct(), "item_id")
-    raw_items = raw_items.select("item_id", F.col("raw").alias("item_raw"), F.col("n").alias("item_n"))
+    raw_items = raw_items.select("item_id", F.col("raw").alias("item_raw"))
     both = texts.select("_key", "doc_id", raw_tokens(F.col("text")).alias("raw")).join(hits, "_key").join(raw_items, "item_id")
-    lead = F.greatest(-F.col("shift"), F.lit(0))  # tokens of the item before the document begins
-    mine = F.slice("raw", F.greatest(F.col("shift"), F.lit(0)) + 1, F.col("item_n") - lead)
-    facing = F.arrays_zip(F.slice("item_raw", lead + 1, F.greatest(F.col("item_n"), F.lit(1))).alias("i"), mine.alias("d"))
+    inside = lambda m: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.struct(m["shift"].alias("shift"), (m["ipos"] + k).alias("ipos")))
+    facing = F.array_distinct(F.flatten(F.transform("windows", inside)))
+    facing = F.transform(facing, lambda p: F.struct(F.get("item_raw", p["ipos"]).alias("i"), F.get("raw", p["ipos"] + p["shift"]).alias("d")))
     slot = lambda w: F.coalesce(F.startswith(w, F.lit("\u0001")), F.lit(False))
-    facing = F.filter(facing, lambda p: slot(p["i"]) & slot(p["d"]))
-    both = both.withColumn("slots", F.array_distinct(facing))
+    both = both.withColumn("slots", F.array_distinct(F.filter(facing, lambda p: slot(p["i"]) & slot(p["d"]))))
     consistent = F.size(F.array_distinct(F.transform("slots", lambda p: p["i"]))) == F.size("slots")
     both = both.where(consistent).withColumn("changed", F.size(F.filter("slots", lambda p: p["i"] != p["d"])))
-    return both.groupBy("_key", "doc_id", "item_id").agg(
-        F.max("matched_windows").alias("matched_windows"), F.max("n_windows").alias("n_windows"), F.max(F.size("slots")).alias("n_slots"), F.max("changed").alias("new_slots")
-    )
+    best = F.max(F.struct(F.size("windows").cast("long").alias("matched_windows"), (-F.array_min("windows.shift")).alias("back"), "n_windows", F.size("slots").alias("n_slots"), F.col("changed").alias("new_slots")))
+    best = both.groupBy("_key", "doc_id", "item_id").agg(best.alias("best"))
+    return best.select("_key", "doc_id", "item_id", *[f"best.{c}" for c in ("matched_windows", "n_windows", "n_slots", "new_slots")])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

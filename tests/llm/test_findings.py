@@ -4,7 +4,7 @@ import collections
 import math
 import zlib
 
-from scholia_spark.llm import lm, queries
+from scholia_spark.llm import decontaminate, lm, queries
 
 
 def documents(spark, texts):
@@ -49,3 +49,17 @@ def test_language_model_query_uses_longer_contexts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     mean = lambda df: df.where("held_out").selectExpr("sum(score) / sum(n_tokens)").first()[0]
     assert mean(queries.op8_kneser_ney(spark, sf_dir)) > mean(lm.lm_scores(docs))
+
+
+def leaks(spark, item, texts):
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    return {r["doc_id"]: r for r in decontaminate.leaks(documents(spark, texts), benchmark).collect()}
+
+
+def test_slots_count_in_matched_windows_only(spark):
+    head = "the shop sold 12 red apples to the old baker and then 7 green pears to the young cook who came by"
+    item = f"{head} later with 12 more and 7 less"
+    verbatim = f"{head} today with 55 more and 66 less"  # the tail's numbers stand in the head as well
+    wrong = item.replace("12", "31", 1)  # 12 stands for 31 and 12
+    twice = f"{wrong} . {'so it goes on and on in between ' * 3} {item}"
+    assert set(leaks(spark, item, [verbatim, wrong, twice])) == {0, 2}
