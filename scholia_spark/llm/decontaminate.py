@@ -1,9 +1,9 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame and SQL functions only.
 
-Numbers, units behind numbers, and names (capitalised words that follow a lower-case letter, comma or semicolon) become
-typed placeholders that keep their value as a slot; the rest is lower-cased words. Windows of ``WINDOW`` canonical tokens
+Numbers (with grouped digits and decimals), units behind numbers, and names (runs of capitalised words anywhere, but for
+``FUNCTION_WORDS``) become typed placeholders that keep their value as a slot; the rest is lower-cased words. Windows of ``WINDOW`` canonical tokens
 are hashed and joined with those of the benchmark. A document that covers at least ``COVERAGE`` of the windows of an item
-along one offset is a copy or a re-parameterised copy, unless a slot value of the item would stand for two values in the
+along one offset, or along offsets at most ``DRIFT`` apart (words put in or left out), is a copy or a re-parameterised copy, unless a slot value of the item would stand for two values in the
 matched windows, which tells a chance match of templates apart. Every such offset is checked; the best consistent one counts.
 
 Windows with fewer than ``LITERALS`` literal tokens are too general and don't count. The benchmark side is broadcast up
@@ -27,15 +27,27 @@ COVERAGE = 0.5
 BROADCAST_WINDOWS = 500_000
 #: Unit words that may follow a number.
 UNITS = "km|cm|mm|m|kg|mg|g|l|ml|s|ms|min|h|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|percent|dollars|dollar|euros|euro|cents|miles|mile|feet|inches|meters|metres|pounds|ounces|grams|liters|litres"
-NUMBER = rf"([0-9]+)(?: ?({UNITS})\b)?"
-NAME = r"([\p{Ll},;] )(\p{Lu}\p{Ll}+)"
-SPLIT = "[^\\p{L}\\p{M}\\p{N}\u0001]+"
+#: Words that start sentences and are no names.
+FUNCTION_WORDS = "a|about|after|all|also|although|an|and|another|any|are|as|assume|at|be|because|before|both|but|by|calculate|can|compute|consider|could|did|do|does|during|each|either|every|few|find|for|from|given|had|has|have|he|her|here|his|how|however|i|if|in|into|is|it|its|let|many|may|more|most|much|must|my|neither|no|not|now|of|on|once|one|only|or|other|our|over|she|should|show|since|so|solve|some|such|suppose|that|the|their|then|there|these|they|this|those|though|through|thus|to|under|until|was|we|were|what|when|where|which|while|who|whom|whose|why|will|with|without|would|yes|yet|you|your"
+_PLAIN = "|".join(w.capitalize() for w in FUNCTION_WORDS.split("|"))
+DRIFT = 8
+#: U+0002 joins the parts of a number or of a name.
+NUMBER = rf"([0-9]+(?:\u0002[0-9]+)*)(?: ?({UNITS})\b)?"
+GROUPING = r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))"
+POINT = r"(?<=[0-9])\.(?=[0-9])"
+#: The blank or hyphen between two capitalised words (and the apostrophe of O'Neill), and a run of them.
+_START = r"(?<![\p{L}\p{M}\p{N}])"
+JOIN = rf"[ '’-](?=\p{{Lu}}(?:['’]\p{{Lu}})?\p{{Ll}})(?!(?:{_PLAIN})(?![\p{{L}}\p{{M}}]))(?<={_START}\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}]{{0,30}}[ -]|{_START}\p{{Lu}}['’])(?<!{_START}(?:{_PLAIN})[ -])"
+NAME = rf"(?=\p{{Lu}}(?:\u0002\p{{Lu}})?\p{{Ll}}){_START}(?!(?:{_PLAIN})(?![\p{{L}}\p{{M}}\u0002]))(\p{{Lu}}[\p{{L}}\p{{M}}\u0002]*)"
+SPLIT = "[^\\p{L}\\p{M}\\p{N}\u0001\u0002]+"
 
 
 def raw_tokens(text: Column) -> Column:
     """Words in lower case; a slot is U+0001, its type (a name, n number, u unit) and its value."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "\u0001", " ")
-    t = F.regexp_replace(t, NAME, "$1 \u0001a$2 ")
+    t = F.translate(F.coalesce(text, F.lit("")), "\u0001\u0002", "  ")
+    t = F.regexp_replace(t, JOIN, "\u0002")
+    t = F.regexp_replace(t, NAME, " \u0001a$1 ")
+    t = F.regexp_replace(F.regexp_replace(t, GROUPING, ""), POINT, "\u0002")
     t = F.regexp_replace(t, NUMBER, " \u0001n$1 \u0001u$2 ")
     return F.array_remove(F.array_remove(F.split(F.lower(t), SPLIT), ""), "\u0001u")
 
@@ -73,9 +85,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def alignments(hits: DataFrame, coverage: float) -> DataFrame:
-    """_key, item_id, n_windows, windows (shift, ipos): every offset with enough of the item's windows. hits: by shift, ``at`` is a set of ipos."""
-    placed = F.transform("at", lambda i: F.struct("shift", i.alias("ipos")))
-    return hits.where(F.size("at") >= coverage * F.col("n_windows")).select("_key", "item_id", "n_windows", placed.alias("windows"))
+    """_key, item_id, n_windows, windows (shift, ipos): every offset, or group of near offsets, with enough of the item's windows. hits: by shift, ``at`` is a set of ipos."""
+    placed = lambda at, shift: F.transform(at, lambda i: F.struct(shift.alias("shift"), i.alias("ipos")))
+    enough = lambda at: F.size(at) >= coverage * F.col("n_windows")
+    straight = hits.where(enough("at")).select("_key", "item_id", "n_windows", placed(F.col("at"), F.col("shift")).alias("windows"))
+    part = F.struct(F.size("at").alias("n"), (-F.col("shift")).alias("back"), "at")
+    step = F.floor(F.col("shift") / DRIFT)  # offsets at most DRIFT apart share a group
+    near = hits.select("_key", "item_id", "n_windows", F.explode(F.array(step - 1, step)).alias("group"), part.alias("part"))
+    near = near.groupBy("_key", "item_id", "group").agg(F.max("n_windows").alias("n_windows"), F.collect_list("part").alias("parts"))
+    near = near.where((F.size("parts") > 1) & enough(F.array_distinct(F.flatten("parts.at"))))
+    # a window counts at the offset that holds the most of them
+    fresh = lambda got, p: F.array_except(p["at"], F.transform(got, lambda g: g["ipos"]))
+    start = F.expr("cast(array() as array<struct<shift: int, ipos: int>>)")
+    windows = F.aggregate(F.sort_array("parts", asc=False), start, lambda got, p: F.concat(got, placed(fresh(got, p), -p["back"])))
+    return straight.union(near.select("_key", "item_id", "n_windows", windows.alias("windows")))
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

@@ -63,3 +63,15 @@ def test_slots_count_in_matched_windows_only(spark):
     wrong = item.replace("12", "31", 1)  # 12 stands for 31 and 12
     twice = f"{wrong} . {'so it goes on and on in between ' * 3} {item}"
     assert set(leaks(spark, item, [verbatim, wrong, twice])) == {0, 2}
+
+
+def test_parameters_of_any_form(spark):
+    item = "Tom has 5 red apples in a basket. Tom gives 2 of them to a friend. Ann buys 3 more at the shop. How many apples are there now?"
+    changed = item.replace("Tom", "Sam").replace("Ann", "Eve").replace("5", "1,500").replace("2", "7.25").replace("3", "11")
+    longer = changed.replace("Sam", "Mary Jones").replace("Eve", "Lee O'Neill Stone")
+    lines = "\n".join(changed.split(". "))
+    inserted = item.replace("them to", "them right to")  # 6 and 9 of 22 windows along two offsets
+    mixed = changed.replace("Sam gives", "Bob gives")  # Tom stands for Sam and Bob
+    got = leaks(spark, item, [item, changed, longer, lines, inserted, mixed])
+    assert set(got) == {0, 1, 2, 3, 4}
+    assert got[1]["matched_windows"] == got[3]["matched_windows"] == got[1]["n_windows"] and got[1]["new_slots"] == 5 and got[4]["new_slots"] == 0
