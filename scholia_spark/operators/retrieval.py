@@ -54,11 +54,16 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, k1: float = 1.2,
 
 
 def phrase_match(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Q3: chunks that hold the phrase as a substring in lower case. Candidates meet on the phrase's first whole word."""
-    q = queries.select("query_id", F.lower("phrase").alias("phrase"), F.element_at(F.split(F.lower("phrase"), " "), 2).alias("term"))
-    postings = chunks.select("chunk_id", "paper_id", F.lower("text").alias("text"), F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("term"))
-    hits = postings.join(q, "term").where(F.contains("text", "phrase")).select("query_id", "paper_id", "chunk_id", F.lit(1.0).alias("score"))
-    return top(collapse(hits.distinct()), ["query_id"], [F.col("chunk_id")], k)
+    """Q3: chunks that hold the phrase as a substring in lower case. Candidates meet on the longest word of the phrase that has
+    white space on both sides, so is a whole word of the text; phrases without one are compared with every chunk."""
+    inner = F.expr(r"filter(split(phrase, '\\s+'), (w, i) -> i > 0 AND i < size(split(phrase, '\\s+')) - 1)")
+    q = queries.select("query_id", F.lower("phrase").alias("phrase")).withColumn("inner", inner)
+    q = q.select("query_id", "phrase", F.array_max(F.transform("inner", lambda w: F.struct(F.length(w), w.alias("w"))))["w"].alias("term"))
+    texts = chunks.select("chunk_id", "paper_id", F.lower("text").alias("text"))
+    postings = texts.withColumn("term", F.explode(F.array_distinct(F.split("text", r"\s+"))))
+    hits = postings.join(q.where("term IS NOT NULL"), "term").where(F.contains("text", "phrase")).select("query_id", "paper_id", "chunk_id")
+    short = texts.join(F.broadcast(q.where("term IS NULL AND phrase IS NOT NULL").drop("term")), F.contains("text", "phrase")).select("query_id", "paper_id", "chunk_id")
+    return top(collapse(hits.union(short).distinct().withColumn("score", F.lit(1.0))), ["query_id"], [F.col("chunk_id")], k)
 
 
 def cosine(a: Column, b: Column) -> Column:
