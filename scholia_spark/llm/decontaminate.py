@@ -42,11 +42,15 @@ NAME = rf"(?=\p{{Lu}}(?:\u0002\p{{Lu}})?\p{{Ll}}){_START}(?!(?:{_PLAIN})(?![\p{{
 SPLIT = "[^\\p{L}\\p{M}\\p{N}\u0001\u0002]+"
 
 
-def raw_tokens(text: Column) -> Column:
+#: An item is read with every name as a slot, with names behind lower case only, and without names (copies in other case).
+READINGS = (NAME, rf"(?<=[\p{{Ll}},;] ){NAME}", None)
+
+
+def raw_tokens(text: Column, name: str | None = NAME) -> Column:
     """Words in lower case; a slot is U+0001, its type (a name, n number, u unit) and its value."""
     t = F.translate(F.coalesce(text, F.lit("")), "\u0001\u0002", "  ")
-    t = F.regexp_replace(t, JOIN, "\u0002")
-    t = F.regexp_replace(t, NAME, " \u0001a$1 ")
+    if name:
+        t = F.regexp_replace(F.regexp_replace(t, JOIN, "\u0002"), name, " \u0001a$1 ")
     t = F.regexp_replace(F.regexp_replace(t, GROUPING, ""), POINT, "\u0002")
     t = F.regexp_replace(t, NUMBER, " \u0001n$1 \u0001u$2 ")
     return F.array_remove(F.array_remove(F.split(F.lower(t), SPLIT), ""), "\u0001u")
@@ -69,15 +73,23 @@ def _tokenised(df: DataFrame, key: str) -> DataFrame:
     return out.withColumn("n", F.size("raw"))
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, reading, raw, n: the distinct readings of each item."""
+    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).distinct()
+    read = F.array(*[F.struct(F.lit(k).alias("reading"), raw_tokens(F.col("text"), name).alias("raw")) for k, name in enumerate(READINGS)])
+    read = items.select("item_id", F.explode(read).alias("r")).groupBy("item_id", "r.raw").agg(F.min("r.reading").alias("reading"))
+    return read.withColumn("n", F.size("raw"))
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """h, item_id, ipos, n_windows (those that count) of the benchmark."""
-    items = _tokenised(benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct(), "item_id")
+    """h, item_id, reading, ipos, n_windows (those that count) of the benchmark."""
+    items = _items(benchmark)
     items = items.withColumn("canon", canonical(F.col("raw")))
-    at = items.select("item_id", "canon", F.posexplode(windows(F.col("canon"), F.col("n"))).alias("ipos", "h"))
+    at = items.select("item_id", "reading", "canon", F.posexplode(windows(F.col("canon"), F.col("n"))).alias("ipos", "h"))
     literal = F.size(F.filter(F.slice("canon", F.col("ipos") + 1, F.lit(WINDOW)), lambda w: ~F.startswith(w, F.lit("\u0001"))))
-    at = at.where(literal >= LITERALS).select("item_id", "ipos", "h").distinct()
-    total = at.groupBy("item_id").agg(F.countDistinct("ipos").alias("n_windows"))
-    return at.join(total, "item_id")
+    at = at.where(literal >= LITERALS).select("item_id", "reading", "ipos", "h").distinct()
+    total = at.groupBy("item_id", "reading").agg(F.countDistinct("ipos").alias("n_windows"))
+    return at.join(total, ["item_id", "reading"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -85,20 +97,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def alignments(hits: DataFrame, coverage: float) -> DataFrame:
-    """_key, item_id, n_windows, windows (shift, ipos): every offset, or group of near offsets, with enough of the item's windows. hits: by shift, ``at`` is a set of ipos."""
+    """_key, item_id, reading, n_windows, windows (shift, ipos): every offset, or group of near offsets, with enough of the item's windows. hits: by shift, ``at`` is a set of ipos."""
     placed = lambda at, shift: F.transform(at, lambda i: F.struct(shift.alias("shift"), i.alias("ipos")))
     enough = lambda at: F.size(at) >= coverage * F.col("n_windows")
-    straight = hits.where(enough("at")).select("_key", "item_id", "n_windows", placed(F.col("at"), F.col("shift")).alias("windows"))
+    straight = hits.where(enough("at")).select("_key", "item_id", "reading", "n_windows", placed(F.col("at"), F.col("shift")).alias("windows"))
     part = F.struct(F.size("at").alias("n"), (-F.col("shift")).alias("back"), "at")
     step = F.floor(F.col("shift") / DRIFT)  # offsets at most DRIFT apart share a group
-    near = hits.select("_key", "item_id", "n_windows", F.explode(F.array(step - 1, step)).alias("group"), part.alias("part"))
-    near = near.groupBy("_key", "item_id", "group").agg(F.max("n_windows").alias("n_windows"), F.collect_list("part").alias("parts"))
+    near = hits.select("_key", "item_id", "reading", "n_windows", F.explode(F.array(step - 1, step)).alias("group"), part.alias("part"))
+    near = near.groupBy("_key", "item_id", "reading", "group").agg(F.max("n_windows").alias("n_windows"), F.collect_list("part").alias("parts"))
     near = near.where((F.size("parts") > 1) & enough(F.array_distinct(F.flatten("parts.at"))))
     # a window counts at the offset that holds the most of them
     fresh = lambda got, p: F.array_except(p["at"], F.transform(got, lambda g: g["ipos"]))
     start = F.expr("cast(array() as array<struct<shift: int, ipos: int>>)")
     windows = F.aggregate(F.sort_array("parts", asc=False), start, lambda got, p: F.concat(got, placed(fresh(got, p), -p["back"])))
-    return straight.union(near.select("_key", "item_id", "n_windows", windows.alias("windows")))
+    return straight.union(near.select("_key", "item_id", "reading", "n_windows", windows.alias("windows")))
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -109,15 +121,14 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
     keyed = _keyed(docs).select("_key", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tokens = _tokenised(keyed, "_key").withColumn("canon", canonical(F.col("raw")))
     at = tokens.select("_key", F.posexplode(windows(F.col("canon"), F.col("n"))).alias("pos", "h"))
-    hits = at.join(side, "h").groupBy("_key", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"))
+    hits = at.join(side, "h").groupBy("_key", "item_id", "reading", (F.col("pos") - F.col("ipos")).alias("shift"))
     hits = hits.agg(F.collect_set("ipos").alias("at"), F.max("n_windows").alias("n_windows"))
     hits = shared.keep(alignments(hits, coverage), "decontaminate-hits")
 
     ids = shared.keep(hits.select("_key").distinct(), "decontaminate-keys")
     texts = shared.keep_only(keyed, ids, "_key", ids.count())
-    raw_items = _tokenised(benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct(), "item_id")
-    raw_items = raw_items.select("item_id", F.col("raw").alias("item_raw"))
-    both = texts.select("_key", "doc_id", raw_tokens(F.col("text")).alias("raw")).join(hits, "_key").join(raw_items, "item_id")
+    raw_items = _items(benchmark).select("item_id", "reading", F.col("raw").alias("item_raw"))
+    both = texts.select("_key", "doc_id", raw_tokens(F.col("text")).alias("raw")).join(hits, "_key").join(raw_items, ["item_id", "reading"])
     inside = lambda m: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.struct(m["shift"].alias("shift"), (m["ipos"] + k).alias("ipos")))
     facing = F.array_distinct(F.flatten(F.transform("windows", inside)))
     facing = F.transform(facing, lambda p: F.struct(F.get("item_raw", p["ipos"]).alias("i"), F.get("raw", p["ipos"] + p["shift"]).alias("d")))

@@ -75,3 +75,4 @@ def test_parameters_of_any_form(spark):
     got = leaks(spark, item, [item, changed, longer, lines, inserted, mixed])
     assert set(got) == {0, 1, 2, 3, 4}
     assert got[1]["matched_windows"] == got[3]["matched_windows"] == got[1]["n_windows"] and got[1]["new_slots"] == 5 and got[4]["new_slots"] == 0
+    assert set(leaks(spark, item, [item.upper(), item.lower(), item.replace("Ann", "ann")])) == {0, 1, 2}
