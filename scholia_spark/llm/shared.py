@@ -38,10 +38,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a table that ``keep`` wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, getattr(df, "_kept_at", None)
+def forget(df: DataFrame | None) -> None:
+    """Delete a table that ``keep`` wrote, once nothing reads it any more; other frames and None are left alone."""
+    path = getattr(df, "_kept_at", None)
     if path:
+        spark = df.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 

@@ -182,7 +182,7 @@ def test_language_model(spark, texts):
     every = texts * 2
     rows = documents(spark, every)
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(every))]
-    got = {r["doc_id"]: r for r in lm.lm_scores(rows).collect()}
+    got = {r["doc_id"]: r for r in lm.lm_scores(rows, order=2).collect()}
     toks = [words(t) + [None] for t in every]
     c, pairs, before = collections.Counter(), collections.Counter(), collections.defaultdict(set)
     for t, h in zip(toks, held, strict=True):
