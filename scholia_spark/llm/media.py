@@ -2,12 +2,14 @@
 
 ``write_avi`` stores bytes losslessly: each 64 bytes are the 64 quantised coefficients of a block, all of magnitude
 category 8, whose 8 amplitude bits are the byte itself (so every coefficient is one Huffman code and one byte); each block
-is a restart interval. ``read_avi`` walks the RIFF tree and the idx1 index, ``decode_jpeg`` is a baseline decoder (grey and
-YCbCr with subsampling), with a vectorised path for scans of fixed-width codes; ``detect_shots`` cuts where the histogram
-difference exceeds the mean plus two deviations of the differences before it.
+is a restart interval. ``read_avi`` walks the RIFF trees and the idx1 index. ``decode_frames`` is a baseline decoder (grey
+and YCbCr with subsampling, any Huffman tables, the standard ones where a frame has none): all restart intervals of frames
+that share tables are decoded in step, one symbol of each at a time. ``detect_shots`` cuts where the histogram difference
+exceeds the mean plus two deviations of the differences before it that were no cuts, and a floor.
 
 Defined cases: null texts are empty; the payload is padded with zero bytes to a positive multiple of 64; equal texts give
-equal files (nothing depends on place or time); repeated rows give repeated results; an empty table gives no rows.
+equal files (nothing depends on place or time); repeated rows give repeated results; an empty table gives no rows. In
+``clips`` a broken file gives one row that names its error, a file without frames none, and times are null without a rate.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,9 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia_spark.llm import shared
+from scholia_spark.llm.textkit import batches
 
-FRAME_BLOCKS = 64
 FPS = 25
+_U64 = np.uint64
+#: Characters of text, and frames of a file, that are decoded at once: what a worker holds.
+DECODE_BYTES = 1 << 20
+FRAMES_AT_ONCE = 8
 #: Fixed value: order of coefficients in a block.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
 
@@ -93,47 +100,68 @@ def write_avi(payload: bytes) -> bytes:
     return _chunk(b"RIFF", b"AVI " + hdrl + info + _list(b"movi", *chunks) + _chunk(b"idx1", b"".join(index)))
 
 
+def _walk(data: bytes, at: int, end: int):
+    """(name, body, size) of the chunks between two places; those of LISTs but movi follow their LIST."""
+    while at + 8 <= end:
+        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        if at + 8 + size > end:
+            raise ValueError(f"chunk {name!r} exceeds its parent")
+        yield name, at + 8, size
+        if name == b"LIST" and data[at + 8 : at + 12] != b"movi":
+            yield from _walk(data, at + 12, at + 8 + size)
+        at += 8 + size + size % 2
+
+
+def _is_frame(name: bytes) -> bool:
+    return name[2:] in (b"dc", b"db")
+
+
+def _indexed(data: bytes, movi: int, index: list[tuple]) -> list[bytes]:
+    """Frames that idx1 names; its offsets count from the movi list or from the file's start."""
+    base = movi if data[movi + index[0][2] :][:4] == index[0][0] else 0
+    out = []
+    for name, _, offset, size in index:
+        if _is_frame(name):
+            if data[base + offset : base + offset + 4] != name or struct.unpack_from("<I", data, base + offset + 4)[0] != size:
+                raise ValueError("index entry without its chunk")
+            out.append(data[base + offset + 8 : base + offset + 8 + size])
+    return out
+
+
 def read_avi(data: bytes) -> dict:
-    """width, height, fps, comment, frames (bytes each) of an AVI file, found through idx1 (or by walking movi without one)."""
+    """width, height, fps (0 if unknown), comment, frames (bytes each) of an AVI file, found through idx1, or by walking movi where it has none."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     out = {"width": 0, "height": 0, "fps": 0.0, "comment": "", "frames": []}
-    movi, index, todo = None, None, [(12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0]))]
-    while todo:
-        at, end = todo.pop()
-        while at + 8 <= end:
-            name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-            body = at + 8
-            if body + size > end:
-                raise ValueError(f"chunk {name!r} exceeds its parent")
+    at, lists, rate = 0, 0, 0.0
+    while data[at : at + 4] == b"RIFF" and data[at + 8 : at + 12] in (b"AVI ", b"AVIX"):
+        end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
+        if end > len(data):
+            raise ValueError("the file is cut short")
+        movis, index = [], None
+        for name, body, size in _walk(data, at + 12, end):
             if name == b"LIST" and data[body : body + 4] == b"movi":
-                movi = (body, body + size)
-            elif name == b"LIST":
-                todo.append((body + 4, body + size))
+                movis.append((body, body + size))
             elif name == b"avih":
                 micro, out["width"], out["height"] = struct.unpack_from("<I", data, body)[0], *struct.unpack_from("<II", data, body + 32)
                 out["fps"] = 1e6 / micro if micro else 0.0
+            elif name == b"strh" and data[body : body + 4] == b"vids" and not rate:
+                scale, ticks = struct.unpack_from("<II", data, body + 20)
+                rate = ticks / scale if scale else 0.0
             elif name == b"ICMT":
                 out["comment"] = data[body : body + size].rstrip(b"\0").decode("latin-1")
             elif name == b"idx1":
                 index = [struct.unpack_from("<4sIII", data, body + i) for i in range(0, size - 15, 16)]
-            at = body + size + size % 2
-    if movi is None:
+        for k, (body, stop) in enumerate(movis):
+            if index and not lists and not k:
+                out["frames"] += _indexed(data, body, index)
+            else:
+                out["frames"] += [data[b : b + n] for name, b, n in _walk(data, body + 4, stop) if _is_frame(name)]
+        lists += len(movis)
+        at = end + end % 2
+    if not lists:
         raise ValueError("no movi list")
-    if index:
-        base = movi[0] if data[movi[0] + index[0][2] :][:4] == index[0][0] else 0  # offsets from movi, or from the file's start
-        for name, _, offset, size in index:
-            if name[2:] in (b"dc", b"db"):
-                if data[base + offset : base + offset + 4] != name or struct.unpack_from("<I", data, base + offset + 4)[0] != size:
-                    raise ValueError("index entry without its chunk")
-                out["frames"].append(data[base + offset + 8 : base + offset + 8 + size])
-    else:
-        at = movi[0] + 4
-        while at + 8 <= movi[1]:
-            name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-            if name[2:] in (b"dc", b"db"):
-                out["frames"].append(data[at + 8 : at + 8 + size])
-            at += 8 + size + size % 2
+    out["fps"] = rate or out["fps"]
     return out
 
 
@@ -149,11 +177,30 @@ def samples(coefficients: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(spread / 4096**2 + 128.5), 0, 255).astype(np.uint8)
 
 
-def _huffman(body: bytes) -> dict[tuple[int, int], int]:
-    counts, symbols, code, at, out = body[:16], body[16:], 0, 0, {}
+def _table(counts: list[int], head: list[int], runs: bool) -> bytes:
+    """Body of a DHT table: symbols ``head``, then the other ones in rising order (of ``runs``: 0-15 zeros before sizes 1-10)."""
+    every = [r << 4 | n for r in range(16) for n in range(1, 11)] if runs else list(range(12))
+    return bytes(counts + head + [x for x in every if x not in head])
+
+
+#: The standard tables (class, number), for frames that bring none: codes of each length, and the first symbols.
+STANDARD = {
+    (0, 0): _table([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], [], False),
+    (0, 1): _table([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0], [], False),
+    (1, 0): _table([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], list(bytes.fromhex("0102030004110512213141061351610722711432 8191a1082342b1c11552d1f02433627282".replace(" ", ""))), True),
+    (1, 1): _table([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119], list(bytes.fromhex("00010203110405213106124151076171132232810814 4291a1b1c109233352f0156272d10a162434e125f1".replace(" ", ""))), True),
+}
+
+
+@lru_cache(64)
+def _codes(body: bytes) -> np.ndarray:
+    """By the next 16 bits: length of the code (0: none such) * 256 + symbol."""
+    out, code, at = np.zeros(1 << 16, np.int64), 0, 16
     for length in range(1, 17):
-        for _ in range(counts[length - 1]):
-            out[(length, code)] = symbols[at]
+        for _ in range(body[length - 1]):
+            if code >= 1 << length:
+                raise ValueError("broken Huffman table")
+            out[code << (16 - length) : (code + 1) << (16 - length)] = length << 8 | body[at]
             at, code = at + 1, code + 1
         code <<= 1
     return out
@@ -162,9 +209,9 @@ def _huffman(body: bytes) -> dict[tuple[int, int], int]:
 def _parse_jpeg(data: bytes) -> dict:
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG frame")
-    at, j = 2, {"q": {}, "h": {}, "restart": 0}
+    at, j = 2, {"q": {}, "h": dict(STANDARD), "restart": 0}
     while True:
-        if data[at] != 0xFF:
+        if at + 4 > len(data) or data[at] != 0xFF:
             raise ValueError("marker expected")
         marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + size]
@@ -190,99 +237,123 @@ def _parse_jpeg(data: bytes) -> dict:
             j["restart"] = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
             j["tables"] = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])}
-            j["scan"] = data[at : data.rindex(b"\xff\xd9")]
+            end = data.rfind(b"\xff\xd9")
+            if end < at or "parts" not in j or any(p[0] not in j["tables"] or p[3] not in j["q"] for p in j["parts"]):
+                raise ValueError("a frame without its end, its header or its tables")
+            j["scan"] = data[at:end]
             return j
 
 
-def _fixed_scan(j: dict) -> np.ndarray | None:
-    """Payload bytes (blocks, 64) of a grey scan whose only codes are 8 bits long for category 8, else None."""
-    only = bytes([0] * 7 + [1] + [0] * 8 + [8])
-    if len(j["parts"]) != 1 or j["restart"] != 1 or any(h != only for h in j["h"].values()):
-        return None
-    n = (j["width"] // 8) * (j["height"] // 8)
-    scan = j["scan"] + b"\xff" + bytes([0xD0 + (n - 1) % 8])
-    if len(scan) != n * 130:
-        parts, at = [], 0  # with stuffed bytes: cut at the restart markers, then remove the stuffing
-        while at < len(scan):
-            end = at
-            while not (scan[end] == 0xFF and 0xD0 <= scan[end + 1] <= 0xD7):
-                end += 2 if scan[end] == 0xFF else 1
-            parts.append(scan[at:end].replace(b"\xff\x00", b"\xff") + scan[end : end + 2])
-            at = end + 2
-        scan = b"".join(parts)
-        if len(scan) != n * 130:
-            raise ValueError("scan of a wrong length")
-    a = np.frombuffer(scan, np.uint8).reshape(n, 130)
-    if a[:, :128:2].any() or (a[:, 128] != 0xFF).any() or (a[:, 129] != 0xD0 + np.arange(n) % 8).any():
-        raise ValueError("broken scan")
-    return a[:, 1:128:2]
-
-
-class _Bits:
-    def __init__(self, data: bytes):
-        self.data, self.at, self.acc, self.n = data.replace(b"\xff\x00", b"\xff"), 0, 0, 0
-
-    def get(self, k: int) -> int:
-        while self.n < k:
-            self.acc = (self.acc << 8) | (self.data[self.at] if self.at < len(self.data) else 0)
-            self.at, self.n = self.at + 1, self.n + 8
-        self.n -= k
-        out = (self.acc >> self.n) & ((1 << k) - 1)
-        self.acc &= (1 << self.n) - 1
-        return out
-
-    def symbol(self, table: dict) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = (code << 1) | self.get(1)
-            if (length, code) in table:
-                return table[(length, code)]
-        raise ValueError("no such code")
-
-    def value(self, size: int) -> int:
-        v = self.get(size) if size else 0
-        return v if not size or v >> (size - 1) else v - (1 << size) + 1
-
-
-def _scan_coefficients(j: dict) -> dict[int, np.ndarray]:
-    """Quantised coefficients (rows, columns, 64) of each component, in zigzag order, by sequential decoding."""
-    h, v = max(p[1] for p in j["parts"]), max(p[2] for p in j["parts"])
-    wide, high = -(-j["width"] // (8 * h)), -(-j["height"] // (8 * v))
-    out = {p[0]: np.zeros((high * p[2], wide * p[1], 64), np.int64) for p in j["parts"]}
-    tables = {k: _huffman(b) for k, b in j["h"].items()}
-    parts, at, scan = [], 0, j["scan"]
-    for i in range(len(scan) - 1):
-        if scan[i] == 0xFF and 0xD0 <= scan[i + 1] <= 0xD7:
-            parts.append(scan[at:i])
-            at = i + 2
-    parts.append(scan[at:])
-    step = j["restart"] or wide * high
-    for k, part in enumerate(parts):
-        bits, last = _Bits(part), dict.fromkeys(out, 0)
-        for unit in range(k * step, min((k + 1) * step, wide * high)):
-            for name, ph, pv, _ in j["parts"]:
-                dc, ac = tables[(0, j["tables"][name][0])], tables[(1, j["tables"][name][1])]
-                for b in range(ph * pv):
-                    block = out[name][unit // wide * pv + b // ph, unit % wide * ph + b % ph]
-                    last[name] += bits.value(bits.symbol(dc))
-                    block[0], z = last[name], 1
-                    while z < 64:
-                        s = bits.symbol(ac)
-                        if s == 0:
-                            break
-                        z += s >> 4
-                        if s & 15:
-                            block[z] = bits.value(s & 15)
-                        z += 1
+def _units(j: dict) -> tuple[int, int]:
+    """Units across and down; a unit holds the blocks of all components for one cell of the frame."""
+    return -(-j["width"] // (8 * max(p[1] for p in j["parts"]))), -(-j["height"] // (8 * max(p[2] for p in j["parts"])))
+
+
+def _segments(scan: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a scan without stuffing and restart markers, and where each restart interval begins."""
+    a = np.frombuffer(scan, np.uint8)
+    behind = np.flatnonzero(a[:-1] == 0xFF) + 1
+    after = a[behind]
+    restart = behind[(after >= 0xD0) & (after <= 0xD7)]
+    if (after[(after < 0xD0) | (after > 0xD7)] != 0).any():
+        raise ValueError("a marker within the scan")
+    keep = np.ones(a.size, bool)
+    keep[behind] = False
+    keep[restart - 1] = False
+    return a[keep], np.append(0, np.cumsum(keep)[restart - 1]) if restart.size else np.zeros(1, np.int64)
+
+
+def _in_step(data: np.ndarray, begin: np.ndarray, end: np.ndarray, units: np.ndarray, plan: list[tuple]) -> np.ndarray:
+    """Coefficients (segments, units, blocks of a unit, 64) in zigzag order, one symbol of each segment at a time.
+
+    begin, end: bytes of ``data`` of each segment; plan: (component, codes of DC, codes of AC) of each block of a unit.
+    """
+    padded = np.concatenate([data, np.zeros(12, np.uint8)])
+    word = np.zeros(data.size + 1, _U64)  # 8 bytes from each place on
+    for k in range(8):
+        word |= padded[k : k + word.size].astype(_U64) << _U64(56 - 8 * k)
+    at, last = begin * 8, end * 8
+    out = np.zeros((begin.size, int(units.max(initial=0)), len(plan), 64), np.int16)
+    sums = {name: np.zeros(begin.size, np.int64) for name, _, _ in plan}
+
+    def symbol(which, codes):
+        """Next symbol of the segments ``which``, and the value of its bits."""
+        bit = at[which]
+        window = word[np.minimum(bit >> 3, data.size)] << (bit & 7).astype(_U64)
+        code = codes[(window >> _U64(48)).astype(np.int64)]
+        length, size = code >> 8, code & 15
+        if not length.all():
+            raise ValueError("no such code")
+        value = ((window << length.astype(_U64)) >> (_U64(63) - size.astype(_U64)) >> _U64(1)).astype(np.int64)
+        value = np.where(value >> np.maximum(size - 1, 0), value, value - (1 << size) + 1)
+        at[which] = bit + length + size
+        return code & 255, np.where(size > 0, value, 0)
+
+    for unit in range(out.shape[1]):
+        active = np.flatnonzero(units > unit)
+        for block, (name, dc, ac) in enumerate(plan):
+            sums[name][active] += symbol(active, dc)[1]
+            out[active, unit, block, 0] = sums[name][active]
+            which, z = active, np.ones(active.size, np.int64)
+            while which.size:
+                code, value = symbol(which, ac)
+                z = z + (code >> 4)
+                if (z > 63)[code != 0].any():
+                    raise ValueError("too many coefficients")
+                going = code != 0  # 0 ends the block
+                full = going.all()
+                if not full:
+                    which, z, value, code = which[going], z[going], value[going], code[going]
+                out[which, unit, block, z] = value  # of 15, 0 the value is 0
+                z = z + 1
+                if (z > 63).any():
+                    which, z = which[z < 64], z[z < 64]
+    if (at > last).any() or (last - at > 7).any():
+        raise ValueError("a restart interval of a wrong length")
     return out
 
 
-def decode_jpeg(data: bytes) -> np.ndarray:
-    """Samples of a baseline frame: (height, width) grey, or (height, width, 3) YCbCr."""
-    j = _parse_jpeg(data)
+def decode_coefficients(parsed: list[dict]) -> list[dict[int, np.ndarray]]:
+    """Quantised coefficients (rows, columns, 64) of each component of each parsed frame, in zigzag order."""
+    out: list = [None] * len(parsed)
+    alike: dict = {}
+    for i, j in enumerate(parsed):
+        used = tuple((name, h, v, j["h"].get((0, j["tables"][name][0])), j["h"].get((1, j["tables"][name][1]))) for name, h, v, _ in j["parts"])
+        alike.setdefault((used, j["restart"]), []).append(i)
+    for (used, restart), at in alike.items():
+        if any(dc is None or ac is None for *_, dc, ac in used):
+            raise ValueError("a Huffman table is missing")
+        plan = [(name, _codes(dc), _codes(ac)) for name, h, v, dc, ac in used for _ in range(h * v if len(used) > 1 else 1)]
+        data, begin, end, units, size = [], [], [], [], 0
+        for i in at:
+            wide, high = _units(parsed[i] if len(used) > 1 else parsed[i] | {"parts": [(0, 1, 1, 0)]})
+            scan, cuts = _segments(parsed[i]["scan"])
+            step = restart or wide * high
+            if cuts.size != -(-(wide * high) // step):
+                raise ValueError("restart intervals are missing or too many")
+            data.append(scan)
+            begin.append(cuts + size)
+            end.append(np.append(cuts[1:], scan.size) + size)
+            units.append(np.minimum(step, wide * high - np.arange(cuts.size) * step))
+            size += scan.size
+        got = _in_step(np.concatenate(data), np.concatenate(begin), np.concatenate(end), np.concatenate(units), plan)
+        first = 0
+        for i, n in zip(at, units, strict=True):
+            wide, high = _units(parsed[i] if len(used) > 1 else parsed[i] | {"parts": [(0, 1, 1, 0)]})
+            rows = got[first : first + n.size].reshape(-1, len(plan), 64)[: wide * high]
+            first, planes, block = first + n.size, {}, 0
+            for name, h, v, *_ in used:
+                h, v = (h, v) if len(used) > 1 else (1, 1)
+                own = rows[:, block : block + h * v].reshape(high, wide, v, h, 64).transpose(0, 2, 1, 3, 4)
+                planes[name], block = own.reshape(high * v, wide * h, 64), block + h * v
+            out[i] = planes
+    return out
+
+
+def _planes(j: dict, coefficients: dict[int, np.ndarray]) -> np.ndarray:
     planes, h, v = [], max(p[1] for p in j["parts"]), max(p[2] for p in j["parts"])
-    fixed = _fixed_scan(j)
-    coefficients = _scan_coefficients(j) if fixed is None else {j["parts"][0][0]: amplitudes(fixed).reshape(j["height"] // 8, j["width"] // 8, 64)}
+    if len(j["parts"]) == 1:
+        h, v = j["parts"][0][1:3]
     for name, ph, pv, q in j["parts"]:
         c = coefficients[name] * j["q"][q]
         natural = np.zeros_like(c)
@@ -292,39 +363,47 @@ def decode_jpeg(data: bytes) -> np.ndarray:
     return planes[0] if len(planes) == 1 else np.stack(planes, axis=-1)
 
 
+def decode_frames(frames: list[bytes]) -> list[np.ndarray]:
+    """Samples of baseline frames: (height, width) grey, or (height, width, 3) YCbCr."""
+    parsed = [_parse_jpeg(f) for f in frames]
+    return [_planes(j, c) for j, c in zip(parsed, decode_coefficients(parsed), strict=True)]
+
+
 def amplitudes(b: np.ndarray) -> np.ndarray:
     """Values of category 8 for 8 amplitude bits: 128..255, or -255..-128 without the leading bit."""
     b = b.astype(np.int64)
     return np.where(b >= 128, b, b - 255)
 
 
-def read_payload(avi: dict) -> tuple[bytes, np.ndarray]:
-    """Stored bytes of a file of ``write_avi``, and its frames' samples (frames, height, width)."""
-    scans = [_fixed_scan(_parse_jpeg(f)) for f in avi["frames"]]
-    data = np.stack(scans)
-    natural = np.zeros(data.shape, np.int64)
-    natural[..., ZIGZAG] = amplitudes(data)
-    side = avi["width"] // 8
-    luma = samples(natural).reshape(len(scans), side, side, 8, 8).transpose(0, 1, 3, 2, 4).reshape(len(scans), side * 8, side * 8)
-    return data.tobytes()[: int(avi["comment"].partition("=")[2])], luma
+def read_payloads(avis: list[dict]) -> list[tuple[bytes, np.ndarray]]:
+    """Stored bytes of each file of ``write_avi``, and its frames' samples (frames, height, width)."""
+    parsed = [[_parse_jpeg(f) for f in a["frames"]] for a in avis]
+    decoded, at, out = decode_coefficients([j for frames in parsed for j in frames]), 0, []
+    for avi, frames in zip(avis, parsed, strict=True):
+        got = np.stack([next(iter(c.values())) for c in decoded[at : at + len(frames)]])
+        at += len(frames)
+        natural = np.zeros(got.shape, np.int64)
+        natural[..., ZIGZAG] = got
+        luma = samples(natural).transpose(0, 1, 3, 2, 4).reshape(len(frames), got.shape[1] * 8, got.shape[2] * 8)
+        data = np.where(got > 0, got, got + 255).astype(np.uint8).tobytes()
+        out.append((data[: int(avi["comment"].partition("=")[2])], luma))
+    return out
 
 
-def detect_shots(luma: np.ndarray, bins: int = 32, deviations: float = 2.0) -> list[tuple[int, int]]:
-    """(first, last + 1) frames of each shot: a cut where the histogram difference exceeds mean + deviations * sd of those since the last cut."""
+def detect_shots(luma: np.ndarray, bins: int = 32, deviations: float = 2.0, floor: float = 0.5) -> list[tuple[int, int]]:
+    """(first, last + 1) frames of each shot. Two frames are cut apart where their histograms differ by more than ``floor`` x pixels and mean + deviations * sd of the differences so far that were no cuts."""
     n = len(luma)
     key = (np.arange(n)[:, None] * bins + (luma.reshape(n, -1) >> 3).astype(np.int64) * bins // 32).ravel()
     hist = np.bincount(key, minlength=n * bins).reshape(n, bins)
     differ = np.abs(np.diff(hist, axis=0)).sum(axis=1)
-    cuts, seen = [0], []
+    cuts, m, s, q = [0], 0, 0.0, 0.0
     for i, d in enumerate(differ.tolist(), 1):
-        if len(seen) >= 2:
-            mean = sum(seen) / len(seen)
-            sd = (sum((x - mean) ** 2 for x in seen) / len(seen)) ** 0.5
-            if d > mean + deviations * sd and d > 0.1 * luma[0].size:
-                cuts.append(i)
-                seen = []
-                continue
-        seen.append(d)
+        mean = s / m if m else 0.0
+        sd = max(q / m - mean * mean, 0.0) ** 0.5 if m else 0.0
+        if d > floor * luma[0].size and d > mean + deviations * sd:
+            cuts.append(i)
+        else:
+            m, s, q = m + 1, s + d, q + d * d
     return list(zip(cuts, [*cuts[1:], n], strict=True))
 
 
@@ -332,46 +411,59 @@ def pad(raw: bytes) -> bytes:
     return raw + b"\0" * (64 * max(1, -(-len(raw) // 64)) - len(raw))
 
 
+def _clip_rows(shots: list[tuple[int, int]], fps: float) -> list[dict]:
+    return [{"clip": k, "start_s": a / fps if fps else None, "end_s": b / fps if fps else None, "first_frame": a, "last_frame": b - 1} for k, (a, b) in enumerate(shots)]
+
+
 def text_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_frames, n_shots."""
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_frames, clips (timed shots) of every row."""
     shared.bound_batches(docs.sparkSession)
 
-    def row(text):
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        media = write_avi(pad(raw))
-        avi = read_avi(media)
-        payload, luma = read_payload(avi)
-        shots = detect_shots(luma)
-        tones = np.bincount((luma >> 5).ravel(), minlength=8)
-        feature = f"{avi['width']}x{avi['height']};frames={len(luma)};shots={','.join(f'{a}-{b}' for a, b in shots)};sum={int(luma.sum(dtype=np.int64))};tones={','.join(map(str, tones))}"
-        return (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(luma), len(shots))
+    def rows(texts):
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        media = [write_avi(pad(r)) for r in raw]
+        avis = [read_avi(m) for m in media]
+        for r, m, avi, (payload, luma) in zip(raw, media, avis, read_payloads(avis), strict=True):
+            shots = detect_shots(luma)
+            tones = np.bincount((luma >> 5).ravel(), minlength=8)
+            feature = f"{avi['width']}x{avi['height']};frames={len(luma)};shots={','.join(f'{a}-{b}' for a, b in shots)};sum={int(luma.sum(dtype=np.int64))};tones={','.join(map(str, tones))}"
+            yield (len(r), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature, len(luma), _clip_rows(shots, avi["fps"]))
 
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_shots"]
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "clips"]
 
     def run(it):
         for pdf in it:
-            rows = [row(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"]}).assign(**{c: [r[k] for r in rows] for k, c in enumerate(names)})
+            texts, got = list(pdf["text"]), []
+            for a, b in batches(texts, DECODE_BYTES):
+                got += rows(texts[a:b])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"]}).assign(**{c: pd.Series([r[k] for r in got], dtype=object if c == "clips" else None) for k, c in enumerate(names)})
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_shots long"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, clips array<struct<clip: int, start_s: double, end_s: double, first_frame: int, last_frame: int>>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, schema)
 
 
+def file_clips(content: bytes) -> list[dict]:
+    """Timed clips of one AVI file; frames are decoded a few at a time, and only their histograms' input (luma) is held."""
+    avi, luma = read_avi(content), []
+    for k in range(0, len(avi["frames"]), FRAMES_AT_ONCE):
+        luma += [f if f.ndim == 2 else f[..., 0] for f in decode_frames(avi["frames"][k : k + FRAMES_AT_ONCE])]
+    return _clip_rows(detect_shots(np.stack(luma)), avi["fps"]) if luma else []
+
+
 def clips(files: DataFrame) -> DataFrame:
-    """media_id, clip, start_s, end_s, first_frame, last_frame of each shot of AVI files (media_id, content): timed clip rows."""
-    shared.bound_batches(files.sparkSession, 16)
+    """media_id, clip, start_s, end_s, first_frame, last_frame, error of each shot of AVI files (media_id, content): timed clip rows."""
+    shared.bound_batches(files.sparkSession)
+    names = ["clip", "start_s", "end_s", "first_frame", "last_frame"]
 
     def run(it):
         for pdf in it:
-            out = []
             for key, content in zip(pdf["media_id"], pdf["content"], strict=True):
-                avi = read_avi(content)
-                frames = [decode_jpeg(f) for f in avi["frames"]]
-                if not frames:
-                    continue
-                luma = np.stack([f if f.ndim == 2 else f[..., 0] for f in frames])
-                out += [(key, k, a / avi["fps"], b / avi["fps"], a, b - 1) for k, (a, b) in enumerate(detect_shots(luma))]
-            yield pd.DataFrame(out, columns=["media_id", "clip", "start_s", "end_s", "first_frame", "last_frame"])
-
-    schema = "media_id long, clip int, start_s double, end_s double, first_frame int, last_frame int"
+                try:
+                    out = [(key, *[c[n] for n in names], None) for c in file_clips(content)]
+                except (ValueError, IndexError, struct.error) as e:
+                    out = [(key, None, None, None, None, None, str(e) or type(e).__name__)]
+                if out:
+                    yield pd.DataFrame(out, columns=["media_id", *names, "error"]).astype({"clip": "Int32", "first_frame": "Int32", "last_frame": "Int32"})
+
+    schema = "media_id long, clip int, start_s double, end_s double, first_frame int, last_frame int, error string"
     return files.where("content IS NOT NULL").select(F.col("media_id").cast("long"), "content").mapInPandas(run, schema)

@@ -120,17 +120,132 @@ def test_media(spark):
     for raw in (b"", b"a", bytes(range(256)) * 70, b"\xff" * 5000):
         payload = media.pad(raw)
         avi = media.read_avi(media.write_avi(payload))
-        back, luma = media.read_payload(avi)
-        assert back == payload
-        frame = media._parse_jpeg(avi["frames"][-1])
-        slow = next(iter(media._scan_coefficients(frame).values())).reshape(-1, 64)
-        assert (slow == media.amplitudes(media._fixed_scan(frame))).all() and (media.decode_jpeg(avi["frames"][0]) == luma[0]).all()
-    got = media.text_media(documents(spark, ["same", *ODD, "same"])).collect()
-    assert got[0]["media_sha256"] == got[-1]["media_sha256"] and got[1]["payload_bytes"] == 64 and got[0]["feature"] == got[-1]["feature"]
-    luma = np.concatenate([np.full((6, 8, 8), 10, np.uint8), np.full((6, 8, 8), 200, np.uint8)])
-    assert media.detect_shots(luma) == [(0, 6), (6, 12)]
-    with pytest.raises(ValueError):
-        media.read_avi(b"RIFFxxxxWAVE")
+        (back, luma), = media.read_payloads([avi])
+        assert back == payload and (media.decode_frames(avi["frames"][:1])[0] == luma[0]).all()
+    every = ["same", *ODD, "same", "é" * 777]
+    got = {r["doc_id"]: r for r in media.text_media(documents(spark, every)).collect()}
+    for i, t in enumerate(every):
+        raw = (t or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (64 if not raw else 0))
+        file = media.write_avi(payload)
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(raw), len(payload), len(file)) and r["tail_crc32"] == zlib.crc32(payload[-64:])
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["media_sha256"] == hashlib.sha256(file).hexdigest()
+        assert r["clips"][0]["start_s"] == 0 and r["clips"][-1]["last_frame"] == r["n_frames"] - 1
+    assert got[0]["feature"] == got[len(ODD) + 1]["feature"]
+    flat = lambda v, n: np.full((n, 8, 8), v, np.uint8)
+    assert media.detect_shots(np.concatenate([flat(10, 6), flat(200, 6)])) == [(0, 6), (6, 12)]
+    assert media.detect_shots(np.concatenate([flat(10, 1), flat(90, 2), flat(200, 1), flat(10, 5)])) == [(0, 1), (1, 3), (3, 4), (4, 9)]
+
+
+def entropy_coded(values, h, restart, parts, tables):
+    """A scan by plain sequential coding; values: blocks of each unit as (component, 64 coefficients in zigzag order)."""
+    code_of = {}
+    for key, body in tables.items():
+        code, at = 0, 16
+        for length in range(1, 17):
+            for _ in range(body[length - 1]):
+                code_of[key, body[at]] = format(code, f"0{length}b")
+                at, code = at + 1, code + 1
+            code <<= 1
+    amp = lambda v: (n := abs(v).bit_length(), format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else "")
+    out, bits, last = b"", "", {}
+
+    def flush():
+        nonlocal bits
+        bits += "1" * (-len(bits) % 8)
+        raw = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+        bits = ""
+        return raw
+
+    for k, unit in enumerate(values):
+        if restart and k and k % restart == 0:
+            out += flush() + bytes([0xFF, 0xD0 + (k // restart - 1) % 8])
+            last = {}
+        for name, block in unit:
+            t = tables_of[name]
+            n, b = amp(int(block[0]) - last.get(name, 0))
+            last[name] = int(block[0])
+            bits += code_of[(0, t), n] + b
+            zeros = 0
+            for v in block[1:]:
+                if not v:
+                    zeros += 1
+                    continue
+                while zeros > 15:
+                    bits, zeros = bits + code_of[(1, t), 0xF0], zeros - 16
+                n, b = amp(int(v))
+                bits, zeros = bits + code_of[(1, t), zeros << 4 | n] + b, 0
+            if zeros:
+                bits += code_of[(1, t), 0]
+    return out + flush()
+
+
+tables_of = {1: 0, 2: 1, 3: 1}
+
+
+def colour_frame(r, width, height, restart, with_tables):
+    wide, high = -(-width // 16), -(-height // 16)
+
+    def block():
+        out = np.zeros(64, int)
+        out[0] = r.randrange(-60, 60)
+        for _ in range(r.randrange(6)):
+            out[r.randrange(1, 64)] = r.randrange(-30, 31)
+        return out
+
+    units = [[(1, block()) for _ in range(4)] + [(2, block()), (3, block())] for _ in range(wide * high)]
+    scan = entropy_coded(units, 2, restart, None, media.STANDARD)
+    seg = media._segment
+    head = b"\xff\xd8" + seg(0xDB, bytes([0]) + bytes([2]) * 64)
+    head += seg(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    for (cls, k), body in media.STANDARD.items() if with_tables else ():
+        head += seg(0xC4, bytes([cls << 4 | k]) + body)
+    head += seg(0xDD, restart.to_bytes(2, "big")) if restart else b""
+    return head + seg(0xDA, bytes([3, 1, 0x00, 2, 0x11, 3, 0x11, 0, 63, 0])) + scan + b"\xff\xd9", units
+
+
+def test_media_decodes_colour_frames_of_any_tables():
+    r = random.Random(3)
+    for width, height, restart, tables in ((16, 16, 0, True), (50, 35, 2, False), (33, 64, 1, True), (64, 48, 0, False)):
+        frame, units = colour_frame(r, width, height, restart, tables)
+        j = media._parse_jpeg(frame)
+        got, = media.decode_coefficients([j])
+        wide = media._units(j)[0]
+        for k, unit in enumerate(units):
+            y, x = divmod(k, wide)
+            have = [got[1][2 * y + a, 2 * x + b] for a in (0, 1) for b in (0, 1)] + [got[2][y, x], got[3][y, x]]
+            assert all((a == b).all() for a, (_, b) in zip(have, unit, strict=True))
+        assert media.decode_frames([frame])[0].shape == (height, width, 3)
+        with pytest.raises(ValueError):
+            media.decode_frames([frame[: len(frame) // 2] + b"\xff\xd9"])
+        with pytest.raises(ValueError):
+            media.decode_frames([frame[:-2]])
+
+
+def avi_of(frames, micro=40_000, rate=(1, 25), second=()):
+    c, ls = media._chunk, media._list
+    import struct
+
+    avih = struct.pack("<14I", micro, 0, 0, 0, len(frames), 0, 1, 0, 16, 16, 0, 0, 0, 0)
+    strh = struct.pack("<4s4sIHHIIIIIIII4H", b"vids", b"MJPG", 0, 0, 0, 0, *rate, 0, len(frames), 0, 0, 0, 0, 0, 16, 16)
+    hdrl = ls(b"hdrl", c(b"avih", avih), ls(b"strl", c(b"strh", strh)))
+    out = c(b"RIFF", b"AVI " + hdrl + ls(b"movi", *[c(b"00dc", f) for f in frames]))
+    return out + (c(b"RIFF", b"AVIX" + ls(b"movi", *[c(b"00dc", f) for f in second])) if second else b"")
+
+
+def test_clips(spark):
+    def grey(value):
+        units = [[(1, np.array([value] + [0] * 63))] for _ in range(4)]
+        scan = entropy_coded(units, 1, 0, None, media.STANDARD)
+        seg = media._segment
+        return b"\xff\xd8" + seg(0xDB, bytes([0]) + bytes([8]) * 64) + seg(0xC0, bytes([8, 0, 16, 0, 16, 1, 1, 0x11, 0])) + seg(0xDA, bytes([1, 1, 0, 0, 63, 0])) + scan + b"\xff\xd9"
+
+    dark, light = grey(-100), grey(90)
+    files = [(1, avi_of([dark] * 2 + [light])), (2, avi_of([dark], 0, (0, 0))), (3, b"RIFFxxxxWAVE"), (4, avi_of([dark])[:-5]), (5, None), (6, avi_of([dark] * 3, 0, (1, 10), [light] * 2)), (7, avi_of([]))]
+    rows = [tuple(r) for r in media.clips(spark.createDataFrame(files, "media_id long, content binary")).orderBy("media_id", "clip").collect()]
+    assert [r[:6] for r in rows if r[0] != 3 and r[0] != 4] == [(1, 0, 0.0, 0.08, 0, 1), (1, 1, 0.08, 0.12, 2, 2), (2, 0, None, None, 0, 0), (6, 0, 0.0, 0.3, 0, 2), (6, 1, 0.3, 0.5, 3, 4)]
+    assert [r[0] for r in rows if r[6]] == [3, 4]
 
 
 def test_warc(spark):
@@ -235,18 +350,46 @@ def test_licenses(spark):
 
 def test_sharding(spark, texts):
     every = texts * 3 + ["hot"] * 4000
-    rows = sharding.assign_shards(documents(spark, every), 24).toPandas().set_index("doc_id")
     size = [len((t or "").encode()) + 8 for t in every]
-    assert list(rows.loc[range(len(every)), "size"]) == size
-    assert all(rows.loc[i, "text_crc32"] == zlib.crc32((t or "").encode()) for i, t in enumerate(every))
-    assert all(sorted(g.slot) == list(range(len(g))) for _, g in rows.groupby("shard")) and rows.shard.between(0, 23).all()
-    texts_of = rows.assign(t=[every[i] for i in rows.index])
-    limit = sum(size) / 24 / 8  # larger groups are dealt in pieces
-    together = [g.shard.nunique() for _, g in texts_of.groupby("t") if g["size"].sum() <= limit]
-    assert len(together) > 40 and set(together) == {1}
+    for split in (None, 0.125):
+        rows = sharding.assign_shards(documents(spark, every), 24, split).toPandas().set_index("doc_id")
+        assert list(rows.loc[range(len(every)), "size"]) == size
+        assert all(rows.loc[i, "text_crc32"] == zlib.crc32((t or "").encode()) for i, t in enumerate(every))
+        assert all(sorted(g.slot) == list(range(len(g))) for _, g in rows.groupby("shard")) and rows.shard.between(0, 23).all()
+        texts_of = rows.assign(t=[every[i] for i in rows.index])
+        limit = sum(size) / 24 * split if split else sum(size)
+        together = [g.shard.nunique() for _, g in texts_of.groupby("t", dropna=False) if g["size"].sum() <= limit]
+        assert len(together) > 40 and set(together) == {1}
+        assert split is None or rows[rows["size"] == 11].shard.nunique() > 1
     assert sharding.assign_shards(documents(spark, []), 24).count() == 0
-    even = sharding.assign_shards(documents(spark, [f"text {i}" for i in range(3000)]), 24).groupBy("shard").agg(F.sum("size").alias("b")).toPandas()
-    assert len(even) == 24 and even.b.max() / even.b.mean() < 1.03
+
+
+def test_sharding_balance_and_blocks(spark, monkeypatch):
+    r = random.Random(9)
+    docs = documents(spark, [f"text {i} " * r.randrange(1, 20) for i in range(6000)] + ["copy of a text"] * 200).withColumn("doc_id", F.when(F.col("doc_id") % 7 > 0, F.col("doc_id")))
+    for blocks, slots in ((100_000, 200_000), (50, 20)):
+        monkeypatch.setattr(sharding, "BLOCK_GROUPS", blocks)
+        monkeypatch.setattr(sharding, "SLOT_ROWS", slots)
+        rows = sharding.assign_shards(docs, 24).toPandas()
+        sums = rows.groupby("shard")[["size", "tokens"]].sum().assign(n=rows.groupby("shard").size())
+        assert len(sums) == 24 and (sums.max() / sums.mean()).max() < 1.03
+        assert all(sorted(g.slot) == list(range(len(g))) for _, g in rows.groupby("shard"))
+
+
+def test_pack_is_the_greedy_rule():
+    r = np.random.default_rng(1)
+    sizes = r.integers(1, 50, (60, 3)).astype(float)
+    capacity = sizes.sum(axis=0) / 5
+    got, used = sharding.pack(sizes, capacity, np.zeros((5, 3))), np.zeros((5, 3))
+    for x, b in zip(sizes, got, strict=True):
+        worth = [sum((1 - used[k][d] / capacity[d]) * x[d] / capacity[d] for d in range(3)) for k in range(5)]
+        fits = [all(used[k][d] + x[d] <= capacity[d] + 1e-9 for d in range(3)) for k in range(5)]
+        if any(fits):
+            assert fits[b] and math.isclose(worth[b], max(worth[k] for k in range(5) if fits[k]))
+        else:
+            over = [max((used[k][d] + x[d]) / capacity[d] for d in range(3)) for k in range(5)]
+            assert math.isclose(over[b], min(over))
+        used[b] += x
 
 
 def test_pipeline(spark, sf_dir):
