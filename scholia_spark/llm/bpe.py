@@ -15,6 +15,7 @@ import heapq
 import json
 import unicodedata
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -39,9 +40,7 @@ def byte_symbols() -> list[str]:
 
 
 class Bpe:
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, spec: dict):
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -127,18 +126,27 @@ class Bpe:
 _LOADED: dict[str, Bpe] = {}
 
 
-def load(path: str) -> Bpe:
-    if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
-    return _LOADED[path]
+def load(content: bytes) -> Bpe:
+    """The vocabulary of a file's content, once a worker."""
+    key = hashlib.sha256(content).hexdigest()
+    if key not in _LOADED:
+        _LOADED[key] = Bpe(json.loads(content))
+    return _LOADED[key]
+
+
+def _shipped(docs: DataFrame, path: str):
+    """The vocabulary file (a few MB), read by the driver and broadcast: workers need no path of their own."""
+    with open(path, "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids array<int>, decoded string of every row (general interface)."""
     shared.bound_batches(docs.sparkSession)
+    shipped = _shipped(docs, path)
 
     def run(it):
-        bpe = load(path)
+        bpe = load(shipped.value)
         for pdf in it:
             ids = [bpe.encode(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": pd.Series(ids, dtype=object), "decoded": [bpe.decode(x) for x in ids]})
@@ -146,20 +154,27 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, ids array<int>, decoded string")
 
 
-def digest_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
+def digest_documents(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; ``with_ids`` adds ids array<int>."""
     shared.bound_batches(docs.sparkSession)
+    shipped = _shipped(docs, path)
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
 
-    def digest(parts):
-        return hashlib.sha256(" ".join(parts).encode("utf-8", "surrogatepass")).hexdigest()
+    def digest(text):
+        return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(it):
-        bpe = load(path)
+        bpe = load(shipped.value)
         for pdf in it:
-            rows = []
+            rows, ids = [], []
             for t in pdf["text"]:
                 p = bpe.pieces(t)
-                rows.append((sum([x[0] for x in p]), digest([x[1] for x in p]), digest([x[2] for x in p])))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"]}).assign(**{c: [r[k] for r in rows] for k, c in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))})
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                said = " ".join([x[1] for x in p])
+                rows.append((sum([x[0] for x in p]), digest(said), digest(" ".join([x[2] for x in p]))))
+                if with_ids:
+                    ids.append(np.array(said.split(" ") if said else [], np.int32))
+            out = pd.DataFrame({"doc_id": pdf["doc_id"]}).assign(**{c: [r[k] for r in rows] for k, c in enumerate(names)})
+            yield out.assign(ids=pd.Series(ids, dtype=object)) if with_ids else out
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, schema)

@@ -87,7 +87,7 @@ def _ordered(conversations: DataFrame) -> DataFrame:
 
 def format_segments(conversations: DataFrame, template: Template | None = None) -> DataFrame:
     """conv_id, turn_no, segment, text, loss: the formatted output as rows (general interface)."""
-    shared.bound_batches(conversations.sparkSession, 1000)
+    shared.bound_batches(conversations.sparkSession)
     template = template or Template()
 
     def run(it):
@@ -106,7 +106,7 @@ def format_segments(conversations: DataFrame, template: Template | None = None)
 
 def conversation_digests(conversations: DataFrame, template: Template | None = None) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid, read back from the formatted text."""
-    shared.bound_batches(conversations.sparkSession, 1000)
+    shared.bound_batches(conversations.sparkSession)
     template = template or Template()
     columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
 

@@ -7,8 +7,8 @@
 3. Stars: within each shingle and size band, everybody is paired with the smallest member. A parity bitmap per set bounds
    the symmetric difference from below and drops pairs that can't reach the threshold; the rest is joined exactly by
    the trie. This folds large groups of near copies into few components in linear work.
-4. Rest: shingles that still span several components give the pairs between components, again through the bitmaps and
-   the trie, in blocks of bounded size. Links within one component can't change it, so no component is lost.
+4. Rest: shingles that still span several components give the pairs between components, of neighbouring size bands, again
+   through the bitmaps and the trie, in blocks of bounded size. Links within one component can't change it, so no component is lost.
 
 The trie holds the globally ordered sets of a block; a probe descends it, shares the overlap of common paths, and leaves
 a subtree once the overlap so far plus what can remain on either side stays below what its smallest set demands.
@@ -38,6 +38,8 @@ _U = np.uint64
 #: Most frequent shingles kept for the global order (bounds a broadcast of 3.2 MB), and the chunk of shingles counted at once.
 HEAVY = 200_000
 CHUNK = 2_000_000
+#: Share of all rows beyond which a class of equal sets is joined by broadcast.
+HOT = 1 / 2000
 #: Rows of a block in a pass over pairs, and sets of a trie.
 BLOCK = 1024
 TRIE_SETS = 64
@@ -52,10 +54,10 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
         if k >= n:
             out.append(np.unique(grams[at : at + k - n + 1]))
         elif k:
-            h = _U(k)
-            for w in hashes[at : at + k]:
-                h = mix(np.array([h ^ w], _U))[0] + w
-            out.append(np.array([h], _U))
+            h = np.array([k], _U)
+            for i in range(at, at + k):
+                h = mix(h ^ hashes[i : i + 1]) + hashes[i : i + 1]
+            out.append(h)
         else:
             out.append(np.empty(0, _U))
         at += k
@@ -266,17 +268,20 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, ord
         return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
     cut = rows.repartition("a", "part").sortWithinPartitions("a", "part").select("a", "part", "doc", "tokens")
-    return shared.keep(cut.mapInPandas(run, "u long, v long"), f"{name}-links")
+    links = shared.keep(cut.mapInPandas(run, "u long, v long"), f"{name}-links")
+    shared.forget(wanted)
+    shared.forget(sets)
+    return links
 
 
 def _pairs_between(it: Iterator[pd.DataFrame], num: int, den: int) -> Iterator[pd.DataFrame]:
-    """Pairs of different components within each (token, i, j) block that size and bitmaps allow; rows come sorted by block."""
+    """Pairs of different components within each (token, low, i, j) block that size and bitmaps allow, one of the two in band ``low``; rows come sorted by block."""
     carry = None
-    keys = ["token", "i", "j"]
+    keys = ["token", "low", "i", "j"]
 
     def found(pdf):
         key = pdf[keys].to_numpy()
-        doc, n, comp, side = (pdf[c].to_numpy() for c in ("doc", "n", "component", "side"))
+        doc, n, comp, side, own = (pdf[c].to_numpy() for c in ("doc", "n", "component", "side", "own"))
         bits = [np.frombuffer(b, _U) for b in pdf["bits"]]
         out, k = [], 1
         while k < len(pdf):
@@ -284,7 +289,7 @@ def _pairs_between(it: Iterator[pd.DataFrame], num: int, den: int) -> Iterator[p
             if not same.any():
                 break
             at = np.flatnonzero(same & (comp[k:] != comp[:-k]) & (den * np.minimum(n[k:], n[:-k]) >= num * np.maximum(n[k:], n[:-k])))
-            at = at[(key[at, 1] == key[at, 2]) | (side[at] != side[at + k])]
+            at = at[((key[at, 2] == key[at, 3]) | (side[at] != side[at + k])) & (own[at] | own[at + k])]
             for c in range(0, at.size, 50_000):
                 x = at[c : c + 50_000]
                 y = x + k
@@ -315,7 +320,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     heavy = read.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).orderBy(F.desc("b"), "a").limit(HEAVY).toPandas()
     order = spark.sparkContext.broadcast(Order(heavy["a"].to_numpy(np.int64).view(_U), heavy["b"].to_numpy(np.int64)))
 
-    classes = shared.keep(rows.where("n_shingles > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("doc")), "jaccard-classes")
+    classes = shared.keep(rows.where("n_shingles > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("c")), "jaccard-classes")
     nodes = texts.where("doc_id IS NOT NULL")
     only = shared.keep(classes.select("doc").distinct(), "jaccard-nodes")
     prefixes = _prefixes(nodes, n, num, den, order)
@@ -341,21 +346,34 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     links = _verified(nodes, star, n, num, den, order, "jaccard-star")
     first = shared.keep(connected_components(links, "jaccard-first"), "jaccard-first")
 
-    labelled = dealt.join(first, dealt["doc"] == first["node"], "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("component"))
-    open_ = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x <> y")
-    open_ = open_.select("token", F.ceil(F.col("c") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    rest = labelled.join(open_, "token").join(prefixes.select("doc", "bits"), "doc").withColumn("block", F.expr("cast(pmod(xxhash64(doc), blocks) as int)"))
+    labelled = dealt.join(first, dealt["doc"] == first["node"], "left").select("token", "band", "doc", "n", F.coalesce("component", "doc").alias("component"))
+    # sets that link are of one band or of bands that follow each other: a pair meets at its lower band
+    labelled = labelled.withColumn("low", F.explode(F.array("band", F.col("band") - 1))).withColumn("own", F.col("low") == F.col("band")).drop("band")
+    open_ = labelled.groupBy("token", "low").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("own").alias("any"), F.count("*").alias("c")).where("x <> y AND any")
+    open_ = open_.select("token", "low", F.ceil(F.col("c") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    rest = labelled.join(open_, ["token", "low"]).join(prefixes.select("doc", "bits"), "doc").withColumn("block", F.expr("cast(pmod(xxhash64(doc), blocks) as int)"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("side"), "doc", "n", "component", "bits")
-    rest = rest.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n")
+    rest = rest.select("token", "low", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("side"), "own", "doc", "n", "component", "bits")
+    rest = rest.repartition("token", "low", "i", "j").sortWithinPartitions("token", "low", "i", "j", "n")
     pairs = shared.keep(rest.mapInPandas(lambda it: _pairs_between(it, num, den), "a long, b long").distinct(), "jaccard-rest")
     more = _verified(nodes, pairs, n, num, den, order, "jaccard-rest")
-    final = shared.keep(connected_components(links.union(more), "jaccard-final"), "jaccard-final")
-    for used in (dealt, prefixes):
+    # an id with several texts ties their classes together
+    several = rows.groupBy("doc_id").agg(F.min("sig1").alias("x"), F.max("sig1").alias("y")).where("x <> y").select("doc_id")
+    ties = rows.join(several, "doc_id").join(classes, ["sig1", "sig2"]).where("doc <> doc_id").select(F.col("doc").alias("u"), F.col("doc_id").alias("v"))
+    final = shared.keep(connected_components(links.union(more).union(ties), "jaccard-final"), "jaccard-final")
+
+    named = classes.join(final, classes["doc"] == final["node"], "left").select("sig1", "sig2", "c", F.coalesce("component", "doc").alias("component_id"))
+    named = shared.keep(named, "jaccard-named")
+    total = rows.count()
+    hot, cold = (named.where(F.expr(f"c {sign} {HOT * total}")).drop("c") for sign in (">", "<="))
+    full = rows.where("n_shingles > 0")
+    spread = full.join(F.broadcast(hot), ["sig1", "sig2"])  # at most 1 / HOT classes: copies of one text needn't meet in a task
+    others = full.join(F.broadcast(hot), ["sig1", "sig2"], "left_anti").join(cold, ["sig1", "sig2"])
+    bare = rows.where("n_shingles = 0").join(final, F.col("doc_id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    columns = ["doc_id", "n_shingles", "component_id"]
+    out = shared.keep(spread.select(columns).union(others.select(columns)).union(bare.select(columns)), "jaccard-out")
+    for used in (read, classes, only, prefixes, dealt, star, links, first, pairs, more, final, named):
         shared.forget(used)
-
-    named = classes.join(final, classes["doc"] == final["node"], "left").select("sig1", "sig2", F.coalesce("component", "doc").alias("component_id"))
-    out = rows.join(named, ["sig1", "sig2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     lost = texts.where("doc_id IS NULL").mapInPandas(
         lambda it: (pd.DataFrame({"n_shingles": [s.size for _, s in _all_sets(p, n)]}) for p in it), "n_shingles long"
     )
@@ -370,5 +388,6 @@ def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     out = shared.keep_only(docs.where("doc_id IS NOT NULL"), ids.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "doc_id", ids.count())
     one = Window.partitionBy("doc_id").orderBy(*[F.xxhash64(*same)])
     repeated = out.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    first = out.join(repeated, "doc_id", "left_semi").withColumn("_place", F.row_number().over(one)).where("_place = 1").drop("_place")
+    place = shared.fresh(docs, "place")
+    first = out.join(repeated, "doc_id", "left_semi").withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).drop(place)
     return out.join(repeated, "doc_id", "left_anti").unionByName(first).unionByName(docs.where("doc_id IS NULL")).select(*same)

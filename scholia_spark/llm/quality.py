@@ -143,8 +143,8 @@ def score_texts(texts: list[str | None], weights: np.ndarray, bias: float) -> np
     return 1.0 / (1.0 + np.exp(-2.0 * np.clip(margins, -40, 40)))
 
 
-def classify(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with score and predicted (1 if score >= threshold); clashing columns of these names are replaced."""
+def classify(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """``docs`` with score and predicted (1 if score >= threshold) under the names given; columns of these names are replaced."""
     spark = docs.sparkSession
     shared.bound_batches(spark)
     shipped = spark.sparkContext.broadcast(model)  # 2**HASH_BITS float32
@@ -156,8 +156,8 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float
             out.append(score_texts(texts[a:b], *shipped.value))
         return pd.Series(np.concatenate(out) if out else np.empty(0))
 
-    out = docs.withColumn("score", scored(F.col("text").cast("string")))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    out = docs.withColumn(score, scored(F.col("text").cast("string")))
+    return out.withColumn(predicted, (F.col(score) >= threshold).cast("int"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_rows: int = MAX_ROWS) -> DataFrame:

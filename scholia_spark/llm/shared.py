@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 
 from scholia_spark.session import ship_package
 
-#: Ids that may be broadcast: 8 bytes each, so 16 MB at most. Beyond it a shuffle join is used.
-BROADCAST_IDS = 2_000_000
+#: Keys that may be broadcast: 16 bytes each at most, about 40 MB with their hash table. Beyond it a shuffle join is used.
+BROADCAST_IDS = 500_000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 500
 _OWN: dict[str, str] = {}
 
 
 def base_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset (tests, a single machine)."""
+    """The folder of spark.checkpoint.dir; one of our own only where that is unset on a single machine. Elsewhere that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="scholia-"))
     return base.rstrip("/")
@@ -47,13 +52,27 @@ def forget(df: DataFrame | None) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def bound_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows: texts may be very long, and a batch is what a Python worker holds. Also ships the code."""
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows: texts may be very long, and a batch is what a Python worker holds. Also ships the code.
+
+    Frames read the setting when they run, so it is only ever lowered: to the one bound of all operators.
+    """
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
-def keep_only(df: DataFrame, ids: DataFrame, key: str, n_ids: int, how: str = "left_semi") -> DataFrame:
+def keep_only(df: DataFrame, ids: DataFrame, key: str | list[str], n_ids: int, how: str = "left_semi") -> DataFrame:
     """``df`` where ``key`` is in ``ids`` (kept table of ``n_ids`` distinct values): broadcast below the bound, else shuffled."""
     side = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
     return df.join(side, key, how)

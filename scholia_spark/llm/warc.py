@@ -1,13 +1,16 @@
 """WARC archives in Zstandard: the dictionary in a leading skippable frame, then one frame per record.
 
 ``write_archives`` makes archives as rows (archive, content) of bounded size, so that any store Spark writes can hold them
-and a lost task is simply run again; ``read_archives`` loads the dictionary from the first frame, decodes frame by frame
-and validates version line, headers, lengths and digests. Records with equal payloads of at least ``min_bytes`` bytes are
-one response and revisits that name it.
+and a lost task is simply run again; ``read_archives`` loads the dictionary from the first frame (archives without one are
+read, too), decodes frame by frame, whether or not a frame states its size, and validates version line, headers, lengths
+and digests (of the block, and of the payload: the body of an HTTP message, else the block). Records with equal payloads of
+at least ``min_bytes`` bytes are one response and revisits that name it.
 
 Defined cases: null html is an empty payload; of equal payloads that with the smallest page_id is the response (rows that
 repeat this page_id too are responses); rows with a null page_id come after all others, and where no page_id is known all
-are responses; null urls are empty; other columns are ignored; an empty table gives no rows.
+are responses; null urls are empty; other columns are ignored; an empty table gives no rows. Archives of other writers:
+page_id and refers_to are null where a record id isn't ours, payload_bytes is null for revisits that don't state it, records
+of other types are rows with their type, digests of unknown algorithms aren't checked; anything broken is a ValueError.
 """
 
 from __future__ import annotations
@@ -42,10 +45,45 @@ def record_uri(page_id: int | None) -> str:
 
 
 def page_of(uri: str) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d+|null)>", uri)
-    if not found:
-        raise ValueError(f"unknown record {uri!r}")
-    return None if found[1] == "null" else int(found[1])
+    """The page_id in a record id of ``record_uri``; None for others."""
+    found = re.fullmatch(r"<urn:page:(-?\d{1,19})>", uri)
+    return int(found[1]) if found else None
+
+
+#: Header fields that a record has once; the values of others are joined by commas.
+SINGLE = {"warc-type", "warc-record-id", "warc-date", "content-length", "content-type", "warc-payload-digest", "warc-block-digest", "warc-refers-to", "warc-target-uri"}
+
+
+def digest_matches(digest: str, data: bytes) -> bool:
+    """Whether an ``algorithm:value`` digest (base32 or hexadecimal) is that of ``data``; unknown algorithms match."""
+    name, _, value = digest.partition(":")
+    name = name.lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    raw = hashlib.new(name, data).digest()
+    return value.lower() == raw.hex() or value.upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("=")
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """A chunked HTTP body put together, or None if it isn't one."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,8}", size):
+            return None
+        n, at = int(size, 16), end + 2
+        if not n:
+            return b"".join(out)
+        out.append(body[at : at + n])
+        at += n + 2
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> bytes:
+    """The record's payload: the body of an HTTP message, else the block."""
+    if headers.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        return block.partition(b"\r\n\r\n")[2]
+    return block
 
 
 def make_record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
@@ -70,27 +108,39 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
         name, colon, value = line.partition(":")
         if not colon or not re.fullmatch(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+", name):
             raise ValueError(f"broken header {line!r}")
-        headers[name.lower()] = value.strip()
+        name = name.lower()
+        if name in headers and name in SINGLE:
+            raise ValueError(f"header {name} is repeated")
+        headers[name] = f"{headers[name]}, {value.strip()}" if name in headers else value.strip()
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in headers:
             raise ValueError(f"header {name} is missing")
-    if not headers["content-length"].isdigit():
+    if not re.fullmatch("[0-9]{1,18}", headers["content-length"]):
         raise ValueError("content-length is not a number")
     n = int(headers["content-length"])
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise ValueError("content-length differs from the block")
     block = rest[:n]
+    if not digest_matches(headers.get("warc-block-digest", ""), block):
+        raise ValueError("block digest differs")
     digest = headers.get("warc-payload-digest")
-    if headers["warc-type"] == "response" and digest and digest != f"sha1:{payload_digest(block)}":
-        raise ValueError("payload digest differs")
-    if headers["warc-type"] == "revisit" and "warc-refers-to" not in headers:
-        raise ValueError("a revisit names no record")
+    if headers["warc-type"] != "revisit" and digest:  # that of a revisit is of another record's payload
+        payload = payload_of(headers, block)
+        if not digest_matches(digest, payload):
+            whole = _unchunked(payload) if payload is not block else None
+            if whole is None or not digest_matches(digest, whole):
+                raise ValueError("payload digest differs")
     return headers, block
 
 
 def frame_size(data: memoryview, at: int) -> int:
     """Bytes of the frame at ``at``, from its header and block headers."""
-    size = zstd.frame_header_size(bytes(data[at : at + 18]))
+    if int.from_bytes(data[at : at + 4], "little") != ZSTD_MAGIC or at + 5 > len(data):
+        raise ValueError(f"no frame at {at}")
+    try:
+        size = zstd.frame_header_size(bytes(data[at : at + 18]))
+    except zstd.ZstdError as e:
+        raise ValueError(f"broken frame header at {at}: {e}") from None
     checksum = bool(data[at + 4] & 4)
     while True:
         if at + size + 3 > len(data):
@@ -130,23 +180,51 @@ class ArchiveWriter:
 def read_records(archive: bytes):
     """(headers, block) of each record of an archive."""
     view = memoryview(archive)
-    magic, size = struct.unpack_from("<II", view, 0)
-    if magic != DICTIONARY_MAGIC or 8 + size > len(view):
-        raise ValueError("no dictionary frame")
-    dictionary = bytes(view[8 : 8 + size])
+
+    def skippable(at):
+        """Bytes of the skippable frame at ``at``; 0 if none is there."""
+        if at + 8 > len(view) or struct.unpack_from("<I", view, at)[0] & 0xFFFFFFF0 != 0x184D2A50:
+            return 0
+        size = 8 + struct.unpack_from("<I", view, at + 4)[0]
+        if at + size > len(view):
+            raise ValueError("truncated skippable frame")
+        return size
+
+    def opened(frame, decompressor):
+        try:
+            stream = decompressor.decompressobj()
+            out = stream.decompress(frame)
+        except zstd.ZstdError as e:
+            raise ValueError(f"broken frame: {e}") from None
+        if not stream.eof:
+            raise ValueError("truncated frame")
+        return out
+
+    first = skippable(0) if len(view) >= 4 and struct.unpack_from("<I", view, 0)[0] == DICTIONARY_MAGIC else 0
+    dictionary = bytes(view[8:first])
     if dictionary[:4] == struct.pack("<I", ZSTD_MAGIC):  # the dictionary itself may be compressed
-        dictionary = zstd.ZstdDecompressor().decompress(dictionary)
+        dictionary = opened(dictionary, zstd.ZstdDecompressor())
     kind = zstd.ZstdCompressionDict(dictionary, dict_type=zstd.DICT_TYPE_AUTO if dictionary[:4] == b"\x37\xa4\x30\xec" else zstd.DICT_TYPE_RAWCONTENT) if dictionary else None
-    decompressor, at = zstd.ZstdDecompressor(dict_data=kind), 8 + size
+    decompressor, at = zstd.ZstdDecompressor(dict_data=kind), first
     while at < len(view):
-        if struct.unpack_from("<I", view, at)[0] & 0xFFFFFFF0 == 0x184D2A50:
-            at += 8 + struct.unpack_from("<I", view, at + 4)[0]
+        if n := skippable(at):
+            at += n
             continue
         n = frame_size(view, at)
-        yield parse_record(decompressor.decompress(bytes(view[at : at + n])))
+        yield parse_record(opened(bytes(view[at : at + n]), decompressor))
         at += n
 
 
+def _row(h: dict[str, str], block: bytes) -> tuple:
+    """record_id, page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload."""
+    if h["warc-type"] == "revisit":
+        n = h.get("x-payload-length", "")
+        digest = h.get("warc-payload-digest", "").partition(":")[2] or None
+        return h["warc-record-id"], page_of(h["warc-record-id"]), h.get("warc-target-uri", ""), int(n) if n.isdigit() else None, digest, "revisit", page_of(h.get("warc-refers-to", "")), None
+    payload = payload_of(h, block)
+    return h["warc-record-id"], page_of(h["warc-record-id"]), h.get("warc-target-uri", ""), len(payload), payload_digest(payload), h["warc-type"], None, payload
+
+
 def sample_dictionary(pages: DataFrame, rows: int = 32) -> bytes:
     """Raw-content dictionary from the beginnings of a bounded sample of pages (those of the smallest hashes)."""
     got = pages.select(F.substring(F.col("html").cast("string"), 1, 8192).alias("t"), F.xxhash64("page_id", "url").alias("k")).orderBy("k", "t").limit(rows).collect()
@@ -195,45 +273,35 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return shared.keep(rows.mapInPandas(run, "archive string, records long, content binary"), "warc-archives")
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits) of each record."""
-    shared.bound_batches(archives.sparkSession, 8)
-    columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+def _rows_of(archives: DataFrame, wanted: list[str]) -> DataFrame:
+    """Columns of ``_row`` of each record, a few hundred at a time."""
+    shared.bound_batches(archives.sparkSession)
+    names = ["record_id", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+    kinds = dict(zip(names, ("string", "long", "string", "long", "string", "string", "long", "binary"), strict=True))
+
+    def frame(out):
+        return pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})[wanted]
 
     def run(it):
         for pdf in it:
             for content in pdf["content"]:
-                out = []
+                out, size = [], 0
                 for h, block in read_records(content):
-                    revisit = h["warc-type"] == "revisit"
-                    n = int(h["x-payload-length"]) if revisit else len(block)
-                    digest = h["warc-payload-digest"].removeprefix("sha1:") if revisit else payload_digest(block)
-                    out.append((page_of(h["warc-record-id"]), h.get("warc-target-uri", ""), n, digest, h["warc-type"], page_of(h["warc-refers-to"]) if revisit else None, None if revisit else block))
-                    if len(out) >= 500:
+                    out.append(_row(h, block))
+                    size += len(block)
+                    if len(out) >= 500 or size >= ARCHIVE_BYTES:
                         yield frame(out)
-                        out = []
+                        out, size = [], 0
                 yield frame(out)
 
-    def frame(out):
-        return pd.DataFrame(out, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+    return archives.select("content").mapInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in wanted))
+
 
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return archives.select("content").mapInPandas(run, schema)
+def read_archives(archives: DataFrame) -> DataFrame:
+    """record_id, page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits) of each record."""
+    return _rows_of(archives, ["record_id", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
 
 def archive_index(archives: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to: what the archives hold, without the payloads."""
-    shared.bound_batches(archives.sparkSession, 8)
-
-    def run(it):
-        for pdf in it:
-            for content in pdf["content"]:
-                out = []
-                for h, block in read_records(content):
-                    revisit = h["warc-type"] == "revisit"
-                    n = int(h["x-payload-length"]) if revisit else len(block)
-                    digest = h["warc-payload-digest"].removeprefix("sha1:") if revisit else payload_digest(block)
-                    out.append((page_of(h["warc-record-id"]), n, digest, h["warc-type"], page_of(h["warc-refers-to"]) if revisit else None))
-                yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
-
-    return archives.select("content").mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return _rows_of(archives, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
