@@ -330,6 +330,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     common = dealt.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     dealt = dealt.join(common, "token").join(prefixes.select("doc", "n"), "doc")  # far fewer rows by now
     dealt = shared.keep(dealt.withColumn("band", band), "jaccard-dealt")
+    shared.release(spark)
 
     bits = prefixes.select("doc", "n", "bits")
 
@@ -344,6 +345,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     star = star.join(of("a"), "a").join(of("b"), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
     star = shared.keep(star.where(may("na", "nb", "bitsa", "bitsb")).select("a", "b").distinct(), "jaccard-star")
     links = _verified(nodes, star, n, num, den, order, "jaccard-star")
+    shared.release(spark)
     first = shared.keep(connected_components(links, "jaccard-first"), "jaccard-first")
 
     labelled = dealt.join(first, dealt["doc"] == first["node"], "left").select("token", "band", "doc", "n", F.coalesce("component", "doc").alias("component"))
@@ -356,6 +358,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     rest = rest.select("token", "low", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("side"), "own", "doc", "n", "component", "bits")
     rest = rest.repartition("token", "low", "i", "j").sortWithinPartitions("token", "low", "i", "j", "n")
     pairs = shared.keep(rest.mapInPandas(lambda it: _pairs_between(it, num, den), "a long, b long").distinct(), "jaccard-rest")
+    shared.release(spark)
     more = _verified(nodes, pairs, n, num, den, order, "jaccard-rest")
     # an id with several texts ties their classes together
     several = rows.groupBy("doc_id").agg(F.min("sig1").alias("x"), F.max("sig1").alias("y")).where("x <> y").select("doc_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,12 @@ def forget(df: DataFrame | None) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are done: its cleaner acts when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows: texts may be very long, and a batch is what a Python worker holds. Also ships the code.
 
