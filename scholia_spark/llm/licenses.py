@@ -3,41 +3,33 @@
 Texts and templates are words of letters and digits in lower case. Hashes of ``K`` words are winnowed over ``W`` places
 (any shared run of K + W - 1 words shares a fingerprint); the index maps a fingerprint to templates and places. Hits whose
 offsets lie within the band of each other make a candidate, and an alignment within the band (match, insertion, deletion,
-substitution) gives the covered template words and the span in characters of the text.
+substitution) gives the covered template words and the span in characters of the text. A match needs a coverage of
+``COVERAGE`` (of ``SHORT_COVERAGE`` for templates below ``SHORT`` words) and the words in braces of its template, in the text
+as in the template: version 2.0 is no version 3.0, BY-NC-SA no BY-SA.
 
 Defined cases: null and empty texts match nothing; several matches of a template in one text are rows of their own; where
-spans of templates overlap, that with more matched words stays, then the first name; repeated rows repeat their matches;
-an empty table gives no rows.
+spans of templates overlap, that with more matched words stays, then that with more coverage, then the first name; repeated
+rows repeat their matches; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia_spark.llm import shared
+from scholia_spark.llm import license_texts, shared
 from scholia_spark.llm.textkit import ngram_hashes, word_hashes
 
 K = 3
 W = 2
 BAND = 6
 COVERAGE = 0.7
-#: Notices of public licences.
-TEMPLATES: dict[str, str] = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "MIT": "Released under the MIT License.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-}
+SHORT = 25
+SHORT_COVERAGE = 0.8
 
 _KEEP = np.full(256, 0x20, np.uint8)
 for _b in [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]:
@@ -60,10 +52,23 @@ def winnow(grams: np.ndarray, w: int = W) -> np.ndarray:
     return np.unique(np.arange(len(view)) + w - 1 - np.argmin(view[:, ::-1], axis=1))
 
 
+def marked(template: str) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a template, and the places of those in braces."""
+    words, ends, at = [], [], 0
+    for part in re.split(r"[{}]", template):
+        words.append(words_of(part)[0])
+        at += words[-1].size
+        ends.append(at)
+    inside = [np.arange(ends[k - 1], ends[k]) for k in range(1, len(ends), 2)]
+    return np.concatenate(words), np.concatenate([np.empty(0, np.int64), *inside])
+
+
 class Index:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
-        self.words = [words_of(templates[n])[0] for n in self.names]
+        both = [marked(templates[n]) for n in self.names]
+        self.words, self.telling = [w for w, _ in both], [p for _, p in both]
+        self.every_telling = np.unique(np.concatenate([np.empty(0, np.uint64), *[w[p] for w, p in both]]))
         keys, which, at = [], [], []
         for t, words in enumerate(self.words):
             grams = ngram_hashes(words, K)
@@ -71,10 +76,21 @@ class Index:
             keys.append(grams[places])
             which.append(np.full(places.size, t))
             at.append(places)
-        keys, which, at = np.concatenate(keys), np.concatenate(which), np.concatenate(at)
+        keys, which, at = (np.concatenate([np.empty(0, kind), *x]) for x, kind in ((keys, np.uint64), (which, np.int64), (at, np.int64)))
         order = np.argsort(keys, kind="stable")
         self.keys, self.which, self.at = keys[order], which[order], at[order]
 
+    def needed(self, t: int, coverage: float) -> float:
+        return max(coverage, SHORT_COVERAGE) if self.words[t].size < SHORT else coverage
+
+    def tells(self, t: int, words: np.ndarray, pairs: list[tuple[int, int]]) -> bool:
+        """Whether the telling words of the template are matched, and the text has no other such word among them."""
+        text_of = dict(pairs)
+        at = [text_of.get(int(p), -1) for p in self.telling[t]]
+        if not at:
+            return True
+        return min(at) >= 0 and int(np.isin(words[min(at) : max(at) + 1], self.every_telling).sum()) == len(at)
+
     def band(self, t: int) -> int:
         """Words that an alignment may drift: less for short templates, whose matches may follow each other closely."""
         return min(BAND, max(1, self.words[t].size // 4))
@@ -96,38 +112,29 @@ class Index:
         return out
 
 
-def align(template: np.ndarray, words: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
-    """Matched template words of the best alignment near ``shift``, and the first and last text word that match."""
-    n = template.size
-    width = 2 * band + 1
-    score = np.full((n + 1, width), 0)
-    move = np.zeros((n + 1, width), np.int8)
-    for i in range(1, n + 1):
-        for d in range(width):
-            j = i - 1 + shift + d - band
-            best, step = (score[i - 1, d + 1], 1) if d + 1 < width else (-1, 0)  # a template word without partner
-            if d and score[i, d - 1] > best:
-                best, step = score[i, d - 1], 2  # a text word without partner
-            if score[i - 1, d] > best:
-                best, step = score[i - 1, d], 3  # words that differ
-            if 0 <= j < words.size and words[j] == template[i - 1] and score[i - 1, d] + 1 >= best:
-                best, step = score[i - 1, d] + 1, 4
-            score[i, d], move[i, d] = best, step
-    d = int(score[n].argmax())
-    matched, i, first, last = int(score[n, d]), n, -1, -1
+def align(template: np.ndarray, words: np.ndarray, shift: int, band: int = BAND) -> list[tuple[int, int]]:
+    """(template place, text place) of the words that match in the best alignment near ``shift``."""
+    n, width = template.size, 2 * band + 1
+    at = np.arange(n)[:, None] + shift + np.arange(width) - band
+    same = (at >= 0) & (at < words.size)
+    same &= words[np.clip(at, 0, words.size - 1)] == template[:, None]
+    score = np.zeros((n + 1, width), np.int64)
+    for i in range(n):
+        now = score[i] + same[i]
+        now[:-1] = np.maximum(now[:-1], score[i, 1:])  # a template word without partner
+        score[i + 1] = np.maximum.accumulate(now)  # text words without partner
+    i, d, pairs = n, int(score[n].argmax()), []
     while i > 0:
-        step, j = move[i, d], i - 1 + shift + d - band
-        if step == 4:
-            first, last = j, j if last < 0 else last
-        if step in (3, 4):
+        if same[i - 1, d] and score[i, d] == score[i - 1, d] + 1:
+            pairs.append((i - 1, int(at[i - 1, d])))
+            i -= 1
+        elif score[i, d] == score[i - 1, d]:
             i -= 1
-        elif step == 1:
+        elif d + 1 < width and score[i, d] == score[i - 1, d + 1]:
             i, d = i - 1, d + 1
-        elif step == 2:
-            d -= 1
         else:
-            break
-    return matched, first, last
+            d -= 1
+    return pairs[::-1]
 
 
 def scan_text(text: str | None, index: Index, coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
@@ -135,23 +142,25 @@ def scan_text(text: str | None, index: Index, coverage: float = COVERAGE) -> lis
     words, starts, ends = words_of(text)
     found = []
     for t, shift in index.candidates(words):
-        matched, first, last = align(index.words[t], words, shift, index.band(t))
-        share = matched / index.words[t].size
-        if matched and share >= coverage:
-            found.append((-matched, index.names[t], share, first, last))
+        pairs = align(index.words[t], words, shift, index.band(t))
+        share = len(pairs) / index.words[t].size
+        if pairs and share >= index.needed(t, coverage) and index.tells(t, words, pairs):
+            found.append((-len(pairs), -share, index.names[t], pairs[0][1], pairs[-1][1]))
     kept: list[tuple] = []
     for m in sorted(found):
         if all(m[4] < k[3] or m[3] > k[4] for k in kept):
             kept.append(m)
+    if not kept:
+        return []
     raw = (text or "").encode("utf-8", "surrogatepass")
     chars = lambda b: len(raw[:b].decode("utf-8", "surrogatepass"))
-    return [(name, share, -m, chars(starts[a]), chars(ends[b])) for m, name, share, a, b in sorted(kept, key=lambda k: k[3])]
+    return [(name, -share, -m, chars(starts[a]), chars(ends[b])) for m, share, name, a, b in sorted(kept, key=lambda k: k[3])]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, license, coverage, matched_words, start, end_ of every match."""
+    """doc_id, license, coverage, matched_words, start, end of every match; ``templates``: name -> text, telling words in braces."""
     shared.bound_batches(docs.sparkSession)
-    index = Index(TEMPLATES if templates is None else templates)
+    index = Index(license_texts.templates() if templates is None else templates)
 
     def run(it):
         for pdf in it:

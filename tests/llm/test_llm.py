@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scholia_spark.llm import bpe, chat, decontaminate, jaccard, licenses, lm, media, quality, queries, sharding, warc
+from scholia_spark.llm import bpe, chat, decontaminate, jaccard, license_texts, licenses, lm, media, quality, queries, sharding, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", "  \n\t ", "one", "one two three", "same text over and over " * 3000]
@@ -333,19 +333,59 @@ def test_language_model(spark, texts):
     assert lm.lm_scores(rows.limit(0)).count() == 0
 
 
+def plain(template):
+    return template.replace("{", "").replace("}", "")
+
+
 def test_licenses(spark):
+    templates = license_texts.templates()
     mit = "Released under the MIT License."
-    long = licenses.TEMPLATES["MIT-text"]
-    edited = long.replace("free of charge", "FREE of any charge").replace("sublicense", "relicense")
-    docs = documents(spark, [f"Text é.\n{mit}\nMore {mit}", edited, "nothing of the kind under the sun", f"x {licenses.TEMPLATES['Apache-2.0']}", *ODD])
+    edited = plain(templates["MIT-text"]).replace("free of charge", "FREE of any charge").replace("sublicense", "relicense")
+    docs = documents(spark, [f"Text é.\n{mit}\nMore {mit}", edited, "nothing of the kind under the sun", f"x {plain(templates['Apache-2.0'])}", *ODD])
     got = collections.defaultdict(list)
     for r in licenses.scan(docs).collect():
         got[r["doc_id"]].append(r)
     assert sorted(got) == [0, 1, 3] and [r["license"] for r in got[0]] == ["MIT", "MIT"] and got[1][0]["license"] == "MIT-text" and 0.9 < got[1][0]["coverage"] < 1
     assert got[0][0]["start"] == 8 and got[3][0]["license"] == "Apache-2.0"
-    index = licenses.Index(licenses.TEMPLATES)
-    for name, t in licenses.TEMPLATES.items():
-        assert (name, 1.0) in [(m[0], m[1]) for m in licenses.scan_text(f"before {t} after", index)]
+    index = licenses.Index(templates)
+    for name, t in templates.items():
+        assert [(m[0], m[1]) for m in licenses.scan_text(f"before {plain(t)} after", index)] == [(name, 1.0)]
+
+
+def test_licenses_are_told_apart():
+    index = licenses.Index(license_texts.templates())
+    names = lambda text: [m[0] for m in licenses.scan_text(text, index)]
+    assert names("This work is licensed under the GNU General Public License, version 2.") == ["GPL-2.0"]
+    assert names("This work is licensed under the GNU Lesser General Public License, version 3.") == ["LGPL-3.0"]
+    assert names("Licensed under CC BY-ND 4.0.") == ["CC-BY-ND-4.0"] and names("Licensed under CC BY-NC-SA 3.0!") == ["CC-BY-NC-SA-3.0"]
+    assert names("Licensed under the Apache License, Version 1.1") == ["Apache-1.1"] and names("Licensed under the Apache License, Version 9.9") == []
+    assert names("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.") == ["AGPL-3.0-or-later"]
+    three = license_texts.TEXTS["BSD-3-Clause"].replace("the copyright holder nor", "ACME Corp nor").replace("are met: Re", "are met:\n1. Re")
+    assert names(three) == ["BSD-3-Clause"] and names(license_texts.TEXTS["BSD-2-Clause"]) == ["BSD-2-Clause"]
+
+
+def test_alignment_and_candidates_equal_plain_search():
+    r = np.random.default_rng(8)
+    for _ in range(60):
+        template = r.integers(0, 12, r.integers(3, 25)).astype(np.uint64)
+        words = r.integers(0, 12, r.integers(1, 60)).astype(np.uint64)
+        shift, band = int(r.integers(-4, 20)), int(r.integers(1, 6))
+        best = {}
+        for i in range(template.size + 1):  # longest common subsequence within the band, by plain recursion over cells
+            for j in range(-1, words.size):
+                if not i:
+                    best[i, j] = 0
+                    continue
+                near = abs(j - (i - 1 + shift)) <= band
+                best[i, j] = max(best[i - 1, j], best.get((i, j - 1), 0), best.get((i - 1, j - 1), 0) + int(near and j >= 0 and words[j] == template[i - 1]))
+        got = licenses.align(template, words, shift, band)
+        assert len(got) == best[template.size, words.size - 1]
+        assert all(template[i] == words[j] and abs(j - i - shift) <= band for i, j in got) and got == sorted(got) and len({j for _, j in got}) == len(got)
+    index = licenses.Index(license_texts.templates())
+    for t, words in enumerate(index.words):  # any run of K + W - 1 words of a template is a candidate at its place
+        for a in range(words.size - licenses.K - licenses.W + 2):
+            run = np.concatenate([r.integers(0, 1 << 60, 7).astype(np.uint64), words[a : a + licenses.K + licenses.W - 1], r.integers(0, 1 << 60, 7).astype(np.uint64)])
+            assert any(u == t and abs(s - (7 - a)) <= index.band(t) for u, s in index.candidates(run))
 
 
 def test_sharding(spark, texts):
