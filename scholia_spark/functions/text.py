@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scholia_spark.functions import patterns
+
 #: Phrases that mark a withdrawn paper.
 WITHDRAWAL_MARKERS = (
     "this paper has been withdrawn",
@@ -107,20 +109,21 @@ def withdrawn(*parts: Column) -> Column:
 
 def strip_noise_lines(text: Column) -> Column:
     """lines that are page numbers, and short lines of copyright, affiliation or running heads, go."""
-    short = lambda line: F.length(F.trim(line)) <= 200
-    noise = r"(?i)\b(copyright|\(c\)|©|all rights reserved)\b|^\s*(corresponding author|affiliation|e-?mail)\b|^\s*(preprint|under review|to appear in|arxiv:)\b"
-    keep = lambda line: ~(F.regexp_like(line, F.lit(r"^\s*\d{1,4}\s*$")) | (short(line) & F.regexp_like(line, F.lit(noise))))
+    short = lambda line: F.length(F.trim(line)) <= patterns.NOISE_LINE_CHARS
+    has = lambda line, pattern: F.regexp_like(line, F.lit(pattern))
+    noise = lambda line: has(line, patterns.COPYRIGHT) | has(line, patterns.AUTHOR) | has(line, patterns.RUNNING_HEAD)
+    keep = lambda line: ~(has(line, patterns.PAGE_NUMBER) | (short(line) & noise(line)))
     return F.array_join(F.filter(F.split(text, "\n"), keep), "\n")
 
 
 def summary_numbers(text: Column) -> Column:
     """Numbers with thousands separators."""
-    return F.regexp_extract_all(text, F.lit(r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"), 0)
+    return F.regexp_extract_all(text, F.lit(patterns.SUMMARY_NUMBER), 0)
 
 
 def evidence_numbers(text: Column) -> Column:
     """Numbers without letters, digits or a point beside them; a percent sign belongs to them."""
-    return F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z\d.])\d+(?:\.\d+)?%?(?![A-Za-z\d])"), 0)
+    return F.regexp_extract_all(text, F.lit(patterns.EVIDENCE_NUMBER), 0)
 
 
 def number_value(token: Column) -> Column:
@@ -154,7 +157,19 @@ def final_jamo(term: Column) -> Column:
     return F.when(code.between(0xAC00, 0xD7A3), (code - 0xAC00) % 28)
 
 
+def _placed(index: Column) -> Column:
+    """Words of a map word -> positions, as structs (position, number of the entry, word) in order."""
+    pairs = F.transform(F.map_entries(index), lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w"))))
+    return F.array_sort(F.flatten(pairs))
+
+
 def inverted_text(index: Column) -> Column:
-    """SRC20: text of a map word -> positions; of words at one position that of the later entry wins."""
-    pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.array_join(F.transform(F.array_sort(pairs), lambda s: s["w"]), " ")
+    """SRC19: text of a map word -> positions, all words in the order of their positions."""
+    return F.array_join(F.transform(_placed(index), lambda s: s["w"]), " ")
+
+
+def inverted_text_of_slots(index: Column) -> Column:
+    """SRC20: one word a position; of words at one position that of the later entry stays."""
+    placed = _placed(index)
+    last = F.filter(placed, lambda s, k: ~F.coalesce(F.get(placed, k + 1)["p"] == s["p"], F.lit(False)))
+    return F.array_join(F.transform(last, lambda s: s["w"]), " ")

@@ -218,15 +218,3 @@ def contiguous_prefix(numbers: DataFrame) -> DataFrame:
     d = numbers.select("key", "n").distinct()
     ranked = rank_by(d, ["key"], [F.col("n")], "place")
     return ranked.groupBy("key").agg(F.coalesce(F.max(F.when(F.col("n") == F.col("place"), F.col("n"))), F.lit(0)).alias("prefix"))
-
-
-def evidence_gate(items: DataFrame, refs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Per reference the first failing check; an item stays with one valid supporting reference.
-
-    refs: item_id, side, paper_id, quote; sources: paper_id, text; items: item_id.
-    """
-    joined = refs.join(sources, "paper_id", "left")
-    reason = F.when(F.col("paper_id").isNull(), "missing_paper").when(F.col("text").isNull(), "unknown_paper").when(F.coalesce("quote", F.lit("")) == "", "missing_quote").when(~F.contains("text", "quote"), "quote_not_found")
-    judged = joined.withColumn("reason", reason)
-    good = judged.groupBy("item_id").agg(F.count_if(F.col("reason").isNull() & (F.col("side") == "support")).alias("valid"), F.count_if(F.col("reason").isNotNull()).alias("rejected"), F.min("reason").alias("first_reason"))
-    return items.select("item_id").join(good, "item_id", "left").select("item_id", F.coalesce("valid", F.lit(0)).alias("valid"), F.coalesce("rejected", F.lit(0)).alias("rejected"), "first_reason", (F.coalesce("valid", F.lit(0)) > 0).alias("kept"))

@@ -6,6 +6,8 @@ Queries are a stated set: legs join them by term or by block, and only top-k row
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +51,9 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, k1: float = 1.2,
     scored = tf.where("_keep").join(df, "term").join(q, "term").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    hits = scored.groupBy("query_id", "paper_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+    # added up in the order of the terms, so that equal texts have equal scores
+    hits = scored.groupBy("query_id", "paper_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("term", part.alias("part")))).alias("parts"))
+    hits = hits.select("query_id", "paper_id", "chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"]).alias("score"))
     return top(collapse(hits), ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
@@ -60,27 +64,52 @@ def phrase_match(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataF
     q = queries.select("query_id", F.lower("phrase").alias("phrase")).withColumn("inner", inner)
     q = q.select("query_id", "phrase", F.array_max(F.transform("inner", lambda w: F.struct(F.length(w), w.alias("w"))))["w"].alias("term"))
     texts = chunks.select("chunk_id", "paper_id", F.lower("text").alias("text"))
-    postings = texts.withColumn("term", F.explode(F.array_distinct(F.split("text", r"\s+"))))
-    hits = postings.join(q.where("term IS NOT NULL"), "term").where(F.contains("text", "phrase")).select("query_id", "paper_id", "chunk_id")
+    postings = texts.select("chunk_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("term"))  # ids only: texts follow for candidates
+    maybe = postings.join(q.where("term IS NOT NULL"), "term").select("query_id", "phrase", "chunk_id")
+    hits = texts.join(maybe, "chunk_id").where(F.contains("text", "phrase")).select("query_id", "paper_id", "chunk_id")
     short = texts.join(F.broadcast(q.where("term IS NULL AND phrase IS NOT NULL").drop("term")), F.contains("text", "phrase")).select("query_id", "paper_id", "chunk_id")
     return top(collapse(hits.union(short).distinct().withColumn("score", F.lit(1.0))), ["query_id"], [F.col("chunk_id")], k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def _unit(vectors: list) -> np.ndarray:
+    m = np.array(vectors, np.float64)
+    return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
+
+
+def _near(units: np.ndarray, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine) of each query's k best rows and what ties with the last of them.
+
+    The product of blocks picks; what it picks is added up anew one pair at a time, so that equal vectors have equal scores.
+    """
+    rough = wanted @ units.T
+    least = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(rough), -np.inf)
+    q, row = np.nonzero(rough >= least[:, None] - 1e-9)
+    return q, row, (wanted[q] * units[row]).sum(axis=1)
 
 
 def knn(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, most_queries: int = 10_000) -> DataFrame:
     """Q1: exact cosine neighbours of a bounded query set (checked), each against all chunks; then one chunk a paper.
 
-    Chunks keep their place; each task ranks its own rows a query before anything is shuffled.
+    Chunks keep their place; blocks of them are multiplied with the query vectors, which all tasks hold, and each block gives
+    its k best a query. Vectors without a length are near nothing: their cosine is 0. Null vectors are left out.
     """
     n = queries.count()
     if n > most_queries:
         raise ValueError(f"{n} queries; split them into sets of {most_queries}")
-    q = F.broadcast(queries.select("query_id", F.col("vector").alias("_q")))
-    hits = chunks.join(q, F.size("vector") == F.size("_q")).select("query_id", "paper_id", "chunk_id", F.round(cosine(F.col("vector"), F.col("_q")), 6).alias("score"))
+    wanted = queries.where("vector IS NOT NULL").select("query_id", "vector").toPandas()
+    names = wanted["query_id"].to_numpy()
+    held = chunks.sparkSession.sparkContext.broadcast(_unit(wanted["vector"].tolist()) if len(wanted) else None)
+
+    def run(blocks):
+        for pdf in blocks:
+            if held.value is None or not len(pdf):
+                continue
+            q, row, score = _near(_unit(pdf["vector"].tolist()), held.value, k)
+            yield pd.DataFrame({"query_id": names[q], "paper_id": pdf["paper_id"].to_numpy()[row], "chunk_id": pdf["chunk_id"].to_numpy()[row], "score": score})
+
+    types = {f.name: f.dataType.simpleString() for f in [*queries.schema, *chunks.schema]}
+    schema = ", ".join(f"{c} {types[c]}" for c in ("query_id", "paper_id", "chunk_id")) + ", score double"
+    hits = chunks.where("vector IS NOT NULL").select("paper_id", "chunk_id", "vector").mapInPandas(run, schema)
     return collapse(top(hits, ["query_id"], [F.desc("score"), F.col("chunk_id")], k, "_k").drop("_k"))
 
 
@@ -91,7 +120,8 @@ def fuse(*legs: DataFrame, k: int = RRF_K) -> DataFrame:
         one = leg.select("query_id", "paper_id", F.lit(i).alias("list"), (1.0 / (k + F.col("rank"))).alias("part"))
         lists = one if lists is None else lists.unionByName(one)
     best = lists.groupBy("query_id", "paper_id", "list").agg(F.max("part").alias("part"))
-    fused = best.groupBy("query_id", "paper_id").agg(F.round(F.sum("part"), 9).alias("score"), F.min_by("list", F.struct((-F.col("part")).alias("p"), "list")).alias("from_list"))
+    parts = F.array_sort(F.collect_list(F.struct("list", "part")))  # one a list
+    fused = best.groupBy("query_id", "paper_id").agg(F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["part"]).alias("score"), F.min_by("list", F.struct((-F.col("part")).alias("p"), "list")).alias("from_list"))
     return rank_by(fused, ["query_id"], [F.desc("score"), F.col("paper_id")])
 
 
@@ -108,22 +138,25 @@ def fold_rerank(ranked: DataFrame, width: int) -> DataFrame:
     floor = F.min(F.when(head, F.col("rerank"))).over(w)
     tail = F.sum(F.when(head, 0).otherwise(1)).over(w)
     score = F.when(head, F.col("rerank")).otherwise(floor - F.lit(1e-3) / tail * (F.col("rank") - width))
-    out = ranked.withColumn("ranking_score", F.round(score, 9))
+    out = ranked.withColumn("ranking_score", score)
     return rank_by(out, ["query_id"], [F.desc("ranking_score"), F.col("paper_id")], "final_rank")
 
 
 def boost(ranked: DataFrame, boosts: DataFrame, share: float = 0.3, ceiling: float = 0.1) -> DataFrame:
-    """Q8: the top band (30 %, 2 at least) is ordered anew by score + |score| * boost of the first category that has one.
+    """Q8: the top band (30 %, 2 at least) is ordered anew by score + |score| * boost of the first category that has one, ties by paper id.
 
-    ranked: query_id, paper_id, rank, ranking_score, categories; boosts: query_id, boosts map. Other rows keep their place.
+    ranked: query_id, paper_id, rank, ranking_score, categories; boosts: query_id, boosts map. Other rows keep their place, and
+    so do all rows of a query whose band has no boost.
     """
     n = F.count("*").over(Window.partitionBy("query_id"))
     band = F.least(n, F.greatest(F.lit(2), F.ceil(n * share)))
     hit = F.try_element_at(F.filter("categories", lambda c: F.map_contains_key("boosts", c)), F.lit(1))
     value = F.greatest(F.lit(-ceiling), F.least(F.lit(ceiling), F.coalesce(F.try_element_at("boosts", hit), F.lit(0.0))))
     df = ranked.join(boosts, "query_id", "left").withColumn("band", F.when(F.col("rank") <= band, 0).otherwise(1))
-    df = df.withColumn("boosted", F.round(F.when(F.col("band") == 0, F.col("ranking_score") + F.abs("ranking_score") * value).otherwise(F.col("ranking_score")), 9))
-    order = [F.col("band"), F.when(F.col("band") == 0, -F.col("boosted")), F.col("rank")]
+    df = df.withColumn("value", F.when(F.col("band") == 0, value).otherwise(0.0))
+    df = df.withColumn("moves", F.max(F.col("value") != 0).over(Window.partitionBy("query_id")) & (F.col("band") == 0))
+    df = df.withColumn("boosted", F.col("ranking_score") + F.abs("ranking_score") * F.col("value"))
+    order = [F.col("band"), F.when(F.col("moves"), -F.col("boosted")), F.when(F.col("moves"), F.col("paper_id")), F.col("rank")]
     out = rank_by(df, ["query_id"], order, "new_rank")
     return out.select("query_id", "paper_id", "rank", "boosted", "new_rank", (F.col("new_rank") - F.col("rank")).alias("shift"))
 

@@ -175,20 +175,6 @@ def h22_contiguous_prefix(spark, d):
     return A.contiguous_prefix(table(spark, d, "events").select(F.col("user_id").alias("key"), (F.col("event_id") % 12 + 1).alias("n")))
 
 
-@query("""WITH r AS (SELECT doc_id AS item_id, CASE WHEN doc_id % 3 = 0 THEN 'conflict' ELSE 'support' END AS side, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN -1 ELSE doc_id END AS paper_id,
- CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 4 = 0 THEN 'no such quote' ELSE string_split(text, ' ')[1] END AS quote FROM documents),
-j AS (SELECT r.*, d.text, CASE WHEN r.paper_id IS NULL THEN 'missing_paper' WHEN d.text IS NULL THEN 'unknown_paper' WHEN coalesce(quote, '') = '' THEN 'missing_quote' WHEN NOT contains(d.text, quote) THEN 'quote_not_found' END AS reason FROM r LEFT JOIN documents d ON r.paper_id = d.doc_id)
-SELECT item_id, count(*) FILTER (WHERE reason IS NULL AND side = 'support') AS valid, count(reason) AS rejected, min(reason) AS first_reason, count(*) FILTER (WHERE reason IS NULL AND side = 'support') > 0 AS kept FROM j GROUP BY 1""")
-def q14_evidence_gate(spark, d):
-    """Q14, J8, J9, A7."""
-    i, docs = F.col("doc_id"), table(spark, d, "documents")
-    refs = docs.select(
-        i.alias("item_id"), F.when(i % 3 == 0, "conflict").otherwise("support").alias("side"), F.when(i % 11 == 0, F.lit(None)).when(i % 7 == 0, -1).otherwise(i).alias("paper_id"),
-        F.when(i % 5 == 0, "").when(i % 4 == 0, "no such quote").otherwise(F.element_at(F.split("text", " "), 1)).alias("quote"),
-    )
-    return A.evidence_gate(docs.select(i.alias("item_id")), refs, docs.select(i.alias("paper_id"), "text"))
-
-
 @query("""SELECT o_orderkey, c_custkey, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 7 AND o_orderkey > 100""")
 def j1_owner_trace(spark, d):
     """Trace rows of one owner group behind a sequence number."""

@@ -29,13 +29,13 @@ lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 _BM25 = _TOKENS + """t AS (SELECT chunk_id, paper_id, len(tokens) AS n, unnest(tokens) AS term FROM c),
 tf AS (SELECT term, chunk_id, paper_id, n, count(*) AS tf FROM t WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 s AS (SELECT count(*) AS docs, avg(len(tokens)) AS mean FROM c),
-h AS (SELECT query_id, paper_id, chunk_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), s GROUP BY ALL),
+h AS (SELECT query_id, paper_id, chunk_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) ORDER BY term) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), s GROUP BY ALL),
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM h) WHERE rank <= 150)"""
 _KNN = """qv AS (SELECT vec_id // 50 AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
-kh AS (SELECT query_id, vec_id AS paper_id, vec_id AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, qv),
+kh AS (SELECT query_id, vec_id AS paper_id, vec_id AS chunk_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, qv),
 kn AS (SELECT query_id, paper_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM kh) WHERE rank <= 150)"""
 _FUSED = """parts AS (SELECT query_id, paper_id, 0 AS list, 1.0 / (60 + rank) AS part FROM lex UNION ALL SELECT query_id, paper_id, 1, 1.0 / (60 + rank) FROM kn),
-f AS (SELECT query_id, paper_id, round(sum(part), 9) AS score, arg_min(list, struct_pack(p := -part, l := list)) AS from_list FROM parts GROUP BY ALL),
+f AS (SELECT query_id, paper_id, sum(part ORDER BY list) AS score, arg_min(list, struct_pack(p := -part, l := list)) AS from_list FROM parts GROUP BY ALL),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id)::INT AS rank FROM f)"""
 
 
@@ -44,9 +44,14 @@ def q2b_term_overlap(spark, d):
     return R.term_overlap(_queries(spark, d), _chunks(spark, d))
 
 
-@query(f"WITH {_BM25} SELECT query_id, paper_id, chunk_id, score, rank FROM bm")
+def _shown(df, places, column="score"):
+    """Rounded for comparison, after everything is ranked."""
+    return df.withColumn(column, F.round(column, places))
+
+
+@query(f"WITH {_BM25} SELECT query_id, paper_id, chunk_id, round(score, 6) AS score, rank FROM bm")
 def q2_bm25(spark, d):
-    return R.bm25(_queries(spark, d), _chunks(spark, d))
+    return _shown(R.bm25(_queries(spark, d), _chunks(spark, d)), 6)
 
 
 @query("""WITH q AS (SELECT item_id AS query_id, lower(array_to_string(string_split(text, ' ')[2:5], ' ')) AS phrase FROM benchmark),
@@ -67,46 +72,46 @@ def _knn(spark, d):
     return R.rank_by(R.knn(q, c), ["query_id"], [F.desc("score"), F.col("chunk_id")])
 
 
-@query(f"WITH {_KNN} SELECT query_id, paper_id, chunk_id, score, rank FROM kn")
+@query(f"WITH {_KNN} SELECT query_id, paper_id, chunk_id, round(score, 6) AS score, rank FROM kn")
 def q1_knn(spark, d):
-    return _knn(spark, d)
+    return _shown(_knn(spark, d), 6)
 
 
-@query(f"WITH {_LEX}, {_KNN}, {_FUSED} SELECT query_id, paper_id, score, from_list, rank FROM fr")
+@query(f"WITH {_LEX}, {_KNN}, {_FUSED} SELECT query_id, paper_id, round(score, 9) AS score, from_list, rank FROM fr")
 def q4_rank_fusion(spark, d):
-    return R.fuse(R.term_overlap(_queries(spark, d), _chunks(spark, d)), _knn(spark, d))
+    return _shown(R.fuse(R.term_overlap(_queries(spark, d), _chunks(spark, d)), _knn(spark, d)), 9)
 
 
-@query(f"WITH {_LEX}, {_KNN}, {_FUSED} SELECT query_id, paper_id, score, from_list, rank FROM fr WHERE rank <= 20 AND query_id NOT IN (SELECT query_id FROM kn GROUP BY 1 HAVING max(score) < 0.2)")
+@query(f"WITH {_LEX}, {_KNN}, {_FUSED} SELECT query_id, paper_id, round(score, 9) AS score, from_list, rank FROM fr WHERE rank <= 20 AND query_id NOT IN (SELECT query_id FROM kn GROUP BY 1 HAVING max(score) < 0.2)")
 def q5_hybrid_search(spark, d):
     """Both legs, fusion, the no-match floor on the raw vector score, top 20."""
     knn = _knn(spark, d)
     fused = R.fuse(R.term_overlap(_queries(spark, d), _chunks(spark, d)), knn)
-    return R.no_match_floor(fused.where(F.col("rank") <= R.TOP_N), knn, 0.2)
+    return _shown(R.no_match_floor(fused.where(F.col("rank") <= R.TOP_N), knn, 0.2), 9)
 
 
 @query(f"""WITH {_LEX}, r AS (SELECT query_id, paper_id, rank, (paper_id * 37 % 101)::DOUBLE AS rerank FROM lex),
 m AS (SELECT *, min(CASE WHEN rank <= 80 THEN rerank END) OVER w AS floor, sum(CASE WHEN rank <= 80 THEN 0 ELSE 1 END) OVER w AS tail FROM r WINDOW w AS (PARTITION BY query_id)),
-s AS (SELECT query_id, paper_id, rank, round(CASE WHEN rank <= 80 THEN rerank ELSE floor - 1e-3::DOUBLE / tail * (rank - 80) END, 9) AS ranking_score FROM m)
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ranking_score DESC, paper_id)::INT AS final_rank FROM s""")
+s AS (SELECT query_id, paper_id, rank, CASE WHEN rank <= 80 THEN rerank ELSE floor - 1e-3::DOUBLE / tail * (rank - 80) END AS ranking_score FROM m)
+SELECT query_id, paper_id, rank, round(ranking_score, 9) AS ranking_score, row_number() OVER (PARTITION BY query_id ORDER BY ranking_score DESC, paper_id)::INT AS final_rank FROM s""")
 def q7_rerank_fold(spark, d):
     """Q6, Q7."""
     lex = R.term_overlap(_queries(spark, d), _chunks(spark, d)).select("query_id", "paper_id", "rank", (F.col("paper_id") * 37 % 101).cast("double").alias("rerank"))
-    return R.fold_rerank(lex, 80).select("query_id", "paper_id", "rank", "ranking_score", "final_rank")
+    return _shown(R.fold_rerank(lex, 80), 9, "ranking_score").select("query_id", "paper_id", "rank", "ranking_score", "final_rank")
 
 
 @query(f"""WITH {_LEX}, n AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM lex),
 b AS (SELECT query_id, paper_id, rank, score, CASE WHEN rank <= least(n, greatest(2, ceil(n * 0.3::DOUBLE))) THEN 0 ELSE 1 END AS band,
  CASE WHEN paper_id % 4 = 0 THEN 0.1 WHEN paper_id % 4 = 1 THEN -0.05 ELSE 0.0 END AS v FROM n),
-x AS (SELECT *, round(CASE WHEN band = 0 THEN score + abs(score) * v ELSE score END, 9) AS boosted FROM b),
-y AS (SELECT query_id, paper_id, rank, boosted, row_number() OVER (PARTITION BY query_id ORDER BY band, CASE WHEN band = 0 THEN -boosted END, rank)::INT AS new_rank FROM x)
+x AS (SELECT *, CASE WHEN band = 0 THEN score + abs(score) * v ELSE score END AS boosted, bool_or(v <> 0 AND band = 0) OVER (PARTITION BY query_id) AS any_boost FROM b),
+y AS (SELECT query_id, paper_id, rank, round(boosted, 9) AS boosted, row_number() OVER (PARTITION BY query_id ORDER BY band, CASE WHEN band = 0 AND any_boost THEN -boosted END, CASE WHEN band = 0 AND any_boost THEN paper_id END, rank)::INT AS new_rank FROM x)
 SELECT *, new_rank - rank AS shift FROM y""")
 def q8_boost(spark, d):
     """Q8, W10."""
     lex = R.term_overlap(_queries(spark, d), _chunks(spark, d))
     cats = lex.withColumn("categories", F.array(F.lit("none"), F.concat(F.lit("c"), (F.col("paper_id") % 4).cast("string")))).withColumnRenamed("score", "ranking_score")
     boosts = _queries(spark, d).select("query_id", F.create_map(F.lit("c0"), F.lit(0.4), F.lit("c1"), F.lit(-0.05)).alias("boosts"))
-    return R.boost(cats, boosts)
+    return _shown(R.boost(cats, boosts), 9, "boosted")
 
 
 @query(f"""WITH {_LEX}, req AS (SELECT query_id AS request_id FROM q), got AS (SELECT query_id AS request_id, paper_id FROM lex WHERE rank <= 20 AND query_id % 5 <> 0),
@@ -129,15 +134,16 @@ def q19_recall_at_10(spark, d):
     """Q19, A10: documents that quote an item are its relevant set."""
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     first = F.element_at(F.split(F.col("text"), r"\s+"), 2)
-    words = table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.col("text").alias("body"), F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w"))
-    rel = words.join(items.withColumn("w", first), "w").where(F.contains("body", "text")).select("query_id", "paper_id").distinct()
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.col("text").alias("body"))
+    words = docs.select("paper_id", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("w"))  # ids only: texts follow for candidates
+    rel = docs.join(words.join(items.withColumn("w", first), "w").drop("w"), "paper_id").where(F.contains("body", "text")).select("query_id", "paper_id").distinct()
     return R.recall_at(R.term_overlap(_queries(spark, d), _chunks(spark, d)), rel, 10)
 
 
-@query(f"""WITH {_BM25} SELECT * FROM (SELECT query_id, paper_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM h WHERE 2010 + paper_id % 15 BETWEEN 2013 AND 2020) WHERE rank <= 150""")
+@query(f"""WITH {_BM25} SELECT query_id, paper_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT query_id, paper_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM h WHERE 2010 + paper_id % 15 BETWEEN 2013 AND 2020) WHERE rank <= 150""")
 def f10_bm25_of_years(spark, d):
     """the bounds leave the scores as they are over all chunks."""
-    return R.bm25(_queries(spark, d), _chunks(spark, d), keep=(2010 + F.col("paper_id") % 15).between(2013, 2020))
+    return _shown(R.bm25(_queries(spark, d), _chunks(spark, d), keep=(2010 + F.col("paper_id") % 15).between(2013, 2020)), 6)
 
 
 @query("""SELECT doc_id AS paper_id, doc_id % 40 AS query_id, (CASE WHEN list_contains(w, 'the') THEN 1 ELSE 0 END + CASE WHEN list_contains(w, lang) THEN 1 ELSE 0 END)::DOUBLE AS score FROM (SELECT *, string_split_regex(lower(coalesce(text, '')), '\\s+') AS w FROM documents)""")

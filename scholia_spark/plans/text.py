@@ -106,12 +106,24 @@ def n7_n9_arithmetic(spark, d):
 @query("""WITH w AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS word FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda y: y <> '') AS x FROM documents))
 SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS abstract FROM w GROUP BY doc_id""")
 def src19_inverted_abstract(spark, d):
-    """SRC19, SRC20: a map word -> positions is turned back into text."""
+    """SRC19: a map word -> positions is turned back into text."""
     words = table(spark, d, "documents").select("doc_id", F.posexplode(F.array_remove(F.split("text", r"\s+"), "")).alias("p", "w"))
     index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("index"))
     return index.select("doc_id", text.inverted_text(F.col("index")).alias("abstract"))
 
 
+@query("""WITH w AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS word FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda y: y <> '') AS x FROM documents)),
+f AS (SELECT *, min(pos) OVER (PARTITION BY doc_id, word) AS entry FROM w), s AS (SELECT doc_id, pos // 2 AS slot, arg_max(word, entry) AS word FROM f GROUP BY ALL)
+SELECT doc_id, string_agg(word, ' ' ORDER BY slot) AS abstract FROM s GROUP BY doc_id""")
+def src20_one_word_a_position(spark, d):
+    """SRC20: two neighbours share a position, and the later entry of the map stays."""
+    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.array_remove(F.split("text", r"\s+"), "")).alias("p", "w"))
+    entry = words.groupBy("doc_id", "w").agg(F.min("p").alias("first"), F.collect_set(F.expr("(p + 1) div 2")).alias("at"))
+    entries = entry.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "w", "at"))).alias("e"))
+    index = F.map_from_entries(F.transform("e", lambda x: F.struct(x["w"], x["at"])))
+    return entries.select("doc_id", text.inverted_text_of_slots(index).alias("abstract"))
+
+
 @query("""SELECT doc_id, '\\mathbb{R}' AS r, '\\operatorname*{arg' || doc_id || '}' AS op, '\\frac{#1}{#2}' AS f, 3::BIGINT AS n FROM documents""")
 def x36_macros(spark, d):
     source = F.concat(F.lit("\\newcommand{\\R}{\\mathbb{R}} % \\newcommand{\\no}{x}\n\\DeclareMathOperator*{\\op}{arg"), F.col("doc_id").cast("string"), F.lit("}\\def\\f#1#2{\\frac{#1}{#2}}\\newcommand\\bad{\\href{u}{x}}\\newcommand{\\open}{"))
