@@ -36,6 +36,19 @@ def paper_signals(events: DataFrame) -> DataFrame:
     return alive.groupBy("user_id", "paper_id").agg(F.sum(value).alias("total")).where("total > 0")
 
 
+def keyword_weights(events: DataFrame) -> DataFrame:
+    """user_id, keyword, total over the keywords of searches."""
+    found = events.where("event_type = 'search'").select("user_id", F.explode("keywords").alias("keyword")).where("keyword IS NOT NULL")
+    return found.groupBy("user_id", "keyword").agg((F.count("*") * SEARCH_KEYWORD).alias("total"))
+
+
+def last_choices(events: DataFrame) -> DataFrame:
+    """user_id, persona, scope and glossary that were chosen last (by time, then event); empty choices don't count."""
+    chosen = lambda c, kind: (F.col("event_type") == kind) & (F.coalesce(F.col(c), F.lit("")) != "")
+    last = lambda c, kind: F.max_by(F.col(c), F.when(chosen(c, kind), F.struct("ts", "event_id"))).alias(c)
+    return events.groupBy("user_id").agg(last("persona", "summary"), last("scope", "summary"), last("glossary", "glossary"))
+
+
 def search_boosts(weights: DataFrame, ceiling: float = 0.1, total: float = 0.2) -> DataFrame:
     """Each weight times the ceiling, scaled down where a user's boosts exceed the total."""
     part = F.greatest(F.lit(-ceiling), F.least(F.lit(ceiling), F.col("weight") * ceiling))
@@ -73,6 +86,28 @@ def keyset_page(df: DataFrame, ts: str, key: str, limit: int, after: tuple | Non
     return rows.limit(limit), cursor
 
 
+def cursor_parts(code: Column) -> Column:
+    """Struct (ts, id) of a cursor; an error where it is no base64url of such a JSON."""
+    plain = F.translate(code, "-_", "+/")
+    padded = F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), F.lit("="))
+    parts = F.from_json(F.try_to_binary(padded, F.lit("base64")).cast("string"), "ts string, id string")
+    fine = parts["ts"].isNotNull() & parts["id"].isNotNull()
+    return F.when(fine, parts).otherwise(F.raise_error(F.concat(F.lit("bad cursor "), F.coalesce(code, F.lit("null")))).cast("struct<ts: string, id: string>"))
+
+
+def page_after(df: DataFrame, ts: str, key: str, limit: int, cursor) -> DataFrame:
+    """The page behind the row whose key is ``cursor``, newest first; a ValueError if there is no such row."""
+    at = df.where(F.col(key) == F.lit(cursor)).select(ts).head()
+    if at is None:
+        raise ValueError(f"no row {cursor!r}")
+    return keyset_page(df, ts, key, limit, (at[ts], cursor))[0]
+
+
+def offset_page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+    """``limit`` rows behind the first ``offset`` in the given order."""
+    return df.orderBy(*order).offset(offset).limit(limit)
+
+
 def cursor_code(ts: Column, key: Column) -> Column:
     """base64url of the JSON of both parts."""
     return F.translate(F.base64(F.to_json(F.struct(ts.cast("string").alias("ts"), key.cast("string").alias("id"))).cast("binary")), "+/", "-_")
@@ -118,19 +153,50 @@ def beyond_newest(turns: DataFrame, keep: int) -> DataFrame:
     return rank_by(older, ["session_id"], [F.col("turn_id")], "place")
 
 
-def dashboard(events: DataFrame, start: str, end: str) -> DataFrame:
-    """A8 for a closed window: counts, error rate, throughput and p95 as the value at place min(int(n * 0.95), n - 1).
+def nearest_rank(df: DataFrame, keys: list[str], value: str, share: float, ranges: int = 1000) -> DataFrame:
+    """keys, n, at: the value at place min(int(n * share), n - 1) of the sorted values of each key, exactly.
 
-    The place is found by ranking distinct values by count, so no task gathers all values.
+    Values are counted into ranges first; only the range that holds the place is ranked, so no task sorts all values of a key.
     """
+    df = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    edges = df.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+    width = (F.col("high") - F.col("low")) / ranges
+    cell = F.when(F.col("high") > F.col("low"), F.least(F.lit(ranges - 1), F.floor((F.col("v") - F.col("low")) / width))).otherwise(0).alias("cell")
+    counts = df.join(F.broadcast(edges), keys).groupBy(*keys, cell, "low", "high", "n").agg(F.count("*").alias("c"))  # a row a key
+    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("cell"))  # ``ranges`` rows a key
+    place = F.least(F.floor(F.col("n") * F.lit(share)), F.col("n") - 1)
+    found = counts.withColumn("before", upto - F.col("c")).withColumn("place", place).where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("c")))
+    found = F.broadcast(found.select(*keys, "low", "high", "n", F.col("cell").alias("wanted"), "before", "place"))
+    inside = df.join(found, keys).where(cell == F.col("wanted")).groupBy(*keys, "n", "before", "place", "v").agg(F.count("*").alias("c"))
+    reach = F.sum("c").over(Window.partitionBy(*keys).orderBy("v")) + F.col("before")
+    return inside.withColumn("reach", reach).where(F.col("reach") > F.col("place")).groupBy(*keys, "n").agg(F.min("v").alias("at"))
+
+
+def dashboard(events: DataFrame, start: str, end: str) -> DataFrame:
+    """A8 for a closed window: counts, error rate and p95 of each event type."""
     inside = events.where(F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
     sums = inside.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 100).alias("large"))
-    values = inside.groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    place = F.least(F.floor(F.col("n") * F.lit(0.95)), F.col("n") - 1)
-    at = values.withColumn("upto", upto).join(F.broadcast(sums), "event_type").where(F.col("upto") > place)  # a row an event type
-    p95 = at.groupBy("event_type").agg(F.min("value").alias("p95"))
-    return sums.join(p95, "event_type").select("event_type", "n", "large", F.round(F.col("large") / F.col("n"), 6).alias("rate"), "p95")
+    p95 = nearest_rank(inside, ["event_type"], "value", 0.95).select("event_type", F.col("at").alias("p95"))
+    return sums.join(p95, "event_type", "left").select("event_type", "n", "large", F.round(F.col("large") / F.col("n"), 6).alias("rate"), "p95")
+
+
+def request_metrics(metrics: DataFrame, incidents: DataFrame, start, end) -> DataFrame:
+    """One row of a closed window: incidents, throughput, errors, error_rate, p95 of latencies, and grounding verdicts.
+
+    metrics: ts, name (latency, throughput, grounding), value, status, verdict; incidents: ts. Throughput counts its own rows
+    only, and errors are latencies with a status of 5xx, so a request counts once.
+    """
+    within = lambda df: df.where(F.col("ts").between(start, end))
+    m, name = within(metrics), F.col("name")
+    verdict = lambda v: F.count_if((name == "grounding") & (F.coalesce("verdict", F.lit("unknown")) == v))
+    sums = m.agg(
+        F.count_if(name == "throughput").cast("double").alias("throughput"), F.count_if((name == "latency") & F.coalesce(F.col("status").startswith("5"), F.lit(False))).alias("errors"),
+        *[verdict(v).alias(f"grounding_{v}") for v in ("pass", "block", "abstain", "unknown")],
+    )
+    p95 = nearest_rank(m.where("name = 'latency'").withColumn("one", F.lit(1)), ["one"], "value", 0.95).agg(F.round(F.max("at"), 6).alias("p95"))
+    rate = F.when(F.col("throughput") > 0, F.round(F.col("errors") / F.col("throughput"), 6)).otherwise(F.when(F.col("errors") > 0, 1.0).otherwise(0.0))
+    one = sums.crossJoin(p95).crossJoin(within(incidents).agg(F.count("*").alias("incidents")))  # one row each
+    return one.withColumn("error_rate", rate)
 
 
 def counts_by_class(events: DataFrame, classes: list[str], column: str) -> DataFrame:
@@ -218,3 +284,15 @@ def contiguous_prefix(numbers: DataFrame) -> DataFrame:
     d = numbers.select("key", "n").distinct()
     ranked = rank_by(d, ["key"], [F.col("n")], "place")
     return ranked.groupBy("key").agg(F.coalesce(F.max(F.when(F.col("n") == F.col("place"), F.col("n"))), F.lit(0)).alias("prefix"))
+
+
+def backfill(events: DataFrame, resolver: DataFrame) -> DataFrame:
+    """Events (paper_id, category) with the category that resolver (paper_id, found) knows where they have none; ``state`` says what happened."""
+    df = events.join(resolver, "paper_id", "left")
+    state = F.when(F.col("category").isNotNull(), "kept").when(F.col("found").isNotNull(), "updated").otherwise("unresolved")
+    return df.withColumn("state", state).withColumn("category", F.coalesce("category", "found")).drop("found")
+
+
+def backfill_counts(filled: DataFrame) -> DataFrame:
+    count = lambda s: F.count_if(F.col("state") == s).alias(s)
+    return filled.agg(F.count("*").alias("scanned"), count("updated"), count("unresolved"))

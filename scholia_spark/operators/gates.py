@@ -117,3 +117,23 @@ def stale_chunks(indexed: DataFrame, expected: DataFrame) -> DataFrame:
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One representative row of each key."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def eval_roll_up(cases: DataFrame) -> DataFrame:
+    """Passed, fabrications and abstentions of an evaluation set. cases: expected, got ('pass', 'block' or 'abstain')."""
+    right = F.col("expected") == F.col("got")
+    fabricated = (F.col("expected") != "pass") & (F.col("got") == "pass")
+    return cases.agg(F.count("*").alias("cases"), F.count_if(right).alias("passed"), F.count_if(fabricated).alias("fabrications"), F.count_if(F.col("got") == "abstain").alias("abstained"))
+
+
+def survey_votes(citations: DataFrame) -> DataFrame:
+    """Number of distinct surveys that cite each paper. citations: survey_id, paper_id."""
+    return citations.where("paper_id IS NOT NULL AND survey_id IS NOT NULL").distinct().groupBy("paper_id").agg(F.count("*").alias("votes"))
+
+
+def record_refs(payloads: DataFrame) -> DataFrame:
+    """Id, record_ref: every non-empty string under a ``recordRef`` key at any depth of a JSON payload, once a payload."""
+    value = F.try_parse_json("payload")
+    quoted = F.regexp_extract_all(F.to_json(value), F.lit(r'"recordRef":("(?:[^"\\]|\\.)+")'), 1)  # that form has no blanks, and quotes inside strings are escaped
+    found = payloads.where(value.isNotNull()).select("id", F.explode(F.array_distinct(quoted)).alias("q"))
+    return found.select("id", F.from_json(F.concat(F.lit('{"v":'), F.col("q"), F.lit("}")), "v string")["v"].alias("record_ref")).distinct()

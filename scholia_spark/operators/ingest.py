@@ -10,18 +10,25 @@ from pyspark.sql import functions as F
 
 
 def dedup_decisions(arrivals: DataFrame) -> DataFrame:
-    """D1, D2 for arrivals of one batch in their order: NEW, STALE, DUPLICATE or CHANGED.
+    """D1, D2 for arrivals in their order: NEW, STALE, DUPLICATE or CHANGED.
 
-    arrivals: paper_id, arrival, version, fingerprint. State before an arrival is the highest version so far, and the last
-    fingerprint accepted for it; both come from windows over the arrivals before.
+    arrivals: paper_id, arrival, version, fingerprint, indexed (whether the ingest that this arrival starts reaches the index
+    before the next arrival). State before an arrival is the highest version so far, the last fingerprint accepted for it and
+    whether it is in the index: a redelivery after a failed ingest is CHANGED. All of it comes from windows over the arrivals
+    before, as an arrival that is indexed makes the equal ones behind it duplicates, whose own flag then says nothing.
     """
     before = Window.partitionBy("paper_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
     top = F.max("version").over(before)
     accepted = arrivals.withColumn("top", top).withColumn("_ok", F.col("top").isNull() | (F.col("version") >= F.col("top")))
     known = F.max(F.when(F.col("_ok"), F.struct("version", "arrival", "fingerprint"))).over(before)
     out = accepted.withColumn("_known", known)
-    same = (F.col("_known.version") == F.col("version")) & (F.col("_known.fingerprint") == F.col("fingerprint"))
-    decision = F.when(F.col("top").isNull(), "NEW").when(F.col("version") < F.col("top"), "STALE").when(same, "DUPLICATE").otherwise("CHANGED")
+    same = F.coalesce((F.col("_known.version") == F.col("version")) & (F.col("_known.fingerprint") == F.col("fingerprint")), F.lit(False))
+    order = Window.partitionBy("paper_id").orderBy("arrival")
+    out = out.withColumn("_run", F.sum(F.when(F.col("_ok") & ~same, 1).otherwise(0)).over(order))
+    of_run = Window.partitionBy("paper_id", "_run").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    done = F.coalesce(F.max(F.col("_ok") & F.coalesce("indexed", F.lit(False))).over(of_run), F.lit(False))
+    out = out.withColumn("_done", same & done)
+    decision = F.when(F.col("top").isNull(), "NEW").when(F.col("version") < F.col("top"), "STALE").when(F.col("_done"), "DUPLICATE").otherwise("CHANGED")
     return out.select("paper_id", "arrival", "version", decision.alias("decision"))
 
 
@@ -63,11 +70,15 @@ def completeness(source: DataFrame, target: DataFrame) -> DataFrame:
     return counts.withColumn("complete", F.col("source_count") - F.col("target_count") <= 0)
 
 
-def admission(record_source: Column, fields: Column, venue: Column, admitted: str = "Computer Science") -> Column:
-    """null admits, else the reason."""
+def admission(record_source: Column, fields: Column, venue: Column, admitted: str = "Computer Science", blocked: tuple[str, ...] = ()) -> Column:
+    """null admits, else the reason. ``blocked``: parts of venue names (lower case) that are refused, none by default."""
+    bad = F.lit(False)
+    for marker in blocked:
+        bad = bad | F.contains(F.lower(venue), F.lit(marker))
     return (
         F.when(record_source == "ARXIV", F.lit(None).cast("string")).when(fields.isNull() | (F.size(fields) == 0), "field_unknown")
         .when(~F.array_contains(fields, admitted), "off_field").when(F.coalesce(venue, F.lit("")) == "", "venue_unknown")
+        .when(bad, "venue_blocked")
     )
 
 
@@ -186,3 +197,21 @@ def html_to_text(pages: DataFrame) -> DataFrame:
         return html.map(convert)
 
     return pages.select("page_id", text("html").alias("text"))
+
+
+def source_fallback(requests: DataFrame, models: DataFrame, full_texts: DataFrame, abstracts: DataFrame) -> DataFrame:
+    """The model at the version asked for, else its latest version, else the full text, else the abstract; null where nothing is there.
+
+    requests: request_id, paper_id, requested; models: paper_id, version; the others: paper_id.
+    """
+    latest = models.groupBy("paper_id").agg(F.max("version").alias("latest"))
+    at = models.select("paper_id", F.col("version").alias("requested"), F.lit(True).alias("exact")).distinct()
+    has = lambda df, name: df.select("paper_id").distinct().withColumn(name, F.lit(True))
+    df = requests.join(at, ["paper_id", "requested"], "left").join(latest, "paper_id", "left").join(has(full_texts, "full"), "paper_id", "left").join(has(abstracts, "short"), "paper_id", "left")
+    tier = F.when(F.col("exact"), "model").when(F.col("latest").isNotNull(), "model_latest").when(F.col("full"), "full_text").when(F.col("short"), "abstract")
+    return df.select("request_id", "paper_id", "requested", tier.alias("tier"), F.when(F.col("exact"), F.col("requested")).otherwise(F.col("latest")).alias("version"))
+
+
+def truncation_report(chunks: DataFrame, cap: int) -> DataFrame:
+    """Papers whose chunks reached the cap, with their number. chunks: paper_id, ordinal."""
+    return chunks.groupBy("paper_id").agg((F.max("ordinal") + 1).alias("chunks")).where(F.col("chunks") >= cap)

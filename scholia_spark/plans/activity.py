@@ -30,6 +30,29 @@ def p1_paper_signals(spark, d):
     return A.paper_signals(_events(spark, d))
 
 
+_CHOICES = """x AS (SELECT event_id, ts, user_id, CASE event_type WHEN 'click' THEN 'search' WHEN 'view' THEN 'summary' WHEN 'error' THEN 'glossary' ELSE 'opened' END AS kind,
+ ['k' || (event_id % 5), 'k' || (event_id % 3), NULL] AS keywords, CASE WHEN event_id % 3 > 0 THEN 'p' || (event_id % 4) END AS persona, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'abstract' ELSE 'full' END AS scope, 'g' || (event_id % 7) AS glossary FROM events)"""
+
+
+def _choices(spark, d):
+    i = F.col("event_id")
+    kind = F.when(F.col("event_type") == "click", "search").when(F.col("event_type") == "view", "summary").when(F.col("event_type") == "error", "glossary").otherwise("opened")
+    tag = lambda c, n: F.concat(F.lit(c), (i % n).cast("string"))
+    scope = F.when(i % 4 == 0, "").when(i % 4 == 1, "abstract").otherwise("full")
+    return table(spark, d, "events").select("event_id", "ts", "user_id", kind.alias("event_type"), F.array(tag("k", 5), tag("k", 3), F.lit(None)).alias("keywords"), F.when(i % 3 > 0, tag("p", 4)).alias("persona"), scope.alias("scope"), tag("g", 7).alias("glossary"))
+
+
+@query(f"WITH {_CHOICES} SELECT user_id, keyword, count(*) * 0.25::DOUBLE AS total FROM (SELECT user_id, unnest(keywords) AS keyword FROM x WHERE kind = 'search') WHERE keyword IS NOT NULL GROUP BY ALL")
+def p1_keyword_weights(spark, d):
+    return A.keyword_weights(_choices(spark, d))
+
+
+@query(f"""WITH {_CHOICES} SELECT user_id, arg_max(persona, struct_pack(t := ts, e := event_id)) FILTER (WHERE kind = 'summary' AND persona <> '') AS persona,
+ arg_max(scope, struct_pack(t := ts, e := event_id)) FILTER (WHERE kind = 'summary' AND scope <> '') AS scope, arg_max(glossary, struct_pack(t := ts, e := event_id)) FILTER (WHERE kind = 'glossary') AS glossary FROM x GROUP BY 1""")
+def p1_last_choices(spark, d):
+    return A.last_choices(_choices(spark, d))
+
+
 @query(f"""WITH {_EV}, b AS (SELECT user_id, category, least(1.0, total / max(total) OVER (PARTITION BY user_id)) AS w FROM cw),
 r AS (SELECT user_id, category, 0.1::DOUBLE * round_even(w, 4) AS b FROM b), s AS (SELECT *, sum(abs(b)) OVER (PARTITION BY user_id) AS t FROM r)
 SELECT user_id, category, round(CASE WHEN t > 0.2::DOUBLE THEN b * 0.2::DOUBLE / t ELSE b END, 9) AS boost FROM s""")
@@ -116,6 +139,36 @@ def a8_dashboard(spark, d):
     return A.dashboard(table(spark, d, "events"), "1990-01-01", "2100-01-01")
 
 
+@query("""WITH m AS (SELECT * FROM events WHERE ts BETWEEN TIMESTAMP '1990-01-01' AND TIMESTAMP '2100-01-01'), l AS (SELECT abs(value) AS v, row_number() OVER (ORDER BY abs(value)) - 1 AS p, count(*) OVER () AS n FROM m WHERE event_id % 3 = 0),
+s AS (SELECT (count(*) FILTER (WHERE event_id % 3 = 1))::DOUBLE AS throughput, count(*) FILTER (WHERE event_id % 3 = 0 AND user_id % 11 = 0) AS errors, count(*) FILTER (WHERE event_id % 3 = 2 AND event_type = 'view') AS grounding_pass,
+ count(*) FILTER (WHERE event_id % 3 = 2 AND event_type = 'error') AS grounding_block, count(*) FILTER (WHERE event_id % 3 = 2 AND event_type = 'click') AS grounding_abstain, count(*) FILTER (WHERE event_id % 3 = 2 AND event_type NOT IN ('view', 'error', 'click')) AS grounding_unknown,
+ count(*) FILTER (WHERE event_type = 'error') AS incidents FROM m)
+SELECT s.*, (SELECT round(max(v), 6) FROM l WHERE p = least(floor(n * 0.95::DOUBLE)::BIGINT, n - 1)) AS p95, round(errors / throughput, 6) AS error_rate FROM s""")
+def a8_request_metrics(spark, d):
+    """Request metrics, verdict counts and incidents of one window."""
+    e, i = table(spark, d, "events"), F.col("event_id")
+    name = F.when(i % 3 == 0, "latency").when(i % 3 == 1, "throughput").otherwise("grounding")
+    verdict = F.when(F.col("event_type") == "view", "pass").when(F.col("event_type") == "error", "block").when(F.col("event_type") == "click", "abstain")
+    metrics = e.select("ts", name.alias("name"), F.abs("value").alias("value"), F.when(F.col("user_id") % 11 == 0, "503").otherwise("200").alias("status"), verdict.alias("verdict"))
+    return A.request_metrics(metrics, e.where("event_type = 'error'").select("ts"), F.lit("1990-01-01").cast("timestamp_ntz"), F.lit("2100-01-01").cast("timestamp_ntz"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS ts, o_orderkey::VARCHAR AS id FROM orders")
+def s4_cursors(spark, d):
+    """Cursors coded and read back."""
+    o = table(spark, d, "orders").select("o_orderkey", A.cursor_parts(A.cursor_code(F.col("o_orderdate"), F.col("o_orderkey"))).alias("c"))
+    return o.select("o_orderkey", F.substring("c.ts", 1, 10).alias("ts"), "c.id")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderdate FROM orders), k AS (SELECT o_orderkey, o_orderdate FROM o ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1 OFFSET 9)
+SELECT o.o_orderkey, o.o_orderdate FROM o, k WHERE (o.o_orderdate, o.o_orderkey) < (k.o_orderdate, k.o_orderkey) ORDER BY o.o_orderdate DESC, o.o_orderkey DESC LIMIT 15""")
+def g15_page_after(spark, d):
+    """The page behind a known row."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    at = A.offset_page(o, [F.desc("o_orderdate"), F.desc("o_orderkey")], 1, 9).head()
+    return A.page_after(o, "o_orderdate", "o_orderkey", 15, at["o_orderkey"]) if at else o.limit(0)
+
+
 @query("SELECT c AS event_type, (SELECT count(*) FROM events WHERE event_type = c) AS n FROM (VALUES ('view'), ('error'), ('never')) v(c)")
 def a9_counts_by_class(spark, d):
     """A9, T21."""
@@ -184,6 +237,14 @@ def j1_owner_trace(spark, d):
 
 @query("SELECT vec_id, doc_id IS NOT NULL AS in_corpus, coalesce(source, 'none') AS category FROM embeddings LEFT JOIN documents ON doc_id = vec_id * 3")
 def j3_j5_enrich(spark, d):
-    """Left join with a flag and a default."""
+    """Left join with a flag and a default."""
     e, docs = table(spark, d, "embeddings").select("vec_id"), table(spark, d, "documents").select("doc_id", "source")
     return e.join(docs, F.col("doc_id") == F.col("vec_id") * 3, "left").select("vec_id", F.col("doc_id").isNotNull().alias("in_corpus"), F.coalesce("source", F.lit("none")).alias("category"))
+
+
+@query("""SELECT count(*) AS scanned, count(*) FILTER (WHERE e.vec_id % 4 > 0 AND d.source IS NOT NULL) AS updated, count(*) FILTER (WHERE e.vec_id % 4 > 0 AND d.source IS NULL) AS unresolved FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id * 3""")
+def j6_backfill_counts(spark, d):
+    """Rows without a category get that of their paper, and what happened is counted."""
+    e = table(spark, d, "embeddings").select((F.col("vec_id") * 3).alias("paper_id"), F.when(F.col("vec_id") % 4 == 0, "known").alias("category"))
+    resolver = table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.col("source").alias("found"))
+    return A.backfill_counts(A.backfill(e, resolver))

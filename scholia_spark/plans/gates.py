@@ -28,7 +28,7 @@ def q13_summary_grounding(spark, d):
 SELECT threshold, count(*) FILTER (WHERE expected = 'pass' AND share <= threshold) AS true_pass, count(*) FILTER (WHERE expected = 'block' AND share <= threshold) AS false_pass,
  count(*) FILTER (WHERE expected = 'block' AND share > threshold) AS true_block, count(*) FILTER (WHERE expected = 'pass' AND share > threshold) AS false_block FROM c, t GROUP BY 1""")
 def a13_threshold_sweep(spark, d):
-    """A12, A13, A14."""
+    """A12, A13."""
     cases = table(spark, d, "labels").select(F.when(F.col("quality") == 1, "pass").otherwise("block").alias("expected"), (F.col("doc_id") * 37 % 100 / 100.0).alias("share"))
     return G.threshold_sweep(cases, [0.2, 0.4, 0.6])
 
@@ -84,7 +84,7 @@ def s8_conflict_first(spark, d):
 @query("""WITH c AS (SELECT doc_id AS id, source AS category, round(log10(n_chars + 10) + (doc_id % 5) * 1.5::DOUBLE, 6) AS score FROM documents), r AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY category ORDER BY score DESC, id) <= 15 THEN 0 ELSE 1 END AS tier FROM c)
 SELECT id, category, score, tier FROM r ORDER BY tier, score DESC, id LIMIT 100""")
 def s10_capped_selection(spark, d):
-    """A top-k report."""
+    """A top-k report."""
     score = F.round(G.foundational_score(F.col("n_chars"), F.col("doc_id") % 5), 6)
     return G.capped_selection(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("category"), score.alias("score")), 100)
 
@@ -126,3 +126,28 @@ def q15_scope_clamp(spark, d):
     i = F.col("doc_id")
     claimed = F.element_at(F.array(F.lit("none"), F.lit("abstract"), F.lit("full_text")), (i % 3 + 1).cast("int"))
     return table(spark, d, "documents").select("doc_id", G.scope_clamp(claimed, F.when(i % 4 == 0, "full_text").otherwise("abstract")).alias("scope"))
+
+
+@query("""WITH c AS (SELECT CASE quality WHEN 1 THEN 'pass' ELSE 'block' END AS expected, CASE WHEN doc_id % 7 = 0 THEN 'abstain' WHEN (doc_id * 37 % 100) < 60 THEN 'pass' ELSE 'block' END AS got FROM labels)
+SELECT count(*) AS cases, count(*) FILTER (WHERE expected = got) AS passed, count(*) FILTER (WHERE expected <> 'pass' AND got = 'pass') AS fabrications, count(*) FILTER (WHERE got = 'abstain') AS abstained FROM c""")
+def a14_eval_roll_up(spark, d):
+    i = F.col("doc_id")
+    got = F.when(i % 7 == 0, "abstain").when(i * 37 % 100 < 60, "pass").otherwise("block")
+    return G.eval_roll_up(table(spark, d, "labels").select(F.when(F.col("quality") == 1, "pass").otherwise("block").alias("expected"), got.alias("got")))
+
+
+@query("SELECT l_partkey AS paper_id, count(DISTINCT l_suppkey) AS votes FROM lineitem GROUP BY 1")
+def a15_survey_votes(spark, d):
+    """Suppliers stand for surveys, parts for the papers they cite."""
+    return G.survey_votes(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("survey_id"), F.col("l_partkey").alias("paper_id")))
+
+
+@query("""SELECT doc_id AS id, unnest(list_distinct(list_filter(['r' || (doc_id % 9), 'a "b" ' || doc_id, CASE WHEN doc_id % 2 = 0 THEN 'deep' || (doc_id % 3) END], lambda x: x IS NOT NULL))) AS record_ref FROM documents""")
+def g20_record_refs(spark, d):
+    """References in objects, lists and beside other keys."""
+    i = F.col("doc_id")
+    refs = lambda c: F.struct(c.alias("recordRef"))
+    s = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    deep = F.array(F.struct(F.array(refs(F.when(i % 2 == 0, s("deep", i % 3))), refs(F.lit(""))).alias("list"), F.col("text").alias("recordRefs")))
+    payload = F.to_json(F.struct(s("r", i % 9).alias("recordRef"), refs(s('a "b" ', i)).alias("of"), deep.alias("all")))
+    return G.record_refs(table(spark, d, "documents").select(i.alias("id"), payload.alias("payload")))

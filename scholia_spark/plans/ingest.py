@@ -7,19 +7,22 @@ from pyspark.sql import functions as F
 from scholia_spark.operators import ingest as I
 from scholia_spark.plans.base import query, table
 
-_ARR = """a AS (SELECT 'p' || (doc_id % 97) AS paper_id, doc_id AS arrival, (doc_id * 7 % 5 + 1)::INT AS version, 'f' || (doc_id * 7 % 5 + doc_id % 2) AS fingerprint FROM documents)"""
+_ARR = """a AS (SELECT 'p' || (doc_id % 97) AS paper_id, doc_id AS arrival, (doc_id * 7 % 5 + 1)::INT AS version, 'f' || (doc_id * 7 % 5 + doc_id // 97 % 2) AS fingerprint, doc_id % 4 > 1 AS indexed FROM documents)"""
 
 
 def _arrivals(spark, d):
     i = F.col("doc_id")
     return table(spark, d, "documents").select(
-        F.concat(F.lit("p"), (i % 97).cast("string")).alias("paper_id"), i.alias("arrival"), (i * 7 % 5 + 1).cast("int").alias("version"), F.concat(F.lit("f"), (i * 7 % 5 + i % 2).cast("string")).alias("fingerprint")
+        F.concat(F.lit("p"), (i % 97).cast("string")).alias("paper_id"), i.alias("arrival"), (i * 7 % 5 + 1).cast("int").alias("version"), F.concat(F.lit("f"), (i * 7 % 5 + F.expr("doc_id div 97") % 2).cast("string")).alias("fingerprint"), (i % 4 > 1).alias("indexed")
     )
 
 
-@query(f"""WITH {_ARR}, b AS (SELECT *, max(version) OVER w AS top FROM a WINDOW w AS (PARTITION BY paper_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-c AS (SELECT *, max(CASE WHEN top IS NULL OR version >= top THEN struct_pack(v := version, a := arrival, f := fingerprint) END) OVER (PARTITION BY paper_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM b)
-SELECT paper_id, arrival, version, CASE WHEN top IS NULL THEN 'NEW' WHEN version < top THEN 'STALE' WHEN k.v = version AND k.f = fingerprint THEN 'DUPLICATE' ELSE 'CHANGED' END AS decision FROM c""")
+@query(f"""WITH RECURSIVE {_ARR}, b AS (SELECT *, max(version) OVER w AS top FROM a WINDOW w AS (PARTITION BY paper_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT * FROM b WHERE top IS NULL OR version >= top), l AS (SELECT *, lag(version) OVER w AS pv, lag(fingerprint) OVER w AS pf, row_number() OVER w AS n FROM o WINDOW w AS (PARTITION BY paper_id ORDER BY arrival)),
+t(paper_id, arrival, version, fingerprint, n, held, decision) AS (SELECT paper_id, arrival, version, fingerprint, n, indexed, 'NEW' FROM l WHERE n = 1 UNION ALL
+ SELECT l.paper_id, l.arrival, l.version, l.fingerprint, l.n, CASE WHEN l.version = t.version AND l.fingerprint = t.fingerprint AND t.held THEN true ELSE l.indexed END,
+ CASE WHEN l.version = t.version AND l.fingerprint = t.fingerprint AND t.held THEN 'DUPLICATE' ELSE 'CHANGED' END FROM t JOIN l ON l.paper_id = t.paper_id AND l.n = t.n + 1)
+SELECT paper_id, arrival, version, decision FROM t UNION ALL SELECT paper_id, arrival, version, 'STALE' FROM b WHERE version < top""")
 def d1_dedup_decisions(spark, d):
     return I.dedup_decisions(_arrivals(spark, d))
 
@@ -85,11 +88,11 @@ def snk6_completeness(spark, d):
     return I.completeness(table(spark, d, "documents"), table(spark, d, "embeddings"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 'field_unknown' WHEN lang <> 'en' THEN 'off_field' WHEN doc_id % 3 = 0 THEN 'venue_unknown' END AS reason FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 'field_unknown' WHEN lang <> 'en' THEN 'off_field' WHEN doc_id % 3 = 0 THEN 'venue_unknown' WHEN doc_id % 7 = 0 THEN 'venue_blocked' END AS reason FROM documents""")
 def f5_admission(spark, d):
     i = F.col("doc_id")
     fields = F.when(i % 5 != 0, F.array(F.when(F.col("lang") == "en", "Computer Science").otherwise("Art")))
-    reason = I.admission(F.when(i % 4 == 0, "ARXIV").otherwise("OPENALEX"), fields, F.when(i % 3 != 0, "venue"))
+    reason = I.admission(F.when(i % 4 == 0, "ARXIV").otherwise("OPENALEX"), fields, F.when(i % 3 != 0, F.when(i % 7 == 0, "A Workshop of X").otherwise("venue")), blocked=("workshop",))
     return table(spark, d, "documents").select("doc_id", reason.alias("reason"))
 
 
@@ -118,7 +121,7 @@ def d20_length_route(spark, d):
 @query("""WITH s AS (SELECT DISTINCT 'p' || (doc_id % 40) AS paper_id, (doc_id % 3 + 1)::INT AS version FROM documents WHERE doc_id % 40 < 30), q AS (SELECT doc_id AS request_id, 'p' || (doc_id % 40) AS paper_id, (doc_id % 5 + 1)::INT AS requested FROM documents)
 SELECT request_id, q.paper_id, requested, CASE WHEN s.version IS NOT NULL THEN requested ELSE m.latest END AS served FROM q LEFT JOIN s ON q.paper_id = s.paper_id AND requested = s.version LEFT JOIN (SELECT paper_id, max(version) AS latest FROM s GROUP BY 1) m ON q.paper_id = m.paper_id""")
 def d22_version_fallback(spark, d):
-    """D21, D22, A17."""
+    """D22, A17."""
     i, docs = F.col("doc_id"), table(spark, d, "documents")
     paper = F.concat(F.lit("p"), (i % 40).cast("string")).alias("paper_id")
     stored = docs.where("doc_id % 40 < 30").select(paper, (i % 3 + 1).cast("int").alias("version")).distinct()
@@ -134,3 +137,19 @@ def src10_html_to_text(spark, d):
 def a20_index_stats(spark, d):
     """A3, A20."""
     return table(spark, d, "pages").groupBy((F.col("page_id") % 5).alias("host_group")).agg(F.count("*").alias("pages"), F.max(F.length("html")).alias("longest"))
+
+
+@query("""WITH m AS (SELECT DISTINCT 'p' || (doc_id % 40) AS paper_id, (doc_id % 3 + 1)::INT AS version FROM documents WHERE doc_id % 40 < 20), q AS (SELECT doc_id AS request_id, 'p' || (doc_id % 40) AS paper_id, (doc_id % 5 + 1)::INT AS requested, doc_id % 40 AS n FROM documents),
+x AS (SELECT q.*, m.version IS NOT NULL AS exact, (SELECT max(version) FROM m WHERE m.paper_id = q.paper_id) AS latest FROM q LEFT JOIN m ON m.paper_id = q.paper_id AND m.version = q.requested)
+SELECT request_id, paper_id, requested, CASE WHEN exact THEN 'model' WHEN latest IS NOT NULL THEN 'model_latest' WHEN n < 28 THEN 'full_text' WHEN n < 36 THEN 'abstract' END AS tier, CASE WHEN exact THEN requested ELSE latest END AS version FROM x""")
+def d21_source_fallback(spark, d):
+    docs, i = table(spark, d, "documents"), F.col("doc_id")
+    paper = F.concat(F.lit("p"), (i % 40).cast("string")).alias("paper_id")
+    models = docs.where("doc_id % 40 < 20").select(paper, (i % 3 + 1).cast("int").alias("version"))
+    return I.source_fallback(docs.select(i.alias("request_id"), paper, (i % 5 + 1).cast("int").alias("requested")), models, docs.where("doc_id % 40 < 28").select(paper), docs.where("doc_id % 40 < 36").select(paper))
+
+
+@query("SELECT conv_id AS paper_id, (max(turn) + 1)::BIGINT AS chunks FROM conversations GROUP BY 1 HAVING max(turn) + 1 >= 6")
+def a19_truncation_report(spark, d):
+    """Conversations stand for papers, turns for chunks."""
+    return I.truncation_report(table(spark, d, "conversations").select(F.col("conv_id").alias("paper_id"), F.col("turn").cast("long").alias("ordinal")), 6)

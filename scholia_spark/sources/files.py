@@ -44,12 +44,40 @@ def in_window(updated: Column, published: Column, since: Column, until: Column)
     return (ts > since) & (until.isNull() | (ts <= until))
 
 
-def publish(df: DataFrame, folder: str, generation: str, view: str, least: int) -> bool:
-    """SNK4: write a generation, and point the view to it only if it holds at least ``least`` rows."""
+POINTER = "CURRENT"
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def publish(df: DataFrame, folder: str, generation: str, least: int) -> bool:
+    """SNK4: write a generation, and point the folder to it only if it holds at least ``least`` rows.
+
+    The pointer is a file beside the generations that names the current one; it is replaced by a rename, so readers see the
+    old generation or the new one, and other sessions and later runs see the same.
+    """
+    spark = df.sparkSession
     path = f"{folder}/generation={generation}"
     df.write.mode("overwrite").parquet(path)
-    made = df.sparkSession.read.parquet(path)
-    if made.count() < least:
+    if spark.read.parquet(path).count() < least:
         return False
-    made.createOrReplaceTempView(view)
+    draft, fs = _file_system(spark, f"{folder}/{POINTER}.{generation}.draft")
+    out = fs.create(draft, True)
+    out.write(bytearray(generation.encode()))
+    out.close()
+    pointer, _ = _file_system(spark, f"{folder}/{POINTER}")
+    rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark._jsc.hadoopConfiguration()).rename(draft, pointer, options)
     return True
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame:
+    """SNK4: the generation that the folder's pointer names; an error where nothing is published."""
+    name = spark.read.text(f"{folder}/{POINTER}", wholetext=True).head()
+    if name is None:
+        raise ValueError(f"nothing is published in {folder}")
+    return spark.read.parquet(f"{folder}/generation={name[0].strip()}")

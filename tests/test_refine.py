@@ -43,5 +43,5 @@ def test_rendered_particles(spark):
 def test_numbers_of_captions(spark):
     df = spark.createDataFrame([("IIII",), ("XIV",), ("xl",), ("Q",), (None,)], "t string")
     assert [r[0] for r in df.select(R.roman_number(F.col("t"))).collect()] == [4, 14, 40, None, None]
-    lines = spark.createDataFrame([("Figure1:Our",), ("Table I shows that",), ("Fig. 3 The set",), (None,)], "t string")
-    assert [tuple(r[0]) if r[0] else None for r in lines.select(R.caption_number(F.col("t"))).collect()] == [("figure", 1), None, ("figure", 3), None]
+    lines = spark.createDataFrame([("Figure12:Seven plots",), ("Table I shows that",), ("Fig. 3 The set",), (None,)], "t string")
+    assert [tuple(r[0]) if r[0] else None for r in lines.select(R.caption_number(F.col("t"))).collect()] == [("figure", 12), None, ("figure", 3), None]
