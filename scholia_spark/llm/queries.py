@@ -1,4 +1,8 @@
-"""The queries opN_<name> and their SQL."""
+"""The queries opN_<name> and their SQL.
+
+Each applies its operator to the whole table; the cases that the operator's module defines (nulls, empty and very long
+texts, repeated rows, empty tables, extra columns) hold for its query.
+"""
 
 from __future__ import annotations
 
@@ -11,20 +15,24 @@ from scholia_spark.llm.shared import table
 
 
 def vocabulary() -> str:
+    """Path of the public vocabulary file on the driver; workers get its bytes."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document; null and empty texts get the score of the bias alone."""
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of ids and decoded text of every document; a null text is the empty one."""
     return bpe.digest_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests, read back from the formatted text, of every conversation and of conversation -1; null texts are empty."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     tricky = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
@@ -32,30 +40,37 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what is read back from each document's AVI file, and its timed clips; a null text is the empty one."""
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; texts without words link with nothing."""
     return jaccard.similarity_classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
 def op6_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the written archives hold of each page; a null html is an empty payload."""
     return warc.archive_index(warc.write_archives(table(spark, sf_dir, "pages")))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair of document and benchmark item that it leaks; null texts and items leak nothing."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by the model of order 3 of the training fold; a null text is the end token alone."""
     return lm.lm_scores(table(spark, sf_dir, "documents"), order=3)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each match of a licence template in a document, with coverage and span; null texts match nothing."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op10_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, equal texts together; a null text has 8 bytes."""
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 24)
 
 
