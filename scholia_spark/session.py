@@ -9,7 +9,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -30,6 +30,21 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+#: Bytes of a text table that is dealt out anew where it has fewer files than there are cores.
+SPREAD_FROM, SPREAD_TO = 4 << 20, 256 << 20
+
+
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table of texts. One in fewer files than cores, and no larger than ``SPREAD_TO``, is dealt to all cores by one
+    shuffle, as a file of one row group is read by one task; larger tables are read as they are."""
+    df = spark.read.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p)
+    cores = spark.sparkContext.defaultParallelism
+    few = SPREAD_FROM <= found.getLength() <= SPREAD_TO and found.getFileCount() < cores
+    return df.repartition(cores) if few else df
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName("scholia-spark")

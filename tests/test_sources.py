@@ -67,3 +67,16 @@ def test_numbers_and_slots(spark):
     assert row.select(text.summary_numbers(F.col("t"))).head()[0] == ["14", "95.3", "1,200", "3.5"]
     index = F.expr("map('a', array(0, 1), 'b', array(1, 2))")
     assert row.select(text.inverted_text(index), text.inverted_text_of_slots(index)).head()[:] == ("a a b b", "a b b")
+
+
+def test_small_text_tables_are_spread(spark, tmp_path, monkeypatch):
+    from scholia_spark import session
+
+    path = f"file://{tmp_path}/t.parquet"
+    spark.range(100).coalesce(1).write.parquet(path)
+    assert session.read_spread(spark, path).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(session, "SPREAD_FROM", 0)
+    df = session.read_spread(spark, path)
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and df.count() == 100
+    monkeypatch.setattr(session, "SPREAD_TO", 10)
+    assert session.read_spread(spark, path).rdd.getNumPartitions() == 1
