@@ -20,6 +20,47 @@ def summary_grounding(drafts: DataFrame, limit: float = 0.4) -> DataFrame:
     return df.select("id", "numbers", "ungrounded", F.round(share, 6).alias("share"), verdict.alias("verdict"))
 
 
+def draft_anchors(anchors: DataFrame, locations: DataFrame) -> DataFrame:
+    """Q13: anchors (id, pos, field, label, target) resolved to locations (id, ord, label): one whose tokens are those of the
+    anchor's label or target, else the longest that is a run of either's tokens; ties to the earlier location.
+
+    Adds ``found``: the location's label, null for an anchor that points at nothing. Where an id has no locations, anchors keep
+    their own label.
+    """
+    tokens = lambda c: T.label_tokens(F.coalesce(F.col(c), F.lit("")))
+    held = locations.select("id", "ord", F.col("label").alias("name"), tokens("label").alias("key")).where(F.size("key") > 0)
+    a = anchors.withColumn("_label", tokens("label")).withColumn("_hint", tokens("target"))
+    key, hay = F.col("key"), (F.col("_label"), F.col("_hint"))
+    exact = (key == hay[0]) | (key == hay[1])
+    both = a.select("id", "pos", "_label", "_hint").join(held, "id").where(T.contiguous(key, hay[0]) | T.contiguous(key, hay[1]))
+    best = both.groupBy("id", "pos").agg(F.max_by("name", F.struct(exact, F.when(exact, 0).otherwise(F.size("key")), -F.col("ord"))).alias("name"))
+    df = a.drop("_label", "_hint").join(best, ["id", "pos"], "left").join(held.select("id").distinct().withColumn("_has", F.lit(True)), "id", "left")
+    return df.withColumn("found", F.when(F.col("_has"), F.col("name")).otherwise(F.coalesce("label", F.lit("")))).drop("name", "_has")
+
+
+def summary_verdict(drafts: DataFrame, anchors: DataFrame, locations: DataFrame, limit: float = 0.4) -> DataFrame:
+    """Q13 whole: outcome, violations in order (hard ones, then anchor_missing an anchor), and the kept anchors once a field and label.
+
+    drafts: id, tldr, method, results, truncated, reproducibility (map), body, captions (array). A hard violation abstains:
+    empty, truncated, schema_incomplete, numeric_mismatch. Numbers are those of the results, held against body and captions.
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    source = F.concat_ws("\n", "body", F.array_join(F.coalesce("captions", F.array().cast("array<string>")), "\n"))
+    numbers = drafts.select("id", F.coalesce("results", F.lit("")).alias("draft"), source.alias("source"))
+    share = summary_grounding(numbers, limit).select("id", F.when(F.col("numbers") > 0, F.col("ungrounded") / F.col("numbers")).otherwise(0.0).alias("share"))
+    told = lambda k: F.coalesce(F.map_contains_key("reproducibility", F.lit(k)), F.lit(False))
+    resolved = draft_anchors(anchors, locations)
+    missing = resolved.where("found IS NULL").groupBy("id").agg(F.count("*").cast("int").alias("missing"))
+    once = resolved.where("found IS NOT NULL").groupBy("id", "field", "found").agg(F.min("pos").alias("pos"))
+    kept = once.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "field", "found"))), lambda a: F.concat_ws(":", a["field"], a["found"])).alias("kept"))
+    df = drafts.join(share, "id").join(missing, "id", "left").join(kept, "id", "left")
+    hard = F.array_compact(F.array(
+        F.when(blank("tldr") | blank("method"), "empty"), F.when(F.col("truncated"), "truncated"), F.when(~(told("code") & told("data")), "schema_incomplete"), F.when(F.col("share") > limit, "numeric_mismatch"),
+    ))
+    soft = F.array_repeat(F.lit("anchor_missing"), F.coalesce("missing", F.lit(0)))
+    return df.select("id", F.when(F.size(hard) > 0, "abstain").otherwise("pass").alias("outcome"), F.concat(hard, soft).alias("violations"), F.coalesce("kept", F.array().cast("array<string>")).alias("kept"))
+
+
 def threshold_sweep(cases: DataFrame, thresholds: list[float]) -> DataFrame:
     """Confusion counts for each threshold (a short fixed list). cases: expected ('pass' or 'block'), share."""
     each = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")

@@ -39,13 +39,12 @@ def term_overlap(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataF
     return top(collapse(hits), ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, k1: float = 1.2, b: float = 0.75, keep: Column | None = None) -> DataFrame:
-    """BM25 over one field; statistics over all chunks, postings of query terms only. ``keep`` limits what is found, not what is counted."""
-    chunks = chunks.withColumn("_keep", F.lit(True) if keep is None else F.coalesce(keep, F.lit(False)))
-    q = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    stats = chunks.agg(F.count("*").alias("docs"), F.avg(F.size("tokens")).alias("mean"))
+def _field_hits(q: DataFrame, chunks: DataFrame, field: str, k1: float, b: float) -> DataFrame:
+    """query_id, paper_id, chunk_id, score of one field. Chunks without a token there don't count for its statistics."""
+    held = chunks.where(F.size(field) > 0)
+    stats = held.agg(F.count("*").alias("docs"), F.avg(F.size(field)).alias("mean"))
     wanted = q.select("term").distinct()
-    tf = chunks.select("chunk_id", "paper_id", "_keep", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    tf = held.select("chunk_id", "paper_id", "_keep", F.size(field).alias("len"), F.explode(field).alias("term")).join(wanted, "term", "left_semi")
     tf = tf.groupBy("term", "chunk_id", "paper_id", "_keep", "len").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     scored = tf.where("_keep").join(df, "term").join(q, "term").crossJoin(F.broadcast(stats))  # one row of statistics
@@ -53,7 +52,20 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, k1: float = 1.2,
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     # added up in the order of the terms, so that equal texts have equal scores
     hits = scored.groupBy("query_id", "paper_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("term", part.alias("part")))).alias("parts"))
-    hits = hits.select("query_id", "paper_id", "chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"]).alias("score"))
+    return hits.select("query_id", "paper_id", "chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"]).alias("score"))
+
+
+def bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, k1: float = 1.2, b: float = 0.75, keep: Column | None = None, fields: tuple[str, ...] = ("tokens",)) -> DataFrame:
+    """BM25 over fields of tokens, the best field of a chunk counts; statistics over all chunks, postings of query
+    terms only. ``keep`` limits what is found, not what is counted."""
+    chunks = chunks.withColumn("_keep", F.lit(True) if keep is None else F.coalesce(keep, F.lit(False)))
+    q = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    each = [_field_hits(q, chunks, f, k1, b) for f in fields]
+    hits = each[0]
+    for other in each[1:]:
+        hits = hits.unionByName(other)
+    if len(each) > 1:
+        hits = hits.groupBy("query_id", "paper_id", "chunk_id").agg(F.max("score").alias("score"))
     return top(collapse(hits), ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 

@@ -24,6 +24,37 @@ def q13_summary_grounding(spark, d):
     return G.summary_grounding(table(spark, d, "documents").select(i.alias("id"), draft.alias("draft"), source.alias("source")))
 
 
+_TOKENS = r"""list_filter(string_split_regex(lower(regexp_replace(regexp_replace({}, '(?i)^\s*(?:section\b|sec\.|§)\s*[:.\-]?\s*', ''), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+'), lambda x: x <> '')"""
+_RUN = "contains(' ' || array_to_string({0}, ' ') || ' ', ' ' || array_to_string(k, ' ') || ' ')"
+_NUMBERS = r"regexp_extract_all({}, '\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d+(?:\.\d+)?')"
+
+
+@query(rf"""WITH w AS (SELECT doc_id AS id, text, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS ws FROM documents), p AS (SELECT unnest([1, 2, 3, 4]) AS pos),
+a AS (SELECT id, pos, 'f' || pos % 2 AS field, array_to_string(ws[2 * pos - id % 2 : 2 * pos - id % 2 + 2], ' ') AS label, array_to_string(ws[2 * pos : 2 * pos], ' ') AS target FROM w, p),
+t AS (SELECT *, {_TOKENS.format('label')} AS lk, {_TOKENS.format('target')} AS hk FROM a),
+l AS (SELECT id, pos AS ord, array_to_string(ws[3 * pos : 3 * pos + pos % 2], ' ') AS name FROM w, p WHERE id % 6 <> 0), l2 AS (SELECT *, {_TOKENS.format('name')} AS k FROM l), l3 AS (SELECT * FROM l2 WHERE len(k) > 0),
+m AS (SELECT id, pos, arg_max(name, struct_pack(e := (k = lk OR k = hk)::INT, n := CASE WHEN k = lk OR k = hk THEN 0 ELSE len(k) END, o := -ord)) AS name FROM t JOIN l3 USING (id) WHERE {_RUN.format('lk')} OR {_RUN.format('hk')} GROUP BY 1, 2),
+r AS (SELECT t.id, t.pos, t.field, CASE WHEN t.id IN (SELECT id FROM l3) THEN m.name ELSE t.label END AS found FROM t LEFT JOIN m USING (id, pos)),
+mi AS (SELECT id, count(*) AS missing FROM r WHERE found IS NULL GROUP BY 1), o AS (SELECT id, field, found, min(pos) AS pos FROM r WHERE found IS NOT NULL GROUP BY 1, 2, 3), ke AS (SELECT id, list(field || ':' || found ORDER BY pos) AS kept FROM o GROUP BY 1),
+n AS (SELECT id, unnest({_NUMBERS.format("(id % 100)::VARCHAR || '.5 of ' || id * 3")}) AS x, list_transform({_NUMBERS.format("coalesce(text || chr(10), '') || (CASE WHEN id % 3 = 0 THEN 'Fig ' || id * 3 || ' at ' || (id % 100) || '.52' ELSE '' END)")}, lambda v: replace(v, ',', '')::DOUBLE) AS vs FROM w),
+g AS (SELECT id, avg((len(list_filter(vs, lambda s: abs(s - x::DOUBLE) <= 0.5::DOUBLE * pow(10.0::DOUBLE, -length(regexp_extract(x, '\.(\d+)', 1))) + 1e-9::DOUBLE OR abs(CASE WHEN x::DOUBLE > 1 THEN x::DOUBLE / 100 ELSE x::DOUBLE * 100 END - s) <= 1e-9::DOUBLE)) = 0)::INT) AS share FROM n GROUP BY 1),
+h AS (SELECT w.id, list_filter([CASE WHEN w.id % 7 = 0 THEN 'empty' END, CASE WHEN w.id % 5 = 0 THEN 'truncated' END, CASE WHEN w.id % 4 = 0 THEN 'schema_incomplete' END, CASE WHEN share > 0.4 THEN 'numeric_mismatch' END], lambda v: v IS NOT NULL) AS hard FROM w JOIN g USING (id))
+SELECT id, CASE WHEN len(hard) > 0 THEN 'abstain' ELSE 'pass' END AS outcome, list_concat(hard, list_transform(range(coalesce(missing, 0)), lambda v: 'anchor_missing')) AS violations, coalesce(kept, []) AS kept FROM h LEFT JOIN mi USING (id) LEFT JOIN ke USING (id)""")
+def q13_summary_verdict(spark, d):
+    """Q13 whole: anchors and locations are runs of each text's words, numbers are held against the whole text."""
+    i, pos = F.col("doc_id"), F.col("pos")
+    s = lambda c: c.cast("string")
+    docs = table(spark, d, "documents").select(i.alias("id"), "text", "doc_id", F.array_remove(F.split(F.coalesce("text", F.lit("")), r"\s+"), "").alias("ws"))
+    some = lambda at, n: F.array_join(F.slice("ws", at.cast("int"), n), " ")
+    each = docs.withColumn("pos", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))))
+    anchors = each.select("id", "pos", F.concat(F.lit("f"), s(pos % 2)).alias("field"), some(2 * pos - i % 2, F.lit(3)).alias("label"), some(2 * pos, F.lit(1)).alias("target"))
+    locations = each.where("id % 6 <> 0").select("id", pos.alias("ord"), some(3 * pos, (1 + pos % 2).cast("int")).alias("label"))
+    parts = F.when(i % 4 == 0, F.create_map(F.lit("code"), F.lit("x"))).otherwise(F.create_map(F.lit("code"), F.lit("x"), F.lit("data"), F.lit("y")))
+    caption = F.when(i % 3 == 0, F.array(F.concat(F.lit("Fig "), s(i * 3), F.lit(" at "), s(i % 100), F.lit(".52"))))
+    drafts = docs.select("id", F.when(i % 7 == 0, " ").otherwise("t").alias("tldr"), F.lit("m").alias("method"), F.concat(s(i % 100), F.lit(".5 of "), s(i * 3)).alias("results"), (i % 5 == 0).alias("truncated"), parts.alias("reproducibility"), F.col("text").alias("body"), caption.alias("captions"))
+    return G.summary_verdict(drafts, anchors, locations)
+
+
 @query("""WITH c AS (SELECT CASE WHEN quality = 1 THEN 'pass' ELSE 'block' END AS expected, (doc_id * 37 % 100) / 100.0::DOUBLE AS share FROM labels), t AS (SELECT unnest([0.2, 0.4, 0.6]::DOUBLE[]) AS threshold)
 SELECT threshold, count(*) FILTER (WHERE expected = 'pass' AND share <= threshold) AS true_pass, count(*) FILTER (WHERE expected = 'block' AND share <= threshold) AS false_pass,
  count(*) FILTER (WHERE expected = 'block' AND share > threshold) AS true_block, count(*) FILTER (WHERE expected = 'pass' AND share > threshold) AS false_block FROM c, t GROUP BY 1""")

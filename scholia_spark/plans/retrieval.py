@@ -28,7 +28,7 @@ h AS (SELECT query_id, paper_id, chunk_id, count(*)::DOUBLE AS score FROM p JOIN
 lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM h) WHERE rank <= 150)"""
 _BM25 = _TOKENS + """t AS (SELECT chunk_id, paper_id, len(tokens) AS n, unnest(tokens) AS term FROM c),
 tf AS (SELECT term, chunk_id, paper_id, n, count(*) AS tf FROM t WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-s AS (SELECT count(*) AS docs, avg(len(tokens)) AS mean FROM c),
+s AS (SELECT count(*) AS docs, avg(len(tokens)) AS mean FROM c WHERE len(tokens) > 0),
 h AS (SELECT query_id, paper_id, chunk_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) ORDER BY term) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), s GROUP BY ALL),
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM h) WHERE rank <= 150)"""
 _KNN = """qv AS (SELECT vec_id // 50 AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
@@ -54,6 +54,24 @@ def q2_bm25(spark, d):
     return _shown(R.bm25(_queries(spark, d), _chunks(spark, d)), 6)
 
 
+def _field_sql(name: str, tokens: str) -> str:
+    return f"""{name}_t AS (SELECT chunk_id, paper_id, len({tokens}) AS n, unnest({tokens}) AS term FROM c),
+{name}_tf AS (SELECT term, chunk_id, paper_id, n, count(*) AS tf FROM {name}_t WHERE term IN (SELECT term FROM qt) GROUP BY ALL), {name}_df AS (SELECT term, count(*) AS df FROM {name}_tf GROUP BY 1),
+{name}_s AS (SELECT count(*) AS docs, avg(len({tokens})) AS mean FROM c WHERE len({tokens}) > 0),
+{name}_h AS (SELECT query_id, paper_id, chunk_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) ORDER BY term) AS score FROM {name}_tf JOIN {name}_df USING (term) JOIN qt USING (term), {name}_s GROUP BY ALL)"""
+
+
+_LINE = "list_filter(string_split_regex(lower(string_split(text, chr(10))[1]), '\\s+'), lambda x: x <> '')"
+
+
+@query(f"""WITH {_TOKENS}{_field_sql('a', _LINE)}, {_field_sql('b', 'tokens')}, m AS (SELECT query_id, paper_id, chunk_id, max(score) AS score FROM (SELECT * FROM a_h UNION ALL SELECT * FROM b_h) GROUP BY ALL)
+SELECT query_id, paper_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM m) WHERE rank <= 150""")
+def q2_bm25_fields(spark, d):
+    """Q2 over two fields: a document's first line, and its text."""
+    line = F.array_remove(F.split(F.lower(F.element_at(F.split("text", "\n"), 1)), r"\s+"), "")
+    return _shown(R.bm25(_queries(spark, d), _chunks(spark, d).withColumn("line", line), fields=("line", "tokens")), 6)
+
+
 @query("""WITH q AS (SELECT item_id AS query_id, lower(array_to_string(string_split(text, ' ')[2:5], ' ')) AS phrase FROM benchmark),
 h AS (SELECT query_id, doc_id AS paper_id FROM documents, q WHERE contains(lower(text), phrase))
 SELECT query_id, paper_id, paper_id AS chunk_id, 1.0::DOUBLE AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY paper_id)::INT AS rank FROM h) WHERE rank <= 150""")

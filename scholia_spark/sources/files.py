@@ -44,6 +44,35 @@ def in_window(updated: Column, published: Column, since: Column, until: Column)
     return (ts > since) & (until.isNull() | (ts <= until))
 
 
+#: Folders of a raw cache; a lookup reads only those of the papers it names.
+BUCKETS = 256
+
+
+def put_raw(rows: DataFrame, path: str) -> None:
+    """SRC17: add raw bytes to a cache. rows: paper_id, version, tier, data, put_at. Nothing is overwritten: the newest wins when read."""
+    rows.select("paper_id", "version", "tier", "data", "put_at", F.pmod(F.xxhash64("paper_id"), F.lit(BUCKETS)).cast("int").alias("bucket")).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def get_raw(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """SRC17: wanted (paper_id, version, tier) with ``data``, null where the cache has none; the newest put wins.
+
+    The bytes move last: the newest put is found by its time alone.
+    """
+    keys = ["paper_id", "version", "tier"]
+    asked = wanted.select(*keys).distinct().withColumn("bucket", F.pmod(F.xxhash64("paper_id"), F.lit(BUCKETS)).cast("int"))
+    held = spark.read.parquet(path)
+    newest = held.select("bucket", *keys, "put_at").join(asked, ["bucket", *keys], "left_semi").groupBy("bucket", *keys).agg(F.max("put_at").alias("put_at"))
+    found = held.join(newest, ["bucket", *keys, "put_at"]).dropDuplicates(keys).select(*keys, "data")
+    return asked.drop("bucket").join(found, keys, "left")
+
+
+def loss_within(outcomes: DataFrame, most: float) -> DataFrame:
+    """Outcomes (paper_id, outcome: indexed, excluded or failed) of a reparse as one row: counts, bad_ratio (1 for no papers), and whether the loss is within its budget."""
+    n = {o: F.count_if(F.col("outcome") == o) for o in ("indexed", "excluded", "failed")}
+    ratio = F.when(F.count("*") > 0, (n["excluded"] + n["failed"]) / F.count("*")).otherwise(1.0)
+    return outcomes.agg(*[c.alias(o) for o, c in n.items()], ratio.alias("bad_ratio"), (ratio <= most).alias("within"))
+
+
 POINTER = "CURRENT"
 
 

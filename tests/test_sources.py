@@ -80,3 +80,19 @@ def test_small_text_tables_are_spread(spark, tmp_path, monkeypatch):
     assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and df.count() == 100
     monkeypatch.setattr(session, "SPREAD_TO", 10)
     assert session.read_spread(spark, path).rdd.getNumPartitions() == 1
+
+
+def test_raw_cache(spark, tmp_path):
+    path = f"file://{tmp_path}/raw"
+    schema = "paper_id string, version int, tier string, data binary, put_at int"
+    files.put_raw(spark.createDataFrame([("a", 1, "pdf", b"old", 1), ("a", 2, "pdf", b"two", 1), ("b", 1, "html", b"h", 1)], schema), path)
+    files.put_raw(spark.createDataFrame([("a", 1, "pdf", b"new", 2), ("c", 1, "pdf", b"", 2), ("c", 1, "pdf", b"", 2)], schema), path)
+    wanted = spark.createDataFrame([("a", 1, "pdf"), ("a", 1, "pdf"), ("a", 1, "html"), ("c", 1, "pdf"), ("d", 1, "pdf")], "paper_id string, version int, tier string")
+    got = {(r["paper_id"], r["tier"]): r["data"] for r in files.get_raw(spark, path, wanted).collect()}
+    assert got == {("a", "pdf"): b"new", ("a", "html"): None, ("c", "pdf"): b"", ("d", "pdf"): None}
+
+
+def test_loss_budget(spark):
+    rows = lambda *o: spark.createDataFrame([(str(i), x) for i, x in enumerate(o)], "paper_id string, outcome string")
+    assert files.loss_within(rows("indexed", "indexed", "failed", "excluded"), 0.5).head().asDict() == {"indexed": 2, "excluded": 1, "failed": 1, "bad_ratio": 0.5, "within": True}
+    assert not files.loss_within(rows("indexed", "failed"), 0.4).head()["within"] and files.loss_within(rows(), 0.5).head()["bad_ratio"] == 1.0
