@@ -39,19 +39,30 @@ def term_overlap(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataF
     return top(collapse(hits), ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
+#: Stands in the postings once a chunk, so that statistics come from the pass that counts terms. No token is empty.
+_EACH = ""
+
+
 def _field_hits(q: DataFrame, chunks: DataFrame, field: str, k1: float, b: float) -> DataFrame:
-    """query_id, paper_id, chunk_id, score of one field. Chunks without a token there don't count for its statistics."""
-    held = chunks.where(F.size(field) > 0)
-    stats = held.agg(F.count("*").alias("docs"), F.avg(F.size(field)).alias("mean"))
+    """query_id, paper_id, chunk_id, score of one field. Chunks without a token there don't count for its statistics.
+
+    Texts are read once: the three uses of ``tf`` share one exchange, which holds query terms and a row a chunk. They read the
+    same columns and filter only behind an aggregate, as otherwise the plans differ and nothing is shared.
+    """
     wanted = q.select("term").distinct()
-    tf = held.select("chunk_id", "paper_id", "_keep", F.size(field).alias("len"), F.explode(field).alias("term")).join(wanted, "term", "left_semi")
-    tf = tf.groupBy("term", "chunk_id", "paper_id", "_keep", "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.where("_keep").join(df, "term").join(q, "term").crossJoin(F.broadcast(stats))  # one row of statistics
+    wanted = wanted.unionByName(wanted.sparkSession.range(1).select(F.lit(_EACH).alias("term")))
+    each = F.explode(F.when(F.size(field) > 0, F.concat(F.array(F.lit(_EACH)), F.col(field)))).alias("term")
+    postings = chunks.select("chunk_id", "paper_id", "_keep", F.size(field).alias("len"), each).where("term IS NOT NULL")
+    tf = postings.join(wanted, "term", "left_semi").groupBy("term", "chunk_id", "paper_id", "_keep", "len").agg(F.count("*").alias("tf"))
+    found, one = F.col("tf") > 0, F.col("term") == _EACH
+    stats = tf.agg(F.count_if(one & found).alias("docs"), F.avg(F.when(one & found, F.col("len"))).alias("mean"))
+    df = tf.groupBy("term").agg(F.count_if(found).alias("df"))
+    scored = tf.join(df, "term").join(q, "term").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     # added up in the order of the terms, so that equal texts have equal scores
-    hits = scored.groupBy("query_id", "paper_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("term", part.alias("part")))).alias("parts"))
+    parts = F.array_sort(F.collect_list(F.struct("term", part.alias("part")))).alias("parts")
+    hits = scored.groupBy("query_id", "paper_id", "chunk_id").agg(parts, F.bool_and("_keep").alias("kept")).where("kept")
     return hits.select("query_id", "paper_id", "chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"]).alias("score"))
 
 
@@ -59,7 +70,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, k1: float = 1.2,
     """BM25 over fields of tokens, the best field of a chunk counts; statistics over all chunks, postings of query
     terms only. ``keep`` limits what is found, not what is counted."""
     chunks = chunks.withColumn("_keep", F.lit(True) if keep is None else F.coalesce(keep, F.lit(False)))
-    q = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    q = queries.select("query_id", F.explode(F.array_remove(F.array_distinct("terms"), _EACH)).alias("term"))
     each = [_field_hits(q, chunks, f, k1, b) for f in fields]
     hits = each[0]
     for other in each[1:]:
