@@ -186,13 +186,22 @@ def _calls(spark, d):
     return table(spark, d, "events").select((F.col("user_id") % 30).alias("key"), F.col("event_id").alias("call_id"), (F.col("event_id") * 7 / 1.0).alias("t"))
 
 
-@query()
+_KEYED = "WITH RECURSIVE c AS (SELECT user_id % 30 AS key, event_id AS call_id, event_id * 7 / 1.0 AS t, row_number() OVER (PARTITION BY user_id % 30 ORDER BY event_id) AS n FROM events)"
+
+
+@query(f"""{_KEYED}, r AS (SELECT *, true AS allowed, [t] AS passed FROM c WHERE n = 1 UNION ALL
+SELECT key, call_id, t, n, len(kept) < 5, CASE WHEN len(kept) < 5 THEN list_append(kept, t) ELSE kept END FROM (SELECT c.*, list_filter(passed, lambda x: c.t - x < 3000) AS kept FROM r JOIN c ON c.key = r.key AND c.n = r.n + 1))
+SELECT key, call_id, allowed FROM r""")
 def t15_sliding_limit(spark, d):
+    """The SQL is the loop over calls as a recursive query."""
     return A.sliding_limit(_calls(spark, d), 5, 3000.0)
 
 
-@query()
+@query(f"""{_KEYED}, r AS (SELECT *, t + 3000 AS reset, 1 AS used FROM c WHERE n = 1 UNION ALL
+SELECT c.*, CASE WHEN c.t >= reset THEN c.t + 3000 ELSE reset END, CASE WHEN c.t >= reset THEN 1 ELSE used + 1 END FROM r JOIN c ON c.key = r.key AND c.n = r.n + 1)
+SELECT key, call_id, used <= 5 AS allowed FROM r""")
 def t23_fixed_limit(spark, d):
+    """The SQL is the loop over calls as a recursive query."""
     return A.fixed_limit(_calls(spark, d), 5, 3000.0)
 
 

@@ -100,14 +100,24 @@ def _papers(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.element_at(F.split("text", "\n"), 1).alias("abstract"), F.col("text").alias("body"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT doc_id::VARCHAR AS paper_id, unnest([0, 1]) AS s, trim(regexp_replace(unnest([string_split(text, chr(10))[1], text]), '\\s+', ' ', 'g')) AS x FROM documents),
+r AS (SELECT *, 0 AS k, 0 AS pos, NULL::VARCHAR AS piece FROM c WHERE x <> '' UNION ALL
+SELECT paper_id, s, x, k + 1, CASE WHEN stop < length(x) THEN greatest(0, stop - 240) END, trim(substr(x, pos + 1, stop - pos)) FROM (
+ SELECT *, CASE WHEN far < length(x) AND back > 0 AND far - back > pos + 1200 THEN far - back ELSE far END AS stop FROM (
+  SELECT *, least(pos + 2400, length(x)) AS far, strpos(reverse(substr(x, pos + 1, 2400)), ' ') AS back FROM r WHERE pos IS NOT NULL)))
+SELECT paper_id, (row_number() OVER (PARTITION BY paper_id ORDER BY s, k) - 1)::INT AS ordinal, ['abstract', 'body'][s + 1] AS section, piece AS text, count(*) OVER (PARTITION BY paper_id) > 2048 AS truncated FROM r WHERE piece <> ''""")
 def d11_chunk_papers(spark, d):
     """D10, D11, A19."""
     return I.chunk_papers(_papers(spark, d))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS o FROM documents),
+r AS (SELECT doc_id, o, 0 AS bin, length(t) AS chars FROM l WHERE o = 0 UNION ALL
+SELECT doc_id, o, CASE WHEN fits THEN bin ELSE bin + 1 END, CASE WHEN fits THEN chars + 1 + n ELSE n END FROM (
+ SELECT l.doc_id, l.o, bin, chars, length(t) AS n, l.o % 4 > 0 AND chars + 1 + length(t) <= 1200 AS fits FROM r JOIN l ON l.doc_id = r.doc_id AND l.o = r.o + 1))
+SELECT doc_id::VARCHAR AS paper_id, bin::INT AS ordinal, 's' || (min(o) // 4) AS section_id, max(chars)::INT AS chars, list('s' || (o // 4) || '.p' || o ORDER BY o) AS block_refs FROM r GROUP BY doc_id, bin""")
 def d12_pack_blocks(spark, d):
+    """D12."""
     lines = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("block_ord", "text"))
     section = F.concat(F.lit("s"), F.expr("block_ord div 4").cast("string"))
     return I.pack_blocks(lines.select("paper_id", section.alias("section_id"), "block_ord", F.concat(section, F.lit(".p"), F.col("block_ord").cast("string")).alias("block_id"), "text"))
@@ -128,8 +138,14 @@ def d22_version_fallback(spark, d):
     return I.version_fallback(docs.select(i.alias("request_id"), paper, (i % 5 + 1).cast("int").alias("requested")), stored)
 
 
-@query()
+#: The text of pages: script-like elements and comments go, block elements give lines, other tags nothing.
+_PAGE_TEXT = """(SELECT page_id, string_agg(x, chr(10) ORDER BY o) FILTER (WHERE x <> '') AS text FROM (SELECT page_id, o, trim(regexp_replace(replace(replace(replace(replace(replace(replace(line, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t\\f\\v\\x{a0}]+', ' ', 'g')) AS x
+FROM (SELECT page_id, unnest(p) AS line, generate_subscripts(p, 1) AS o FROM (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>|<head.*?</head>|<script.*?</script>|<style.*?</style>', '', 'g'), '(?i)</?(p|div|br|li|ul|ol|article|nav|footer|h1)(\\s[^>]*)?>', chr(10), 'g'), '</?[a-zA-Z][^>]*>', '', 'g'), chr(10)) AS p FROM pages))) GROUP BY page_id)"""
+
+
+@query(f"SELECT page_id, coalesce(text, '') AS text FROM {_PAGE_TEXT}")
 def src10_html_to_text(spark, d):
+    """SRC10."""
     return I.html_to_text(table(spark, d, "pages"))
 
 

@@ -30,8 +30,13 @@ def d18_map_reduce_chunks(spark, d):
     return R.map_reduce_chunks(table(spark, d, "documents"), 400, 200)
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT doc_id, unnest(p) AS t, generate_subscripts(p, 1) - 1 AS ord FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
+s AS (SELECT doc_id, ord, greatest(1, length(t) // 4) AS n FROM l),
+r AS (SELECT doc_id, ord, n AS used, 0 AS batch FROM s WHERE ord = 0 UNION ALL
+SELECT s.doc_id, s.ord, CASE WHEN used + n > 350 THEN n ELSE used + n END, CASE WHEN used + n > 350 THEN batch + 1 ELSE batch END FROM r JOIN s ON s.doc_id = r.doc_id AND s.ord = r.ord + 1)
+SELECT doc_id, ord, batch::INT AS batch FROM r""")
 def d19_segment_batches(spark, d):
+    """D19."""
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("ord", "text"))
     return R.segment_batches(lines.withColumn("ord", F.col("ord").cast("long")), 350)
 

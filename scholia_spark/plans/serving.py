@@ -150,8 +150,13 @@ def g2_g3_counter_probes(spark, d):
     return found.withColumn("lacking", V.lacks_counter_probe(F.when(F.col("job_id") % 2 == 0, "claim").otherwise("fact"), F.col("probes"), F.lit(True)))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT user_id AS job_id, event_id AS seq, event_id % 3 = 0 AS search, (event_id % 4)::DOUBLE AS cost, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT job_id, 0 AS n, NULL::BIGINT AS seq, 0 AS calls, 0 AS searches, 0.0::DOUBLE AS spent, '' AS verdict FROM (SELECT DISTINCT job_id FROM c) UNION ALL
+SELECT job_id, n, seq, calls + (v = 'ok')::INT, searches + (v = 'ok' AND search)::INT, spent + CASE WHEN v = 'ok' THEN cost ELSE 0 END, v FROM (
+ SELECT c.*, calls, searches, spent, CASE WHEN calls >= 12 THEN 'tool_calls_exhausted' WHEN search AND searches >= 5 THEN 'tool_cap_exhausted' WHEN spent >= 9 THEN 'cost_exhausted' ELSE 'ok' END AS v FROM r JOIN c ON c.job_id = r.job_id AND c.n = r.n + 1))
+SELECT job_id, seq, verdict FROM r WHERE n > 0""")
 def g5_tool_budget(spark, d):
+    """The SQL is the loop over a job's calls as a recursive query."""
     return V.tool_call_budget(_trace(spark, d), 12, {"search": 5}, 9.0)
 
 
