@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from scholia_spark.operators import refine as R
 from scholia_spark.plans.base import query, table
 
-_TERMS = ["attention", "latent space", "latent", "Transformer"]
-_FORMS = ["어텐션", "잠재 공간", "잠재", "Transformer"]
 
 
 def _s(c):
@@ -41,14 +39,30 @@ def d19_segment_batches(spark, d):
     return R.segment_batches(lines.withColumn("ord", F.col("ord").cast("long")), 350)
 
 
-@query("""SELECT doc_id, 'The ' || ['⟦G0⟧', '⟦G1⟧', 'latents', 'transformers'][(doc_id % 4) + 1] || ' of ⟦G3⟧-' || doc_id AS masked, [[0, 3], [1, 3], [3], [3]][(doc_id % 4) + 1] AS planted,
-'The ' || ['어텐션', '잠재 공간', 'latents', 'transformers'][(doc_id % 4) + 1] || ' of Transformer-' || doc_id AS rendered FROM documents""")
+#: Terms that stand in the documents' texts, one inside another, with the forms that replace them.
+_COMMON = {"de la": "의 그", "la": "그", "the": "정관사", "und": "그리고", "attention": "어텐션"}
+
+
+def _planted(text: str) -> str:
+    """SQL that masks the terms, longest first; twice each, as neighbours share the blank between them."""
+    order = sorted(range(len(_COMMON)), key=lambda i: -len(list(_COMMON)[i]))
+    for i in order:
+        for _ in range(2):
+            text = f"regexp_replace({text}, '(^|[^A-Za-z0-9_])(?i:{list(_COMMON)[i]})($|[^A-Za-z0-9_])', '\\1⟦G{i}⟧\\2', 'g')"
+    return text
+
+
+def _rendered(text: str) -> str:
+    for i, form in enumerate(_COMMON.values()):
+        text = f"replace({text}, '⟦G{i}⟧', '{form}')"
+    return text
+
+
+@query(f"""SELECT doc_id, masked, list_filter(range({len(_COMMON)}), lambda i: contains(masked, '⟦G' || i || '⟧'))::INT[] AS planted, {_rendered('masked')} AS rendered FROM (SELECT doc_id, {_planted("coalesce(text, '')")} AS masked FROM documents)""")
 def x27_x28_masks(spark, d):
-    """X27, X28, G21."""
-    i = F.col("doc_id")
-    source = F.concat(F.lit("The "), _pick(i, "ATTENTION", "latent space", "latents", "transformers"), F.lit(" of transformer-"), _s(i))
-    masked = table(spark, d, "documents").select("doc_id", R.mask_terms(_TERMS)(source).alias("m"))
-    return masked.select("doc_id", F.col("m.text").alias("masked"), F.col("m.planted").alias("planted"), R.render_terms(_FORMS)(F.col("m.text"))["text"].alias("rendered"))
+    """X27, X28, G21 over whole texts."""
+    masked = table(spark, d, "documents").select("doc_id", R.mask_terms(list(_COMMON))(F.col("text")).alias("m"))
+    return masked.select("doc_id", F.col("m.text").alias("masked"), F.col("m.planted").alias("planted"), R.render_terms(list(_COMMON.values()))(F.col("m.text"))["text"].alias("rendered"))
 
 
 @query("""SELECT doc_id, [true, false, false, true, false][(doc_id % 5) + 1] AS worthy, CASE WHEN doc_id % 5 IN (0, 3) THEN [t] ELSE [] END::VARCHAR[] AS kept FROM (SELECT doc_id, ['diffusion model', 'x', 'the alpha-term', 'BERT', 'W_q'][(doc_id % 5) + 1] AS t FROM documents)""")
