@@ -1,12 +1,17 @@
-"""Templates of public licences for the scan: whole texts of the short ones, notices of all.
+"""Templates of public licences for the scan: whole texts, and notices of all.
 
 Braces mark the words that tell a licence from its relatives: a match must have each of them, and between the first and the
-last no other word that is in braces anywhere here. The bodies of the long licences (the GNU family, Apache, Mozilla,
-Creative Commons) aren't here; what sources carry of them is the notice. Pass their texts in ``templates`` to find the bodies.
+last no other word that is in braces anywhere here. The whole texts of long licences (GNU, Apache, Mozilla, Artistic, CC0) are
+the files of ``license_bodies``, named by their identifiers, as published; the driver reads them. Bodies of others can be
+passed in ``templates``.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
+BODIES = Path(__file__).parent / "license_bodies"
+
 #: Public licence texts and notices, without titles and copyright lines.
 PERMISSION = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
 AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
@@ -52,9 +57,14 @@ COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-{ShareAlike}", "BY-NC": "A
 COMMONS_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 
 
+def bodies(folder: Path = BODIES) -> dict[str, str]:
+    """name -> whole text of each file of a folder; their own braces mark nothing."""
+    return {f"{p.stem}-body": p.read_text("utf-8").translate({ord("{"): " ", ord("}"): " "}) for p in sorted(folder.glob("*.txt"))}
+
+
 def templates() -> dict[str, str]:
     """name -> template, braces included."""
-    out = {**TEXTS, **LINES}
+    out = {**TEXTS, **LINES, **bodies()}
     for short, (words, versions) in GNU.items():
         for v in versions:
             name = f"{short}-{v}" if "." in v else f"{short}-{v}.0"

@@ -3,7 +3,10 @@
 Texts and templates are words of letters and digits in lower case. Hashes of ``K`` words are winnowed over ``W`` places
 (any shared run of K + W - 1 words shares a fingerprint); the index maps a fingerprint to templates and places. Hits whose
 offsets lie within the band of each other make a candidate, and an alignment within the band (match, insertion, deletion,
-substitution) gives the covered template words and the span in characters of the text. A match needs a coverage of
+substitution) around their most frequent offset gives the covered template words and the span in characters of the text.
+Whole long licences (over ``LONG`` words) are aligned in parts of ``PART`` words, each with ``PART_HITS`` hits at least, so
+common phrases start nothing; parts that follow each other in the text are added up, so paragraphs may be lost or put in
+between. A match needs a coverage of
 ``COVERAGE`` (of ``SHORT_COVERAGE`` for templates below ``SHORT`` words) and the words in braces of its template, in the text
 as in the template: version 2.0 is no version 3.0, BY-NC-SA no BY-SA.
 
@@ -15,6 +18,7 @@ rows repeat their matches; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -27,6 +31,10 @@ from scholia_spark.llm.textkit import ngram_hashes, word_hashes
 K = 3
 W = 2
 BAND = 6
+LONG = 300
+PART = 100
+PART_HITS = 8
+PART_BAND = 16
 COVERAGE = 0.7
 SHORT = 25
 SHORT_COVERAGE = 0.8
@@ -65,10 +73,17 @@ def marked(template: str) -> tuple[np.ndarray, np.ndarray]:
 
 class Index:
     def __init__(self, templates: dict[str, str]):
-        self.names = sorted(templates)
-        both = [marked(templates[n]) for n in self.names]
-        self.words, self.telling = [w for w, _ in both], [p for _, p in both]
-        self.every_telling = np.unique(np.concatenate([np.empty(0, np.uint64), *[w[p] for w, p in both]]))
+        self.names, self.words, self.telling, self.part, self.total = [], [], [], [], []
+        for name in sorted(templates):
+            words, telling = marked(templates[name])
+            cut = words.size > LONG and not telling.size
+            for part, piece in enumerate(np.split(words, range(PART, words.size - PART // 2, PART)) if cut else [words]):
+                self.names.append(name)
+                self.words.append(piece)
+                self.telling.append(telling)
+                self.part.append(part if cut else None)
+                self.total.append(words.size)
+        self.every_telling = np.unique(np.concatenate([np.empty(0, np.uint64), *[w[p] for w, p in zip(self.words, self.telling, strict=True)]]))
         keys, which, at = [], [], []
         for t, words in enumerate(self.words):
             grams = ngram_hashes(words, K)
@@ -93,7 +108,7 @@ class Index:
 
     def band(self, t: int) -> int:
         """Words that an alignment may drift: less for short templates, whose matches may follow each other closely."""
-        return min(BAND, max(1, self.words[t].size // 4))
+        return PART_BAND if self.part[t] is not None else min(BAND, max(1, self.words[t].size // 4))
 
     def candidates(self, words: np.ndarray) -> list[tuple[int, int]]:
         """(template, offset of its first word in the text), one for each cluster of offsets within the band."""
@@ -104,12 +119,15 @@ class Index:
         grams = grams[places]
         low, high = np.searchsorted(self.keys, grams), np.searchsorted(self.keys, grams, "right")
         hit = np.flatnonzero(high > low)
-        found = sorted({(int(self.which[k]), int(places[i]) - int(self.at[k])) for i in hit for k in range(low[i], high[i])})
-        out: list[tuple[int, int]] = []
-        for t, shift in found:
-            if not (out and out[-1][0] == t and shift - out[-1][1] <= self.band(t)):
-                out.append((t, shift))
-        return out
+        counts = Counter((int(self.which[k]), int(places[i]) - int(self.at[k])) for i in hit for k in range(low[i], high[i]))
+        clusters: list[list[tuple[int, int]]] = []
+        for t, shift in sorted(counts):
+            if clusters and clusters[-1][0][0] == t and shift - clusters[-1][0][1] <= self.band(t):
+                clusters[-1].append((t, shift))
+            else:
+                clusters.append([(t, shift)])
+        strong = (c for c in clusters if self.part[c[0][0]] is None or sum(counts[x] for x in c) >= PART_HITS)
+        return [max(c, key=lambda x: counts[x]) for c in strong]
 
 
 def align(template: np.ndarray, words: np.ndarray, shift: int, band: int = BAND) -> list[tuple[int, int]]:
@@ -137,15 +155,44 @@ def align(template: np.ndarray, words: np.ndarray, shift: int, band: int = BAND)
     return pairs[::-1]
 
 
+def chains(parts: list[tuple[int, int, int, int]], total: int, needed: float) -> list[tuple[int, int, int]]:
+    """Parts (start, end, part, matched words) of a long template to (matched words, start, end) of its matches: parts in
+    order whose gaps are shorter than the template, the chain of most matched words first, later ones beside it."""
+    parts, out = sorted(parts), []
+    while parts:
+        best, before = [p[3] for p in parts], [-1] * len(parts)
+        for i, (start, _, part, n) in enumerate(parts):
+            for j in range(i - 1, -1, -1):
+                if start - parts[j][0] > 2 * total:
+                    break
+                if parts[j][2] < part and 0 < start - parts[j][1] <= total and best[j] + n > best[i]:
+                    best[i], before[i] = best[j] + n, j
+        i = max(range(len(parts)), key=best.__getitem__)
+        if best[i] < needed * total:
+            break
+        matched, end, first = best[i], parts[i][1], i
+        while before[first] >= 0:
+            first = before[first]
+        out.append((matched, parts[first][0], end))
+        parts = [p for p in parts if p[1] < parts[first][0] or p[0] > end]
+    return out
+
+
 def scan_text(text: str | None, index: Index, coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
     """(licence, coverage, matched words, start, end in characters) of each match in a whole text, in the order of starts."""
     words, starts, ends = words_of(text)
-    found = []
+    found, parts = [], {}
     for t, shift in index.candidates(words):
         pairs = align(index.words[t], words, shift, index.band(t))
-        share = len(pairs) / index.words[t].size
-        if pairs and share >= index.needed(t, coverage) and index.tells(t, words, pairs):
-            found.append((-len(pairs), -share, index.names[t], pairs[0][1], pairs[-1][1]))
+        if not pairs:
+            continue
+        a, b = pairs[0][1], pairs[-1][1]
+        if index.part[t] is not None:
+            parts.setdefault((index.names[t], index.total[t]), []).append((a, b, index.part[t], len(pairs)))
+        elif len(pairs) / index.total[t] >= index.needed(t, coverage) and index.tells(t, words, pairs):
+            found.append((-len(pairs), -len(pairs) / index.total[t], index.names[t], a, b))
+    for (name, total), some in parts.items():
+        found += [(-n, -n / total, name, a, b) for n, a, b in chains(some, total, coverage)]
     kept: list[tuple] = []
     for m in sorted(found):
         if all(m[4] < k[3] or m[3] > k[4] for k in kept):

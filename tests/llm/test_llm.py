@@ -442,3 +442,17 @@ def test_pipeline(spark, sf_dir):
             assert out.columns == docs.columns and 0 < out.count() <= docs.count()
             docs = spark.createDataFrame(out.collect(), docs.schema)
     assert corpus_pipeline.run(spark, sf_dir).count() == docs.count() == out.count()
+
+
+def test_license_bodies():
+    """Whole texts are found as themselves, with changed words, lost lines and inserted page heads; prose that shares phrases isn't."""
+    index, bodies = licenses.Index(license_texts.templates()), license_texts.bodies()
+    assert len(bodies) == 13
+    for name, text in bodies.items():
+        assert [(m[0], m[1]) for m in licenses.scan_text(f"before\n{text}\nafter", index)] == [(name, 1.0)]
+        lines = text.splitlines()
+        edited = "\n".join(f"{line}\npage {i}" if i % 60 == 59 else line for i, line in enumerate(lines) if i % 20 != 7)
+        got = licenses.scan_text(edited.replace(" the ", " THE  "), index)
+        assert [m[0] for m in got] == [name] and 0.8 < got[0][1] < 1, (name, got)
+    pieces = " ".join(" ".join(t.split()[100:112]) for t in bodies.values())
+    assert licenses.scan_text(pieces, index) == []
