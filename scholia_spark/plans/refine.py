@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scholia_spark.functions import patterns as P
 from scholia_spark.operators import refine as R
 from scholia_spark.plans.base import query, table
 
@@ -17,10 +18,19 @@ def _pick(i, *values):
     return F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
 
 
-@query()
+def _all(pattern: str) -> str:
+    return f"list_transform(regexp_extract_all(body, '{pattern}'), lambda x: trim(x, chr(10) || chr(9) || ' '))"
+
+
+@query(f"""WITH t AS (SELECT doc_id, '2 Methods of ' || source AS label, string_split(concat_ws(chr(10), text, '2 Methods of ' || source, 'Figure 3: ' || lang || ' shown.', '17', 'Copyright ' || source, 'See the appendix for ' || lang || '.'), chr(10)) AS lines FROM documents),
+b AS (SELECT doc_id, label, trim(array_to_string(list_filter(lines, lambda x: NOT (regexp_matches(x, '{P.PAGE_NUMBER}') OR length(trim(x)) <= {P.NOISE_LINE_CHARS} AND (regexp_matches(x, '{P.COPYRIGHT}') OR regexp_matches(x, '{P.AUTHOR}') OR regexp_matches(x, '{P.RUNNING_HEAD}')))), chr(10)), chr(10) || chr(9) || ' ') AS body FROM t)
+SELECT doc_id, body, {_all(P.CAPTION)} AS captions, {_all(P.FORMULA)} AS formulas, {_all(P.PRESERVED)} AS preserved, [label] AS section_labels, [strpos(body, chr(10) || label)]::INT[] AS section_starts, [strpos(body, chr(10) || label) + length(label)]::INT[] AS section_ends, greatest(1, length(body) // 4) AS token_count FROM b""")
 def d17_refine(spark, d):
-    """D17."""
-    return table(spark, d, "documents").select("doc_id", R.refine(F.col("text")).alias("r")).select("doc_id", "r.*")
+    """D17 over whole texts, followed by a heading, a caption, noise, an appendix and references."""
+    tail = [F.concat(F.lit("2 Methods of "), "source"), F.concat(F.lit("Figure 3: "), "lang", F.lit(" shown.")), F.lit("17"), F.concat(F.lit("Copyright "), "source"), F.concat(F.lit("See the appendix for "), "lang", F.lit(".")), F.lit("References"), F.lit("[1] A. Copyright.")]
+    refined = table(spark, d, "documents").select("doc_id", R.refine(F.concat_ws("\n", "text", *tail)).alias("r"))
+    sections = [F.col(f"r.sections.{k}").alias(f"section_{k}s") for k in ("label", "start", "end")]
+    return refined.select("doc_id", *[F.col(f"r.{k}") for k in ("body", "captions", "formulas", "preserved", "token_count")], *sections)
 
 
 @query()
