@@ -18,12 +18,15 @@ def _pick(i, *values):
     return F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
 
 
+_BODY = f"""trim(array_to_string(list_filter(lines, lambda x: NOT (regexp_matches(x, '{P.PAGE_NUMBER}') OR length(trim(x)) <= {P.NOISE_LINE_CHARS} AND (regexp_matches(x, '{P.COPYRIGHT}') OR regexp_matches(x, '{P.AUTHOR}') OR regexp_matches(x, '{P.RUNNING_HEAD}')))), chr(10)), chr(10) || chr(9) || ' ')"""
+
+
 def _all(pattern: str) -> str:
     return f"list_transform(regexp_extract_all(body, '{pattern}'), lambda x: trim(x, chr(10) || chr(9) || ' '))"
 
 
 @query(f"""WITH t AS (SELECT doc_id, '2 Methods of ' || source AS label, string_split(concat_ws(chr(10), text, '2 Methods of ' || source, 'Figure 3: ' || lang || ' shown.', '17', 'Copyright ' || source, 'See the appendix for ' || lang || '.'), chr(10)) AS lines FROM documents),
-b AS (SELECT doc_id, label, trim(array_to_string(list_filter(lines, lambda x: NOT (regexp_matches(x, '{P.PAGE_NUMBER}') OR length(trim(x)) <= {P.NOISE_LINE_CHARS} AND (regexp_matches(x, '{P.COPYRIGHT}') OR regexp_matches(x, '{P.AUTHOR}') OR regexp_matches(x, '{P.RUNNING_HEAD}')))), chr(10)), chr(10) || chr(9) || ' ') AS body FROM t)
+b AS (SELECT doc_id, label, {_BODY} AS body FROM t)
 SELECT doc_id, body, {_all(P.CAPTION)} AS captions, {_all(P.FORMULA)} AS formulas, {_all(P.PRESERVED)} AS preserved, [label] AS section_labels, [strpos(body, chr(10) || label)]::INT[] AS section_starts, [strpos(body, chr(10) || label) + length(label)]::INT[] AS section_ends, greatest(1, length(body) // 4) AS token_count FROM b""")
 def d17_refine(spark, d):
     """D17 over whole texts, followed by a heading, a caption, noise, an appendix and references."""
@@ -33,8 +36,11 @@ def d17_refine(spark, d):
     return refined.select("doc_id", *[F.col(f"r.{k}") for k in ("body", "captions", "formulas", "preserved", "token_count")], *sections)
 
 
-@query()
+@query(f"""WITH b AS (SELECT doc_id, {_BODY} AS body FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+w AS (SELECT doc_id, i::INT AS ordinal, substr(body, greatest(0, i * 1600 - 200) + 1, (i + 1) * 1600 - greatest(0, i * 1600 - 200)) AS body FROM (SELECT doc_id, body, unnest(range((length(body) + 1599) // 1600)) AS i FROM b))
+SELECT doc_id, ordinal, body, greatest(1, length(body) // 4) AS token_count FROM w""")
 def d18_map_reduce_chunks(spark, d):
+    """Texts without headings, so that every window is full and begins with the end of the one before."""
     return R.map_reduce_chunks(table(spark, d, "documents"), 400, 200)
 
 
