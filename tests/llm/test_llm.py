@@ -382,9 +382,10 @@ def test_alignment_and_candidates_equal_plain_search():
         assert len(got) == best[template.size, words.size - 1]
         assert all(template[i] == words[j] and abs(j - i - shift) <= band for i, j in got) and got == sorted(got) and len({j for _, j in got}) == len(got)
     index = licenses.Index(license_texts.templates())
-    for t, words in enumerate(index.words):  # any run of K + W - 1 words of a template is a candidate at its place
-        for a in range(words.size - licenses.K - licenses.W + 2):
-            run = np.concatenate([r.integers(0, 1 << 60, 7).astype(np.uint64), words[a : a + licenses.K + licenses.W - 1], r.integers(0, 1 << 60, 7).astype(np.uint64)])
+    for t, words in enumerate(index.words):  # any run of K + W - 1 words of a template is a candidate at its place, in parts any with PART_HITS windows
+        length = licenses.K + licenses.W * (1 if index.part[t] is None else licenses.PART_HITS) - 1
+        for a in range(words.size - length + 1):
+            run = np.concatenate([r.integers(0, 1 << 60, 7).astype(np.uint64), words[a : a + length], r.integers(0, 1 << 60, 7).astype(np.uint64)])
             assert any(u == t and abs(s - (7 - a)) <= index.band(t) for u, s in index.candidates(run))
 
 
