@@ -4,9 +4,9 @@ Texts and templates are words of letters and digits in lower case. Hashes of ``K
 (any shared run of K + W - 1 words shares a fingerprint); the index maps a fingerprint to templates and places. Hits whose
 offsets lie within the band of each other make a candidate, and an alignment within the band (match, insertion, deletion,
 substitution) around their most frequent offset gives the covered template words and the span in characters of the text.
-Whole long licences (over ``LONG`` words) are aligned in parts of ``PART`` words, each with ``PART_HITS`` hits at least, so
-common phrases start nothing (any shared run of K + W * PART_HITS - 1 words is enough); parts that follow each other in the text are added up, so paragraphs may be lost or put in
-between. A match needs a coverage of
+Whole long licences (over ``LONG`` words) are aligned in parts of ``PART`` words, each with ``PART_HITS`` hits at least (any
+shared run of K + W * PART_HITS - 1 words is enough), so common phrases start nothing; parts that follow each other in the
+text are added up, so paragraphs may be lost or put in between. A match needs a coverage of
 ``COVERAGE`` (of ``SHORT_COVERAGE`` for templates below ``SHORT`` words) and the words in braces of its template, in the text
 as in the template: version 2.0 is no version 3.0, BY-NC-SA no BY-SA.
 
