@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from scholia_spark.llm import bpe, chat, decontaminate, jaccard, licenses, lm, media, quality, sharding, warc
+from scholia_spark.llm import bpe, chat, decontaminate, jaccard, licenses, lm, media, quality, search, sharding, warc
 from scholia_spark.llm.shared import table
 
 
@@ -74,9 +74,15 @@ def op10_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 24)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item; null texts are never found."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _ALL = (
     op1_quality_nbsvm, op2_bpe, op3_chat_format, op4_avi_mjpeg, op5_ngram_jaccard_join,
     op6_warc_zstd, op7_decontaminate, op8_kneser_ney, op9_license_scan, op10_vector_bin_packing,
+    op11_ranked_search,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 _CONTROL = "|".join(sorted((c.replace("[", "\\[") for c in chat.Template().control), key=len, reverse=True))
@@ -98,4 +104,13 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.node) AS compo
 _OP6 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
 SELECT page_id, strlen(h) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, (1 + 5 * (i // 4))::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
-ORACLE_SQL: dict[str, str] = {"op3_chat_format": _OP3, "op5_ngram_jaccard_join": _OP5, "op6_warc_zstd": _OP6}
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+_OP11 = f"""WITH t AS (SELECT doc_id, {_TERMS} AS w, row_number() OVER () AS r FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS total FROM t WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, s GROUP BY term, docs),
+p AS (SELECT r, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))) AS part FROM tf JOIN df USING (term), s),
+h AS (SELECT item_id, r, doc_id, sum(part)::BIGINT AS score FROM p JOIN q USING (term) WHERE doc_id IS NOT NULL GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM h WHERE score > 0) WHERE rank <= 50"""
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": _OP3, "op5_ngram_jaccard_join": _OP5, "op6_warc_zstd": _OP6, "op11_ranked_search": _OP11}
