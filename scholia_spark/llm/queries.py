@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from scholia_spark.llm import bpe, chat, decontaminate, jaccard, licenses, lm, media, quality, search, sharding, warc
+from scholia_spark.llm import bpe, chat, decontaminate, jaccard, licenses, lm, media, merkle, quality, search, sharding, warc
 from scholia_spark.llm.shared import table
 
 
@@ -79,10 +79,15 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root, proof digest and verification of every document; nulls are ``-``."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_quality_nbsvm, op2_bpe, op3_chat_format, op4_avi_mjpeg, op5_ngram_jaccard_join,
     op6_warc_zstd, op7_decontaminate, op8_kneser_ney, op9_license_scan, op10_vector_bin_packing,
-    op11_ranked_search,
+    op11_ranked_search, op13_merkle_manifest,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 _CONTROL = "|".join(sorted((c.replace("[", "\\[") for c in chat.Template().control), key=len, reverse=True))
@@ -113,4 +118,19 @@ df AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))
 p AS (SELECT r, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))) AS part FROM tf JOIN df USING (term), s),
 h AS (SELECT item_id, r, doc_id, sum(part)::BIGINT AS score FROM p JOIN q USING (term) WHERE doc_id IS NOT NULL GROUP BY ALL)
 SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM h WHERE score > 0) WHERE rank <= 50"""
-ORACLE_SQL: dict[str, str] = {"op3_chat_format": _OP3, "op5_ngram_jaccard_join": _OP5, "op6_warc_zstd": _OP6, "op11_ranked_search": _OP11}
+_OP13 = """WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, coalesce('s' || source, '') AS grp, doc_id, text, coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source)::VARCHAR || ':' || source, '-') || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-') AS head,
+ list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))) AS crc FROM documents),
+f AS (SELECT r, grp, doc_id, sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf, CASE WHEN crc % 2 = 1 THEN replace(text, chr(10), '') ELSE text END AS t, head FROM e),
+b AS (SELECT r, grp, doc_id, leaf, sha256(head || coalesce(strlen(t)::VARCHAR || ':' || t, '-')) AS tampered, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM f),
+lo(grp, lvl, idx, d, n) AS (SELECT grp, 0, idx, leaf, n FROM b UNION ALL SELECT grp, lvl + 1, idx // 3, sha256(string_agg(d, '' ORDER BY idx)), (n + 2) // 3 FROM lo WHERE n > 1 GROUP BY grp, lvl, idx // 3, n),
+u AS (SELECT grp, d AS subroot, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM lo WHERE n = 1),
+hi(lvl, idx, d, n) AS (SELECT 0, idx, subroot, n FROM u UNION ALL SELECT lvl + 1, idx // 3, sha256(string_agg(d, '' ORDER BY idx)), (n + 2) // 3 FROM hi WHERE n > 1 GROUP BY lvl, idx // 3, n),
+a AS (SELECT grp, lvl, idx, d, n FROM lo UNION ALL SELECT NULL, lvl, idx, d, n FROM hi),
+s AS (SELECT x.grp, x.lvl, x.idx, coalesce(string_agg(y.d, '' ORDER BY y.idx) FILTER (WHERE y.idx < x.idx), '') AS l, coalesce(string_agg(y.d, '' ORDER BY y.idx) FILTER (WHERE y.idx > x.idx), '') AS rt
+ FROM a x JOIN a y ON x.grp IS NOT DISTINCT FROM y.grp AND x.lvl = y.lvl AND x.idx // 3 = y.idx // 3 WHERE x.n > 1 GROUP BY ALL),
+p1(r, grp, lvl, idx, d, sib) AS (SELECT r, grp, 0, idx, tampered, '' FROM b UNION ALL SELECT p1.r, p1.grp, p1.lvl + 1, p1.idx // 3, sha256(l || d || rt), sib || l || rt FROM p1 JOIN s ON s.grp = p1.grp AND s.lvl = p1.lvl AND s.idx = p1.idx),
+t1 AS (SELECT r, grp, arg_max(d, lvl) AS d, arg_max(sib, lvl) AS sib FROM p1 GROUP BY ALL),
+p2(r, lvl, idx, d, sib) AS (SELECT t1.r, 0, u.idx, t1.d, t1.sib FROM t1 JOIN u USING (grp) UNION ALL SELECT p2.r, p2.lvl + 1, p2.idx // 3, sha256(l || d || rt), sib || l || rt FROM p2 JOIN s ON s.grp IS NULL AND s.lvl = p2.lvl AND s.idx = p2.idx),
+t2 AS (SELECT r, arg_max(d, lvl) AS d, arg_max(sib, lvl) AS sib FROM p2 GROUP BY ALL), root AS (SELECT d AS root FROM hi WHERE n = 1)
+SELECT b.doc_id, b.leaf, u.subroot, root.root, sha256(t2.sib) AS proof_sha256, t2.d AS folded_root, t2.d = root.root AS verified FROM b JOIN t2 USING (r) JOIN u USING (grp), root"""
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": _OP3, "op5_ngram_jaccard_join": _OP5, "op6_warc_zstd": _OP6, "op11_ranked_search": _OP11, "op13_merkle_manifest": _OP13}
