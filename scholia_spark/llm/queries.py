@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from scholia_spark.llm import bpe, chat, decontaminate, jaccard, licenses, lm, media, merkle, quality, search, sharding, warc
+from scholia_spark.llm import bpe, chat, decontaminate, jaccard, licenses, lm, media, merkle, quality, search, sharding, toxicity, warc
 from scholia_spark.llm.shared import table
 
 
@@ -79,6 +79,11 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted and the worst sentence's place and score of every document; texts without a word score 0."""
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root, proof digest and verification of every document; nulls are ``-``."""
     return merkle.manifest(table(spark, sf_dir, "documents"))
@@ -87,7 +92,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     op1_quality_nbsvm, op2_bpe, op3_chat_format, op4_avi_mjpeg, op5_ngram_jaccard_join,
     op6_warc_zstd, op7_decontaminate, op8_kneser_ney, op9_license_scan, op10_vector_bin_packing,
-    op11_ranked_search, op13_merkle_manifest,
+    op11_ranked_search, op12_toxicity_mil, op13_merkle_manifest,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 _CONTROL = "|".join(sorted((c.replace("[", "\\[") for c in chat.Template().control), key=len, reverse=True))
