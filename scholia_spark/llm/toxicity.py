@@ -11,7 +11,7 @@ their id; a class weighs the square root of its labels, between its true share a
 get no weight. Scoring is a map over all whole texts, a few MB of them at a time.
 
 Defined cases: null and empty texts have no sentence and score 0; null labels are left out, a repeated id counts once with its
-smallest label; without labels of both classes every text with a sentence scores 0; repeated rows score alike; other columns
+smallest label; without labels of both classes every score is below 1e-15; repeated rows score alike; other columns
 of either table are ignored.
 """
 
