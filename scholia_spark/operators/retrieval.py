@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia_spark.session import ship_package
+
 TOP_K, TOP_N, RRF_K = 150, 20, 60
 
 
@@ -80,18 +82,52 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, k1: float = 1.2,
     return top(collapse(hits), ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
-def phrase_match(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Q3: chunks that hold the phrase as a substring in lower case. Candidates meet on the longest word of the phrase that has
-    white space on both sides, so is a whole word of the text; phrases without one are compared with every chunk."""
-    inner = F.expr(r"filter(split(phrase, '\\s+'), (w, i) -> i > 0 AND i < size(split(phrase, '\\s+')) - 1)")
-    q = queries.select("query_id", F.lower("phrase").alias("phrase")).withColumn("inner", inner)
-    q = q.select("query_id", "phrase", F.array_max(F.transform("inner", lambda w: F.struct(F.length(w), w.alias("w"))))["w"].alias("term"))
-    texts = chunks.select("chunk_id", "paper_id", F.lower("text").alias("text"))
-    postings = texts.select("chunk_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("term"))  # ids only: texts follow for candidates
-    maybe = postings.join(q.where("term IS NOT NULL"), "term").select("query_id", "phrase", "chunk_id")
-    hits = texts.join(maybe, "chunk_id").where(F.contains("text", "phrase")).select("query_id", "paper_id", "chunk_id")
-    short = texts.join(F.broadcast(q.where("term IS NULL AND phrase IS NOT NULL").drop("term")), F.contains("text", "phrase")).select("query_id", "paper_id", "chunk_id")
-    return top(collapse(hits.union(short).distinct().withColumn("score", F.lit(1.0))), ["query_id"], [F.col("chunk_id")], k)
+#: Stands in the place of the second token where a phrase has only one. No token is empty.
+_ALONE = ""
+
+
+def _pairs(rows: DataFrame, tokens: str) -> DataFrame:
+    """``rows`` with pos, a, b: each token with the one behind it, and each by itself. Null and empty tokens end a run."""
+    rows = rows.withColumn(tokens, F.transform(tokens, lambda t: F.coalesce(t, F.lit(_ALONE))))  # a column of its own, as it is used twice
+    two = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.lit(_ALONE)).alias("b")))
+    rest = [c for c in rows.columns if c != tokens]
+    rows = rows.select(*rest, F.posexplode(two).alias("pos", "p")).where(F.col("p.a") != _ALONE)
+    return rows.select(*rest, "pos", F.col("p.a").alias("a"), F.explode(F.array_distinct(F.array("p.b", F.lit(_ALONE)))).alias("b"))
+
+
+def phrase_match(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, fields: tuple[str, ...] = ("tokens",)) -> DataFrame:
+    """Chunks that hold the phrase as a run of tokens in one of their fields; one chunk a paper, k papers a query.
+
+    queries: query_id, phrase (array of tokens), and where wanted paper_ids (array: only these papers), since and until (years,
+    inclusive); chunks: chunk_id, paper_id, arrays of tokens, and year where years are asked for.
+
+    A positional index of token pairs, restricted to pairs of the phrases. A phrase meets the postings of its rarest pair, which
+    give it places to start; its other pairs are merged with their postings at the places that follow from there. So a phrase
+    costs the postings of its rarest pair, and frequent words alone meet nothing. Phrases of one token use postings of single
+    tokens. Phrases that are null, empty or hold a null find nothing; null and empty tokens of chunks end a run.
+    """
+    narrowed = [c for c in ("paper_ids", "since", "until") if c in queries.columns]
+    whole = queries.where(F.size("phrase") > 0).where(~F.exists("phrase", lambda t: F.coalesce(t, F.lit(_ALONE)) == _ALONE))
+    many = F.greatest(F.size("phrase") - 1, F.lit(1))
+    wanted = _pairs(whole.select("query_id", many.alias("many"), (F.size("phrase") == 1).alias("one"), "phrase"), "phrase")
+    wanted = wanted.where((F.col("b") == _ALONE) == F.col("one")).drop("one")
+    postings = None
+    for i, field in enumerate(fields):
+        rows = _pairs(chunks.select("chunk_id", "paper_id", *[c for c in ("year",) if c in chunks.columns], F.lit(i).alias("field"), F.col(field).alias("_tokens")), "_tokens")
+        postings = rows if postings is None else postings.unionByName(rows)
+    postings = postings.join(wanted.select("a", "b").distinct(), ["a", "b"], "left_semi")
+    often = postings.groupBy("a", "b").agg(F.count("*").alias("df"))
+    leads = wanted.join(often, ["a", "b"], "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "pos", "a", "b")).alias("lead")).select("query_id", F.col("lead.a").alias("a"), F.col("lead.b").alias("b"), F.col("lead.pos").alias("at"))
+    starts = postings.join(leads, ["a", "b"]).select("query_id", *[c for c in postings.columns if c not in ("a", "b", "pos")], (F.col("pos") - F.col("at")).alias("start")).where("start >= 0")
+    if narrowed:
+        starts = starts.join(whole.select("query_id", *narrowed), "query_id")
+        for c, fits in (("paper_ids", F.array_contains("paper_ids", F.col("paper_id"))), ("since", F.col("year") >= F.col("since") if "since" in narrowed else None), ("until", F.col("year") <= F.col("until") if "until" in narrowed else None)):
+            if c in narrowed:
+                starts = starts.where(F.col(c).isNull() | fits)
+    asked = starts.select("query_id", "chunk_id", "paper_id", "field", "start").join(wanted, "query_id").withColumn("pos", F.col("start") + F.col("pos"))
+    met = asked.join(postings.select("a", "b", "chunk_id", "field", "pos"), ["a", "b", "chunk_id", "field", "pos"])
+    hits = met.groupBy("query_id", "paper_id", "chunk_id", "field", "start", "many").agg(F.countDistinct("pos").alias("n")).where("n = many")
+    return top(collapse(hits.select("query_id", "paper_id", "chunk_id").distinct().withColumn("score", F.lit(1.0))), ["query_id"], [F.col("chunk_id")], k)
 
 
 def _unit(vectors: list) -> np.ndarray:
@@ -99,23 +135,32 @@ def _unit(vectors: list) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
 
 
-def _near(units: np.ndarray, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, cosine) of each query's k best rows and what ties with the last of them.
+def _near(units: np.ndarray, wanted: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine) of each query's k best rows and what ties with the last of them, where not below ``least`` of the query.
 
     The product of blocks picks; what it picks is added up anew one pair at a time, so that equal vectors have equal scores.
     """
     rough = wanted @ units.T
-    least = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(rough), -np.inf)
+    if rough.shape[1] > k:
+        least = np.maximum(least, np.partition(rough, -k, axis=1)[:, -k])
     q, row = np.nonzero(rough >= least[:, None] - 1e-9)
     return q, row, (wanted[q] * units[row]).sum(axis=1)
 
 
+def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows of each query (q), ties by chunk id."""
+    rows = rows.sort_values(["q", "score", "chunk_id"], ascending=[True, False, True], kind="stable", ignore_index=True)
+    return rows[rows.groupby("q").cumcount() < k]
+
+
 def knn(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, most_queries: int = 10_000) -> DataFrame:
     """Q1: exact cosine neighbours of a bounded query set (checked), each against all chunks; then one chunk a paper.
 
-    Chunks keep their place; blocks of them are multiplied with the query vectors, which all tasks hold, and each block gives
-    its k best a query. Vectors without a length are near nothing: their cosine is 0. Null vectors are left out.
+    Chunks keep their place; blocks of them are multiplied with the query vectors, which all tasks hold. A task carries the k best
+    a query over its blocks, so k rows a query leave it however many blocks it has. Vectors without a length are near
+    nothing: their cosine is 0. Null vectors are left out.
     """
+    ship_package(chunks.sparkSession)
     n = queries.count()
     if n > most_queries:
         raise ValueError(f"{n} queries; split them into sets of {most_queries}")
@@ -124,11 +169,20 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, most_queries: int
     held = chunks.sparkSession.sparkContext.broadcast(_unit(wanted["vector"].tolist()) if len(wanted) else None)
 
     def run(blocks):
+        if held.value is None:
+            return
+        best, least = None, np.full(len(names), -np.inf)
         for pdf in blocks:
-            if held.value is None or not len(pdf):
+            if not len(pdf):
                 continue
-            q, row, score = _near(_unit(pdf["vector"].tolist()), held.value, k)
-            yield pd.DataFrame({"query_id": names[q], "paper_id": pdf["paper_id"].to_numpy()[row], "chunk_id": pdf["chunk_id"].to_numpy()[row], "score": score})
+            q, row, score = _near(_unit(pdf["vector"].tolist()), held.value, k, least)
+            new = pd.DataFrame({"q": q, "score": score, "chunk_id": pdf["chunk_id"].to_numpy()[row], "paper_id": pdf["paper_id"].to_numpy()[row]})
+            best = _best(new if best is None else pd.concat([best, new]), k)
+            full = best.groupby("q")["score"].agg(["size", "min"])
+            full = full[full["size"] >= k]
+            least[full.index.to_numpy()] = full["min"].to_numpy()
+        if best is not None:
+            yield pd.DataFrame({"query_id": names[best["q"].to_numpy()], "paper_id": best["paper_id"].to_numpy(), "chunk_id": best["chunk_id"].to_numpy(), "score": best["score"].to_numpy()})
 
     types = {f.name: f.dataType.simpleString() for f in [*queries.schema, *chunks.schema]}
     schema = ", ".join(f"{c} {types[c]}" for c in ("query_id", "paper_id", "chunk_id")) + ", score double"

@@ -15,13 +15,11 @@ def _chunks(spark, d):
 
 
 def _queries(spark, d):
-    items = table(spark, d, "benchmark")
-    terms = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) >= 8)  # content words
-    return items.select(F.col("item_id").alias("query_id"), terms.alias("terms"), F.array_join(F.slice(F.split("text", " "), 2, 4), " ").alias("phrase"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_remove(F.split(F.lower("text"), r"\s+"), "").alias("terms"))
 
 
 _TOKENS = """c AS (SELECT doc_id AS chunk_id, doc_id AS paper_id, text, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS tokens FROM documents),
-q AS (SELECT item_id AS query_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: length(x) >= 8) AS terms FROM benchmark),
+q AS (SELECT item_id AS query_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS terms FROM benchmark),
 qt AS (SELECT query_id, unnest(list_distinct(terms)) AS term FROM q), """
 _LEX = _TOKENS + """p AS (SELECT chunk_id, paper_id, unnest(list_distinct(tokens)) AS term FROM c),
 h AS (SELECT query_id, paper_id, chunk_id, count(*)::DOUBLE AS score FROM p JOIN qt USING (term) GROUP BY ALL),
@@ -72,11 +70,28 @@ def q2_bm25_fields(spark, d):
     return _shown(R.bm25(_queries(spark, d), _chunks(spark, d).withColumn("line", line), fields=("line", "tokens")), 6)
 
 
-@query("""WITH q AS (SELECT item_id AS query_id, lower(array_to_string(string_split(text, ' ')[2:5], ' ')) AS phrase FROM benchmark),
-h AS (SELECT query_id, doc_id AS paper_id FROM documents, q WHERE contains(lower(text), phrase))
+def _words(text):
+    """Runs of letters and digits, in lower case: what an index keeps of a text."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
+
+
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+_PHRASES = f"""c AS (SELECT doc_id, source, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS body FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark)"""
+
+
+@query(f"""WITH {_PHRASES}, q AS (SELECT item_id * 4 AS query_id, w AS p FROM i UNION ALL SELECT item_id * 4 + 1, w[3:4] FROM i UNION ALL SELECT item_id * 4 + 2, w[2:2] FROM i UNION ALL SELECT item_id * 4 + 3, w[3:4] FROM i),
+h AS (SELECT query_id, doc_id AS paper_id FROM c, q WHERE len(p) > 0 AND contains(body, ' ' || array_to_string(p, ' ') || ' ') AND (query_id % 4 <> 3 OR 2010 + doc_id % 15 BETWEEN 2013 AND 2020))
 SELECT query_id, paper_id, paper_id AS chunk_id, 1.0::DOUBLE AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY paper_id)::INT AS rank FROM h) WHERE rank <= 150""")
 def q3_phrase(spark, d):
-    return R.phrase_match(_queries(spark, d), _chunks(spark, d))
+    """Q3: whole items, two words of each, one word, and two words within years, as runs of words."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("i"), _words("text").alias("w"))
+    year = F.lit(None).cast("int")
+    asked = F.array(*[F.struct(F.lit(n).alias("n"), p.alias("phrase"), y[0].alias("since"), y[1].alias("until")) for n, p, y in (
+        (0, F.col("w"), (year, year)), (1, F.slice("w", 3, 2), (year, year)), (2, F.slice("w", 2, 1), (year, year)), (3, F.slice("w", 3, 2), (F.lit(2013), F.lit(2020))))])
+    queries = items.select("i", F.explode(asked).alias("q")).select((F.col("i") * 4 + F.col("q.n")).alias("query_id"), "q.phrase", "q.since", "q.until")
+    docs = table(spark, d, "documents")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("paper_id"), (2010 + F.col("doc_id") % 15).alias("year"), _words("text").alias("tokens"))
+    return R.phrase_match(queries, chunks)
 
 
 def _vectors(spark, d):
@@ -146,15 +161,13 @@ def q12_grounding_verdict(spark, d):
     return R.grounding_verdict(refs, got, _queries(spark, d).withColumnRenamed("query_id", "request_id"))
 
 
-@query(f"""WITH {_LEX}, rel AS (SELECT DISTINCT item_id AS query_id, doc_id AS paper_id FROM benchmark, documents WHERE contains(documents.text, benchmark.text))
+@query(f"""WITH {_LEX}, {_PHRASES.replace("c AS", "b AS")}, rel AS (SELECT DISTINCT item_id AS query_id, doc_id AS paper_id FROM i, b WHERE len(w) > 0 AND contains(body, ' ' || array_to_string(w, ' ') || ' '))
 SELECT query_id, count(lex.paper_id) / count(*) AS recall FROM rel LEFT JOIN (SELECT * FROM lex WHERE rank <= 10) lex USING (query_id, paper_id) GROUP BY 1""")
 def q19_recall_at_10(spark, d):
-    """Q19, A10: documents that quote an item are its relevant set."""
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    first = F.element_at(F.split(F.col("text"), r"\s+"), 2)
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.col("text").alias("body"))
-    words = docs.select("paper_id", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("w"))  # ids only: texts follow for candidates
-    rel = docs.join(words.join(items.withColumn("w", first), "w").drop("w"), "paper_id").where(F.contains("body", "text")).select("query_id", "paper_id").distinct()
+    """Q19, A10: documents that quote a whole item are its relevant set."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), _words("text").alias("phrase"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("paper_id"), _words("text").alias("tokens"))
+    rel = R.phrase_match(items, docs, k=1_000_000_000).select("query_id", "paper_id")
     return R.recall_at(R.term_overlap(_queries(spark, d), _chunks(spark, d)), rel, 10)
 
 
