@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia_spark.operators.retrieval import rank_by, top
+from scholia_spark.session import drop_table, shared_table
 
 #: Weights of signals by event type.
 SEARCH_CATEGORY, SEARCH_KEYWORD, OPENED, ADDED, SUMMARY = 0.5, 0.25, 1.0, 3.0, 2.0
@@ -153,23 +154,49 @@ def beyond_newest(turns: DataFrame, keep: int) -> DataFrame:
     return rank_by(older, ["session_id"], [F.col("turn_id")], "place")
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, share: float, ranges: int = 1000) -> DataFrame:
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys of which null is one more value; ``right`` has the keys only once more."""
+    named = right.select(*[F.col(k).alias(f"_same_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+    return left.join(named, on).drop(*[f"_same_{k}" for k in keys])
+
+
+def nearest_rank(df: DataFrame, keys: list[str], value: str, share: float, most: int = 100_000) -> DataFrame:
     """keys, n, at: the value at place min(int(n * share), n - 1) of the sorted values of each key, exactly.
 
-    Values are counted into ranges first; only the range that holds the place is ranked, so no task sorts all values of a key.
+    Repeated selection: the range of values that holds the place is cut by two approximate quantiles around it, exact counts say
+    which part the place is in, and that part is the next range, until no key's range holds more than ``most`` values or it is
+    one value. Only then values are counted one by one and ranked, so a task ranks ``most`` of a key at most, however the values
+    are spread. Null keys are a key; null values are left out; NaN is the largest value.
     """
-    df = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
-    edges = df.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
-    width = (F.col("high") - F.col("low")) / ranges
-    cell = F.when(F.col("high") > F.col("low"), F.least(F.lit(ranges - 1), F.floor((F.col("v") - F.col("low")) / width))).otherwise(0).alias("cell")
-    counts = df.join(F.broadcast(edges), keys).groupBy(*keys, cell, "low", "high", "n").agg(F.count("*").alias("c"))  # a row a key
-    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("cell"))  # ``ranges`` rows a key
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    edges = rows.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
     place = F.least(F.floor(F.col("n") * F.lit(share)), F.col("n") - 1)
-    found = counts.withColumn("before", upto - F.col("c")).withColumn("place", place).where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("c")))
-    found = F.broadcast(found.select(*keys, "low", "high", "n", F.col("cell").alias("wanted"), "before", "place"))
-    inside = df.join(found, keys).where(cell == F.col("wanted")).groupBy(*keys, "n", "before", "place", "v").agg(F.count("*").alias("c"))
+    ranges = edges.select(*keys, "low", "high", "n", F.lit(0).cast("long").alias("before"), F.col("n").alias("held"), place.alias("place"))
+    ranges = shared_table(ranges, "ranges")
+    while not ranges.where((F.col("held") > most) & (F.col("low") < F.col("high"))).isEmpty():
+        inside = _same(rows, ranges, keys).where(F.col("v").between(F.col("low"), F.col("high")))
+        at = (F.col("place") - F.col("before")) / F.col("held")
+        # the place is among the middle values of a sketch of a thousand; another place is a part of its own and costs a round
+        sketch = inside.groupBy(*keys).agg(F.percentile_approx("v", F.array(*[F.lit(i / 512) for i in range(1, 512)]), 2000).alias("cuts"))
+        near = F.floor(at * 512).cast("int")
+        low, high = F.coalesce(F.get("cuts", near - 3), F.col("low")), F.coalesce(F.get("cuts", near + 2), F.col("high"))
+        half = F.get("cuts", F.lit(255))
+        halved = F.when(half < F.col("high"), half).otherwise(F.col("low"))  # below the last value, so both parts lose some
+        whole = (low <= F.col("low")) & (high >= F.col("high"))
+        cuts = _same(ranges, sketch, keys).select(*keys, low.alias("a"), F.when(whole, halved).otherwise(high).alias("b"))
+        part = F.when(F.col("v") < F.col("a"), 0).when(F.col("v") <= F.col("b"), 1).otherwise(2)
+        parts = _same(inside, cuts, keys).groupBy(*keys, "n", "before", "place", part.alias("part")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("held"))
+        upto = F.sum("held").over(Window.partitionBy(*keys).orderBy("part"))  # three rows a key
+        found = parts.withColumn("before", F.col("before") + upto - F.col("held")).where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("held")))
+        then = shared_table(found.select(*ranges.columns), "ranges")
+        drop_table(ranges)
+        ranges = then
+    ranked = _same(rows, ranges, keys).where(F.col("v").between(F.col("low"), F.col("high"))).groupBy(*keys, "n", "before", "place", "v").agg(F.count("*").alias("c"))
     reach = F.sum("c").over(Window.partitionBy(*keys).orderBy("v")) + F.col("before")
-    return inside.withColumn("reach", reach).where(F.col("reach") > F.col("place")).groupBy(*keys, "n").agg(F.min("v").alias("at"))
+    return ranked.withColumn("reach", reach).where(F.col("reach") > F.col("place")).groupBy(*keys, "n").agg(F.min("v").alias("at"))
 
 
 def dashboard(events: DataFrame, start: str, end: str) -> DataFrame:
@@ -177,7 +204,8 @@ def dashboard(events: DataFrame, start: str, end: str) -> DataFrame:
     inside = events.where(F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
     sums = inside.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 100).alias("large"))
     p95 = nearest_rank(inside, ["event_type"], "value", 0.95).select("event_type", F.col("at").alias("p95"))
-    return sums.join(p95, "event_type", "left").select("event_type", "n", "large", F.round(F.col("large") / F.col("n"), 6).alias("rate"), "p95")
+    p95 = p95.withColumnRenamed("event_type", "_type")
+    return sums.join(p95, F.col("event_type").eqNullSafe(F.col("_type")), "left").select("event_type", "n", "large", F.round(F.col("large") / F.col("n"), 6).alias("rate"), "p95")
 
 
 def request_metrics(metrics: DataFrame, incidents: DataFrame, start, end) -> DataFrame:

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -45,6 +46,34 @@ def read_spread(spark: SparkSession, path: str) -> DataFrame:
     return df.repartition(cores) if few else df
 
 
+_OWN: dict[str, str] = {}
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the folder of spark.checkpoint.dir and read it back: cuts lineage and survives lost executors. Where that is
+    unset a folder of this machine is used, but only by a local master."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="scholia-tables-"))
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_at = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that ``shared_table`` wrote; other frames are left alone."""
+    path = getattr(df, "_shared_at", None)
+    if path:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName("scholia-spark")
