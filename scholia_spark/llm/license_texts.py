@@ -1,13 +1,14 @@
 """Templates of public licences for the scan: whole texts, and notices of all.
 
 Braces mark the words that tell a licence from its relatives: a match must have each of them, and between the first and the
-last no other word that is in braces anywhere here. The whole texts of long licences (GNU, Apache, Mozilla, Artistic, CC0) are
-the files of ``license_bodies``, named by their identifiers, as published; the driver reads them. Bodies of others can be
-passed in ``templates``.
+last no other word that is in braces anywhere here. The whole texts of long licences (GNU, Apache, Mozilla, Artistic, CC0,
+CC-BY-SA, OFL) are the files of ``license_bodies``, named by their identifiers, as published; the driver reads them, and the
+Affero licence is made of the general one by rule. Bodies of others can be passed in ``templates``.
 """
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 BODIES = Path(__file__).parent / "license_bodies"
@@ -57,17 +58,75 @@ COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-{ShareAlike}", "BY-NC": "A
 COMMONS_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 
 
+#: Identifiers as files state them, with the words that tell them apart in braces.
+STATED = {
+    "MIT": "{MIT}", "ISC": "{ISC}", "Zlib": "{Zlib}", "Unlicense": "{Unlicense}", "WTFPL": "{WTFPL}", "0BSD": "{0BSD}", "BSL-1.0": "{BSL}-{1.0}", "CC0-1.0": "{CC0}-{1.0}", "Apache-2.0": "{Apache}-{2.0}", "BSD-2-Clause": "{BSD}-{2}-Clause",
+    "BSD-3-Clause": "{BSD}-{3}-Clause", "MPL-1.1": "{MPL}-{1.1}", "MPL-2.0": "{MPL}-{2.0}", "EPL-1.0": "{EPL}-{1.0}", "EPL-2.0": "{EPL}-{2.0}", "CDDL-1.0": "{CDDL}-{1.0}", "OFL-1.1": "{OFL}-{1.1}", "Artistic-2.0": "{Artistic}-{2.0}",
+}
+STATED |= {f"{k}-{v}": f"{{{k}}}-{{{v}}}" for k, vs in (("GPL", ("1.0", "2.0", "3.0")), ("LGPL", ("2.0", "2.1", "3.0")), ("AGPL", ("1.0", "3.0")), ("GFDL", ("1.1", "1.2", "1.3"))) for v in vs}
+COUNTED = ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-1.0", "AGPL-3.0", "GFDL-1.1", "GFDL-1.2", "GFDL-1.3")
+#: Further lines that name a licence; {n} stands for a short name of the GNU family, {v} for its version.
+FORMS = {"MIT-line": "is {MIT} licensed", "MIT-terms": "under the terms of the {MIT} license", "Apache-2.0-terms": "under the terms of the Apache License, Version {2.0}", "Apache-2.0-and": "and Apache License, Version {2.0}"}
+#: Words of a licence's own name that make it another licence where they are put in.
+NAMING = ("Affero", "Lesser", "Library", "NonCommercial", "NoDerivatives", "ShareAlike")
+#: What the Affero licence of version 3 has in the place of parts of the general one, as published.
+AFFERO_OPENING = (
+    "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software. "
+    "The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, our General Public Licenses are intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users. "
+)
+AFFERO_MIDDLE = (
+    "Developers that use our General Public Licenses protect your rights with two steps: (1) assert copyright on the software, and (2) offer you this License which gives you legal permission to copy, distribute and/or modify the software. "
+    "A secondary benefit of defending all users' freedom is that improvements made in alternate versions of the program, if they receive widespread use, become available for other developers to incorporate. Many developers of free software are heartened and encouraged by the resulting cooperation. "
+    "However, in the case of software used on network servers, this result may fail to come about. The GNU General Public License permits making a modified version and letting the public access it on a server without ever releasing its source code to the public. "
+    "The GNU Affero General Public License is designed specifically to ensure that, in such cases, the modified source code becomes available to the community. It requires the operator of a network server to provide the source code of the modified version running there to the users of that server. Therefore, public use of a modified version, on a publicly accessible server, gives the public access to the source code of the modified version. "
+    "An older license, called the Affero General Public License and published by Affero, was designed to accomplish similar goals. This is a different license, not a version of the Affero GPL, but Affero has released a new version of the Affero GPL which permits relicensing under this license. "
+)
+AFFERO_13 = (
+    "13. Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software. "
+    "This Corresponding Source shall include the Corresponding Source for any work covered by version 3 of the GNU General Public License that is incorporated pursuant to the following paragraph. Notwithstanding any other provision of this License, you have permission to link or combine any covered work with a work licensed under version 3 of the GNU General Public License into a single combined work, and to convey the resulting work. "
+    "The terms of this License will continue to apply to the part which is the covered work, but the work with which it is combined will remain governed by version 3 of the GNU General Public License. "
+)
+
+
+def affero(general: str) -> str:
+    """The Affero licence of version 3, made of the text of the general one: its name, preamble and section 13 differ."""
+    text = " ".join(general.split())
+    places = [text.index(x) for x in ("The GNU General Public License is a free", "When we speak of free software", "To protect your rights, we need", "The precise terms and conditions", "13. Use with the GNU Affero", "14. Revised Versions")]
+    named = lambda t: t.replace("GNU General Public", "GNU Affero General Public").replace("GNU GENERAL PUBLIC", "GNU AFFERO GENERAL PUBLIC")
+    return named(text[: places[0]]) + AFFERO_OPENING + text[places[1] : places[2]] + AFFERO_MIDDLE + named(text[places[3] : places[4]]) + AFFERO_13 + named(text[places[5] :])
+
+
 def bodies(folder: Path = BODIES) -> dict[str, str]:
-    """name -> whole text of each file of a folder; their own braces mark nothing."""
-    return {f"{p.stem}-body": p.read_text("utf-8").translate({ord("{"): " ", ord("}"): " "}) for p in sorted(folder.glob("*.txt"))}
+    """name -> whole text of each file of a folder, and of the Affero licence; their own braces mark nothing."""
+    found = {p.stem: p.read_text("utf-8") for p in sorted(folder.glob("*.txt"))}
+    if "GPL-3.0" in found:
+        found["AGPL-3.0"] = affero(found["GPL-3.0"])
+    return {f"{name}-body": found[name].translate({ord("{"): " ", ord("}"): " "}) for name in sorted(found)}
+
+
+def identifier(name: str) -> str:
+    """The licence that a template's name stands for."""
+    return re.sub(r"-(?:text|body|line|short|header|notice|stated|named|terms|and|v)$", "", name)
 
 
 def templates() -> dict[str, str]:
     """name -> template, braces included."""
-    out = {**TEXTS, **LINES, **bodies()}
+    out = {**TEXTS, **LINES, **FORMS, **bodies()}
+    for name, stated in STATED.items():
+        out[f"{name}-stated"] = f"SPDX-License-Identifier: {stated}"
+        if "-" in name:  # a template has three words at least
+            out[f"{name}-named"] = f"License: {stated}"
+    for name in COUNTED:
+        short, v = name.split("-")
+        for rest in ("or-later", "only"):
+            out[f"{name}-{rest}-stated"] = f"SPDX-License-Identifier: {{{short}}}-{{{v}}}-{rest}"
+            out[f"{name}-{rest}-named"] = f"License: {{{short}}}-{{{v}}}-{rest}"
+        v = v.removesuffix(".0")
+        out[f"{name}-v"] = f"licensed under {{{short}v{v}}}" if "." not in v else f"licensed under {{{short}v{v.split('.')[0]}}}.{{{v.split('.')[1]}}}"
     for short, (words, versions) in GNU.items():
         for v in versions:
             name = f"{short}-{v}" if "." in v else f"{short}-{v}.0"
+            out[f"{name}-line"] = f"under the {words} Public License, version {{{v}}}"
             out[name] = f"This work is licensed under the {words} Public License, version {{{v}}}."
             out[f"{name}-notice"] = f"This program is free software: you can redistribute it and/or modify it under the terms of the {words} Public License as published by the Free Software Foundation, version {{{v}}} of the License."
             out[f"{name}-or-later"] = f"This program is free software: you can redistribute it and/or modify it under the terms of the {words} Public License as published by the Free Software Foundation, either version {{{v}}} of the License, or (at your option) any later version."
