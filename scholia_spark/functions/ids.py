@@ -97,11 +97,18 @@ def record_ref(ref: Column) -> Column:
     return F.when((F.length(ref) <= 100) & (paper != ""), F.struct(paper.alias("paper"), F.nullif(F.regexp_extract(ref, whole, 2), F.lit("")).cast("int").alias("version")))
 
 
+#: Forms of identifiers, and prefixes that a citation graph knows.
+ARXIV_WITH_PREFIX = r"(?i)^(?:arxiv:)?(?:[a-z-]+(?:\.[A-Z]{2})?/\d{7}|\d{4}\.\d{4,5})(?:v\d+)?$"
+ARXIV_BARE = r"(?i)^(?:[a-z-]+(?:\.[A-Z]{2})?/\d{7}|\d{4}\.\d{4,5})(?:v\d+)?$"
+DOI_BARE = r"(?i)^10\.\d{4,9}/\S+$"
+GRAPH_PREFIXES = ("DOI", "PMID", "PMCID", "MAG", "ACL", "CORPUSID", "URL")
+
+
 def versioned_arxiv(paper_id: Column) -> Column:
     """The arXiv id with its version (1 where it has none), else null."""
     bare = F.trim(paper_id)
     ref = record_ref(bare)
-    ok = F.regexp_like(bare, F.lit(r"(?i)^(?:arxiv:)?(?:[a-z-]+(?:\.[A-Z]{2})?/\d{7}|\d{4}\.\d{4,5})(?:v\d+)?$"))
+    ok = F.regexp_like(bare, F.lit(ARXIV_WITH_PREFIX))
     return F.when(ok, F.concat(ref["paper"], F.lit("v"), F.coalesce(ref["version"], F.lit(1)).cast("string")))
 
 
@@ -112,9 +119,9 @@ def graph_paper_id(paper_id: Column) -> Column:
     bare = lambda c: F.regexp_replace(c, r"(?i)v\d+$", "")
     return (
         F.when(prefix == "ARXIV", F.concat(F.lit("ARXIV:"), bare(rest)))
-        .when(prefix.isin("DOI", "PMID", "PMCID", "MAG", "ACL", "CORPUSID", "URL"), F.concat(prefix, F.lit(":"), rest))
-        .when(F.regexp_like(v, F.lit(r"(?i)^(?:[a-z-]+(?:\.[A-Z]{2})?/\d{7}|\d{4}\.\d{4,5})(?:v\d+)?$")), F.concat(F.lit("ARXIV:"), bare(v)))
-        .when(F.regexp_like(v, F.lit(r"(?i)^10\.\d{4,9}/\S+$")), F.concat(F.lit("DOI:"), v))
+        .when(prefix.isin(*GRAPH_PREFIXES), F.concat(prefix, F.lit(":"), rest))
+        .when(F.regexp_like(v, F.lit(ARXIV_BARE)), F.concat(F.lit("ARXIV:"), bare(v)))
+        .when(F.regexp_like(v, F.lit(DOI_BARE)), F.concat(F.lit("DOI:"), v))
         .when(F.regexp_like(v, F.lit("^https?://")), F.concat(F.lit("URL:"), v)).otherwise(v)
     )
 

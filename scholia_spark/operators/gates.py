@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia_spark.functions import text as T
+from scholia_spark.operators.ordering import places
 from scholia_spark.operators.retrieval import rank_by
 
 
@@ -117,7 +118,7 @@ def redact_keys(tags: Column, sensitive: str = "(?i)token|secret|password|author
 
 def interleave(lists: DataFrame) -> DataFrame:
     """Round robin over source lists; ``out`` is the place in the merged list. lists: query_id, source, pos, id."""
-    return rank_by(lists, ["query_id"], [F.col("pos"), F.col("source")], "out")
+    return places(lists, ["query_id"], [F.col("pos"), F.col("source")], "out")
 
 
 def conflict_first(claims: DataFrame) -> DataFrame:

@@ -40,6 +40,14 @@ def canonical_winners(records: DataFrame) -> DataFrame:
     )
 
 
+def claim_upserts(arrivals: DataFrame) -> DataFrame:
+    """Arrivals (paper_id, arrival, version) with ``claimed``: no version before is above it; a claim clears the fingerprint, so
+    ``cleared`` says that one was stored. A null version is never claimed."""
+    before = F.max("version").over(Window.partitionBy("paper_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
+    claimed = F.coalesce(F.col("version") >= F.coalesce(before, F.col("version")), F.lit(False))
+    return arrivals.select("paper_id", "arrival", "version", claimed.alias("claimed"), (claimed & before.isNotNull()).alias("cleared"))
+
+
 def losing_papers(records: DataFrame, winners: DataFrame) -> DataFrame:
     """Papers whose chunks go and whose aliases move to the winner."""
     w = winners.select("canonical_key", F.col("paper_id").alias("winner"))

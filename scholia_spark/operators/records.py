@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia_spark.operators.ordering import places
 from scholia_spark.operators.retrieval import rank_by
 
 
@@ -44,7 +45,7 @@ def partial_reason(status: Column, failure: Column, result_count: Column, items:
 
 def ordinals(assets: DataFrame) -> DataFrame:
     """Ordinals per paper and type in document order."""
-    return rank_by(assets, ["paper_id", "type"], [F.col("ord"), F.col("asset_id")], "ordinal")
+    return places(assets, ["paper_id", "type"], [F.col("ord"), F.col("asset_id")], "ordinal")
 
 
 def next_sequence(trace: DataFrame) -> DataFrame:

@@ -100,10 +100,10 @@ def f17_redact(spark, d):
 @query("""WITH l AS (SELECT lang AS query_id, source, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id)::INT AS pos, doc_id AS id FROM documents)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, source)::INT AS out FROM l""")
 def u2_interleave(spark, d):
-    from scholia_spark.operators.retrieval import rank_by
+    from scholia_spark.operators.ordering import places
 
     docs = table(spark, d, "documents").select(F.col("lang").alias("query_id"), "source", F.col("doc_id").alias("id"))
-    return G.interleave(rank_by(docs, ["query_id", "source"], [F.col("id")], "pos"))
+    return G.interleave(places(docs, ["query_id", "source"], [F.col("id")], "pos"))
 
 
 @query("""SELECT answer_id, ord, conflicts, row_number() OVER (PARTITION BY answer_id ORDER BY (conflicts = 0)::INT, ord)::INT AS place FROM (SELECT doc_id % 40 AS answer_id, doc_id AS ord, doc_id % 3 AS conflicts FROM documents)""")
