@@ -6,7 +6,8 @@ the first character of each control string, so that no control string occurs in
 machine accepts an optional system turn, then user and assistant turns in alternation, ending with the assistant;
 conversations of another order are formatted all the same and flagged as not valid.
 
-Rows are dealt by conversation, sorted, and read as a stream: of a conversation of any length a worker holds one batch.
+Rows are dealt by conversation, sorted, and written as a stream: of a conversation of any length a worker holds one batch. What is
+written is read back as one text, in which a reader finds the turns by their marks alone.
 
 Defined cases: null texts and roles are empty; roles outside the template get a generic opening that names them; repeated
 rows are turns of their own; null turns come first; a null conv_id is one conversation; an empty table gives no rows.
@@ -51,23 +52,62 @@ class Template:
             opening, closing, loss = self.other[0] + self.escape(role) + self.other[1], self.other[2], False
         return [(opening, False), (self.escape(text), loss), (closing, False)]
 
+    def _opened(self, text: str, at: int) -> tuple[str, str, bool, int] | None:
+        """Role, closing, loss and start of the text of the turn that opens at ``at``; null where more text is needed to tell."""
+        for role, (opening, closing, loss) in self.roles.items():
+            if text.startswith(opening, at):
+                return role, closing, loss, at + len(opening)
+        if text.startswith(self.other[0], at):
+            cut = text.find(self.other[1], at)
+            return None if cut < 0 else (self.unescape(text[at + len(self.other[0]) : cut]), self.other[2], False, cut + len(self.other[1]))
+        rest = text[at : at + max(map(len, self.openings))]
+        if any(o.startswith(rest) for o in self.openings):
+            return None
+        raise ValueError(f"no turn at {at}")
+
+    @property
+    def openings(self) -> list[str]:
+        return [o for o, _, _ in self.roles.values()] + [self.other[0]]
+
+    def turns(self, text: str) -> tuple[list[tuple[str, str, bool]], int]:
+        """(role, text, loss) of the whole turns at the start of formatted text, and where what follows them begins."""
+        out, at = [], 0
+        while at < len(text):
+            opened = self._opened(text, at)
+            if opened is None:
+                break
+            role, closing, loss, start = opened
+            found = text.find(closing.strip(), start)
+            end = found - (len(closing) - len(closing.lstrip()))
+            if found < 0 or not text.startswith(closing, end):
+                break
+            out.append((role, self.unescape(text[start:end]), loss))
+            at = end + len(closing)
+        return out, at
+
     def read(self, formatted: str):
         """(role, text, loss) of each turn of formatted text; a ValueError tells of text outside turns."""
-        at = 0
-        while at < len(formatted):
-            for role, (opening, closing, loss) in self.roles.items():
-                if formatted.startswith(opening, at):
-                    start = at + len(opening)
-                    break
-            else:
-                if not formatted.startswith(self.other[0], at):
-                    raise ValueError(f"no turn at {at}")
-                cut = formatted.index(self.other[1], at)
-                role, closing, loss, start = self.unescape(formatted[at + len(self.other[0]) : cut]), self.other[2], False, cut + len(self.other[1])
-            mark = closing.strip()
-            end = formatted.index(mark, start) - (len(closing) - len(closing.lstrip()))
-            yield role, self.unescape(formatted[start:end]), loss
-            at = end + len(closing)
+        out, at = self.turns(formatted)
+        if at < len(formatted):
+            raise ValueError(f"no whole turn at {at}")
+        return iter(out)
+
+
+class Reader:
+    """Reads a formatted conversation that comes in pieces cut anywhere: where turns begin and end is found in the text alone."""
+
+    def __init__(self, template: Template):
+        self.template, self.rest = template, ""
+
+    def feed(self, piece: str) -> list[tuple[str, str, bool]]:
+        self.rest += piece
+        out, at = self.template.turns(self.rest)
+        self.rest = self.rest[at:]
+        return out
+
+    def close(self) -> None:
+        if self.rest:
+            raise ValueError(f"text behind the last turn: {self.rest[:40]!r}")
 
 
 #: state, role -> state; anything else goes to "wrong" for good.
@@ -114,25 +154,34 @@ def conversation_digests(conversations: DataFrame, template: Template | None = N
         state = None
 
         def row(s):
+            s["reader"].close()
             return (s["conv"], s["n"], s["turns"].hexdigest(), s["loss_chars"], s["loss"].hexdigest(), s["chars"], s["state"] == "assistant")
 
+        def read(s):
+            """What was written so far is read back as one text, whose turns the reader finds."""
+            piece = "".join(s["written"])
+            s["written"] = []
+            s["chars"] += len(piece)
+            for role, said, loss in s["reader"].feed(piece):
+                s["n"] += 1
+                s["turns"].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+                if loss:
+                    s["loss_chars"] += len(said)
+                    s["loss"].update(said.encode("utf-8", "surrogatepass"))
+                s["state"] = step(s["state"], role)
+
         for pdf in it:
             out = []
             for conv, role, text in zip(pdf["conv_id"], pdf["role"], pdf["text"], strict=True):
                 key = None if pd.isna(conv) else int(conv)
                 if state is None or state["conv"] != key:
                     if state is not None:
+                        read(state)
                         out.append(row(state))
-                    state = {"conv": key, "n": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "chars": 0, "state": "start"}
-                formatted = "".join([s for s, _ in template.segments(role, text)])
-                state["chars"] += len(formatted)
-                for said_role, said, loss in template.read(formatted):
-                    state["n"] += 1
-                    state["turns"].update(f"{said_role}\n{said}\n".encode("utf-8", "surrogatepass"))
-                    if loss:
-                        state["loss_chars"] += len(said)
-                        state["loss"].update(said.encode("utf-8", "surrogatepass"))
-                    state["state"] = step(state["state"], said_role)
+                    state = {"conv": key, "n": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "chars": 0, "state": "start", "written": [], "reader": Reader(template)}
+                state["written"] += [s for s, _ in template.segments(role, text)]
+            if state is not None:
+                read(state)
             yield pd.DataFrame(out, columns=columns).astype({"conv_id": "Int64"})
         if state is not None:
             yield pd.DataFrame([row(state)], columns=columns).astype({"conv_id": "Int64"})

@@ -390,20 +390,29 @@ def read_payloads(avis: list[dict]) -> list[tuple[bytes, np.ndarray]]:
     return out
 
 
-def detect_shots(luma: np.ndarray, bins: int = 32, deviations: float = 2.0, floor: float = 0.5) -> list[tuple[int, int]]:
-    """(first, last + 1) frames of each shot. Two frames are cut apart where their histograms differ by more than ``floor`` x pixels and mean + deviations * sd of the differences so far that were no cuts."""
+#: Differences on each side that a cut is held against.
+RADIUS = 5
+
+
+def detect_shots(luma: np.ndarray, bins: int = 32, ratio: float = 2.0, floor: float = 0.5) -> list[tuple[int, int]]:
+    """(first, last + 1) frames of each shot.
+
+    Two frames are cut apart where their histograms differ by more than ``floor`` x pixels, and by more than ``ratio`` times the
+    median of the differences around (``RADIUS`` on each side, cuts among them). So a fade or any other steady change, whose
+    differences are alike, is no row of cuts. A single frame between two alike is a flash and no shot.
+    """
     n = len(luma)
     key = (np.arange(n)[:, None] * bins + (luma.reshape(n, -1) >> 3).astype(np.int64) * bins // 32).ravel()
     hist = np.bincount(key, minlength=n * bins).reshape(n, bins)
     differ = np.abs(np.diff(hist, axis=0)).sum(axis=1)
-    cuts, m, s, q = [0], 0, 0.0, 0.0
-    for i, d in enumerate(differ.tolist(), 1):
-        mean = s / m if m else 0.0
-        sd = max(q / m - mean * mean, 0.0) ** 0.5 if m else 0.0
-        if d > floor * luma[0].size and d > mean + deviations * sd:
-            cuts.append(i)
-        else:
-            m, s, q = m + 1, s + d, q + d * d
+    least = floor * luma[0].size
+    cuts = [0]
+    for i in np.flatnonzero(differ > least).tolist():
+        around = np.concatenate([differ[max(0, i - RADIUS) : i], differ[i + 1 : i + 1 + RADIUS]])
+        if not around.size or differ[i] > ratio * np.median(around):
+            cuts.append(i + 1)
+    flashes = {c for c, d in zip(cuts[1:], cuts[2:]) if d == c + 1 and np.abs(hist[c - 1] - hist[d]).sum() <= least}
+    cuts = [c for c in cuts if c not in flashes and c - 1 not in flashes]
     return list(zip(cuts, [*cuts[1:], n], strict=True))
 
 
