@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scholia_spark.session import ship_active
+
 MAX_MACROS, MAX_BODY = 512, 400
 DEFINITION = re.compile(r"\\(newcommand|renewcommand|providecommand|DeclareMathOperator|def)(?![A-Za-z])(\*?)\s*")
 NAME = re.compile(r"\{?\s*(\\(?:[A-Za-z]+|.))\s*\}?\s*")
@@ -58,6 +60,8 @@ def macros_of(source: str | None) -> dict[str, str]:
 def macros(source: Column) -> Column:
     """X36 as a map column; null sources give an empty map."""
 
+    ship_active()
+
     @F.pandas_udf("map<string,string>")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(macros_of)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia_spark.operators.retrieval import rank_by, top
-from scholia_spark.session import drop_table, shared_table
+from scholia_spark.session import drop_table, shared_table, ship_package
 
 #: Weights of signals by event type.
 SEARCH_CATEGORY, SEARCH_KEYWORD, OPENED, ADDED, SUMMARY = 0.5, 0.25, 1.0, 3.0, 2.0
@@ -263,6 +263,7 @@ def sliding_limit(calls: DataFrame, limit: int = 60, seconds: float = 60.0) -> D
                 out.append((key, call, ok))
             yield pd.DataFrame(out, columns=["key", "call_id", "allowed"])
 
+    ship_package(calls.sparkSession)
     ordered = calls.select("key", "call_id", "t").repartition("key").sortWithinPartitions("key", "t", "call_id")
     return ordered.mapInPandas(run, "key long, call_id long, allowed boolean")
 
@@ -281,6 +282,7 @@ def fixed_limit(calls: DataFrame, limit: int, seconds: float) -> DataFrame:
                 out.append((key, call, n <= limit))
             yield pd.DataFrame(out, columns=["key", "call_id", "allowed"])
 
+    ship_package(calls.sparkSession)
     ordered = calls.select("key", "call_id", "t").repartition("key").sortWithinPartitions("key", "t", "call_id")
     return ordered.mapInPandas(run, "key long, call_id long, allowed boolean")
 

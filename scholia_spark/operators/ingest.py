@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia_spark.session import ship_active, ship_package
+
 
 def dedup_decisions(arrivals: DataFrame) -> DataFrame:
     """D1, D2 for arrivals in their order: NEW, STALE, DUPLICATE or CHANGED.
@@ -122,6 +124,7 @@ def chunk_papers(papers: DataFrame, max_chars: int = 2400, overlap: int = 240, c
                 rows += [(paper, i, s, t, len(pieces) > cap) for i, (s, t) in enumerate(pieces[:cap])]
             yield pd.DataFrame(rows, columns=["paper_id", "ordinal", "section", "text", "truncated"])
 
+    ship_package(papers.sparkSession)
     return papers.select("paper_id", "abstract", "body").mapInPandas(run, "paper_id string, ordinal int, section string, text string, truncated boolean")
 
 
@@ -145,6 +148,7 @@ def pack_blocks(blocks: DataFrame, max_chars: int = 1200) -> DataFrame:
             out.append(now)
         return pd.DataFrame([(pdf["paper_id"].iloc[0], i, s, n, b) for i, (s, n, b) in enumerate(out)], columns=["paper_id", "ordinal", "section_id", "chars", "block_refs"])
 
+    ship_package(blocks.sparkSession)
     return blocks.groupBy("paper_id").applyInPandas(pack, "paper_id string, ordinal int, section_id string, chars int, block_refs array<string>")
 
 
@@ -200,6 +204,8 @@ def html_to_text(pages: DataFrame) -> DataFrame:
         lines = [re.sub(r"[ \t\f\v\xa0]+", " ", line).strip() for line in "".join(r.parts).split("\n")]
         return "\n".join(line for line in lines if line)
 
+    ship_active()
+
     @F.pandas_udf("string")
     def text(html: pd.Series) -> pd.Series:
         return html.map(convert)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scholia_spark.functions import patterns
 from scholia_spark.functions.unicode import PARTICLES, particle
+from scholia_spark.session import ship_active, ship_package
 
 #: What refinement reports of a body: column -> pattern.
 FOUND = {"captions": re.compile(patterns.CAPTION), "formulas": re.compile(patterns.FORMULA), "preserved": re.compile(patterns.PRESERVED)}
@@ -43,6 +44,8 @@ def refine_text(raw: str | None) -> dict:
 def refine(raw: Column) -> Column:
     """Struct of REFINED."""
 
+    ship_active()
+
     @F.pandas_udf(REFINED)
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([refine_text(x) for x in texts], columns=["body", "captions", "formulas", "preserved", "sections", "token_count"])
@@ -76,6 +79,7 @@ def map_reduce_chunks(docs: DataFrame, budget: int = 30_000, overlap: int = 2_00
                 rows += [(doc, i, w, _tokens(w)) for i, w in enumerate(cut)]
             yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "body", "token_count"])
 
+    ship_package(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ordinal int, body string, token_count long")
 
 
@@ -93,6 +97,7 @@ def segment_batches(segments: DataFrame, budget: int = 3_500) -> DataFrame:
         return pdf[["doc_id", "ord"]].assign(batch=out)
 
     sized = segments.select("doc_id", "ord", F.greatest(F.lit(1), F.floor(F.length(F.coalesce("text", F.lit(""))) / 4)).cast("long").alias("n"))
+    ship_package(sized.sparkSession)
     return sized.groupBy("doc_id").applyInPandas(run, "doc_id long, ord long, batch int")
 
 
@@ -127,6 +132,8 @@ def mask_terms(terms: list[str]):
                 planted.append(i)
         return text or "", sorted(planted)
 
+    ship_active()
+
     @F.pandas_udf("text string, planted array<int>")
     def mask(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(t) for t in text], columns=["text", "planted"])
@@ -149,6 +156,8 @@ def render_terms(forms: list[str]):
 
         return RESIDUE.sub("", TOKEN.sub(put, text or "")), sorted(seen)
 
+    ship_active()
+
     @F.pandas_udf("text string, seen array<int>")
     def render(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(t) for t in text], columns=["text", "seen"])
@@ -189,6 +198,8 @@ def resolve_glossary(seed: DataFrame, overrides: DataFrame) -> DataFrame:
 def glossary_signatures(overrides: DataFrame) -> DataFrame:
     """Per user a number of 48 bits that names the enforced overrides; 0 without any. A user's list is short."""
 
+    ship_active()
+
     @F.pandas_udf("long")
     def sign(pairs: pd.Series) -> pd.Series:
         def one(p):

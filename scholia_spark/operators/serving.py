@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia_spark.operators.retrieval import rank_by
+from scholia_spark.session import ship_package
 
 
 def scoped(chunks: DataFrame, years: tuple[int | None, int | None] = (None, None), abstract_only: bool = False) -> DataFrame:
@@ -131,26 +132,34 @@ def lacks_counter_probe(kind: Column, probes: Column, affordable: Column) -> Col
 
 
 def tool_call_budget(calls: DataFrame, total: int, per_tool: dict[str, int], cost_cap: float) -> DataFrame:
-    """Calls (job_id, seq, tool, cost) in order; refused ones use nothing. Checks: total, tool, cost. One job's trace is bounded by its iterations."""
+    """Calls (job_id, seq, tool, cost) in order; refused ones use nothing. Checks: total, tool, cost.
+
+    Jobs stream in the order of their calls; the state of a job is a count a tool and what it spent. Null jobs are one job.
+    """
     import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, spent, out = {}, 0.0, []
-        pdf = pdf.sort_values("seq")
-        for tool, cost in zip(pdf["tool"], pdf["cost"], strict=True):
-            if sum(used.values()) >= total:
-                out.append("tool_calls_exhausted")
-            elif used.get(tool, 0) >= per_tool.get(tool, total):
-                out.append("tool_cap_exhausted")
-            elif spent >= cost_cap:
-                out.append("cost_exhausted")
-            else:
-                used[tool] = used.get(tool, 0) + 1
-                spent += cost
-                out.append("ok")
-        return pdf[["job_id", "seq"]].assign(verdict=out)
-
-    return calls.select("job_id", "seq", "tool", "cost").groupBy("job_id").applyInPandas(run, "job_id long, seq long, verdict string")
+    def run(it):
+        now, used, spent = object(), {}, 0.0
+        for pdf in it:
+            out = []
+            for job, seq, tool, cost in zip(pdf["job_id"], pdf["seq"], pdf["tool"], pdf["cost"], strict=True):
+                job = None if pd.isna(job) else int(job)
+                if job != now:
+                    now, used, spent = job, {}, 0.0
+                if sum(used.values()) >= total:
+                    verdict = "tool_calls_exhausted"
+                elif used.get(tool, 0) >= per_tool.get(tool, total):
+                    verdict = "tool_cap_exhausted"
+                elif spent >= cost_cap:
+                    verdict = "cost_exhausted"
+                else:
+                    used[tool], spent, verdict = used.get(tool, 0) + 1, spent + cost, "ok"
+                out.append((job, seq, verdict))
+            yield pd.DataFrame(out, columns=["job_id", "seq", "verdict"]).astype({"job_id": "Int64"})
+
+    ship_package(calls.sparkSession)
+    ordered = calls.select("job_id", "seq", "tool", "cost").repartition("job_id").sortWithinPartitions("job_id", "seq")
+    return ordered.mapInPandas(run, "job_id long, seq long, verdict string")
 
 
 def last_observations(observations: DataFrame, keep: int = 6) -> DataFrame:

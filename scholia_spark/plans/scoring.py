@@ -55,16 +55,16 @@ def t13_routed_incidents(spark, d):
     return S.routed_incidents(table(spark, d, "events").select("event_id", _pick(i, "usage", "grounding", "partial_result", "other").alias("kind"), "ts", F.abs("value").alias("amount"), (i % 120).alias("uses"), F.lit(None).cast("bigint").alias("request_id"), _pick(i, "pass", "abstain", "block").alias("verdict"), reason.alias("reason")), 400.0)
 
 
-@query("""WITH RECURSIVE q AS (SELECT user_id AS owner_id, event_id AS seq, event_id * 37 % 5000 AS due, event_id % 8 AS amount, row_number() OVER (PARTITION BY user_id ORDER BY event_id * 37 % 5000, event_id) AS n FROM events),
+@query("""WITH RECURSIVE q AS (SELECT user_id AS owner_id, event_id AS seq, epoch_us(ts) / 1000000.0::DOUBLE - 1704067200 AS due, floor(abs(value))::BIGINT % 8 AS amount, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 s AS (SELECT DISTINCT owner_id, 0::BIGINT AS seq, 0::BIGINT AS n, 0.0::DOUBLE AS granted, 5.0::DOUBLE AS held, 0.0::DOUBLE AS clock FROM q
-UNION ALL SELECT owner_id, seq, n, CASE WHEN amount = 0 THEN due ELSE t + greatest(0, amount - have) / 0.02::DOUBLE END, CASE WHEN amount = 0 THEN held ELSE greatest(0, have - amount) END, CASE WHEN amount = 0 THEN clock ELSE t + greatest(0, amount - have) / 0.02::DOUBLE END
- FROM (SELECT q.*, s.held, s.clock, greatest(q.due, s.clock) AS t, least(5.0::DOUBLE, s.held + (greatest(q.due, s.clock) - s.clock) * 0.02::DOUBLE) AS have FROM s JOIN q ON q.owner_id = s.owner_id AND q.n = s.n + 1))
-SELECT owner_id, seq, round(granted, 4) AS granted_at FROM s WHERE n > 0""")
+UNION ALL SELECT owner_id, seq, n, CASE WHEN amount = 0 THEN due ELSE t + greatest(0, amount - have) / 0.0001::DOUBLE END, CASE WHEN amount = 0 THEN held ELSE greatest(0, have - amount) END, CASE WHEN amount = 0 THEN clock ELSE t + greatest(0, amount - have) / 0.0001::DOUBLE END
+ FROM (SELECT q.*, s.held, s.clock, greatest(q.due, s.clock) AS t, least(5.0::DOUBLE, s.held + (greatest(q.due, s.clock) - s.clock) * 0.0001::DOUBLE) AS have FROM s JOIN q ON q.owner_id = s.owner_id AND q.n = s.n + 1))
+SELECT owner_id, seq, round(granted, 2) AS granted_at FROM s WHERE n > 0""")
 def t16_token_bucket(spark, d):
-    """Two running windows against a loop over the requests."""
-    i = F.col("event_id")
-    asked = table(spark, d, "events").select(F.col("user_id").alias("owner_id"), i.alias("seq"), (i * 37 % 5000).alias("at"), (i % 8).alias("amount"))
-    return S.token_bucket(asked, 0.02, 5.0).select("owner_id", "seq", F.round("granted_at", 4).alias("granted_at"))
+    """When each event of a user gets its tokens at the events' own times; two running windows against a loop over them."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000 - 1_704_067_200  # seconds of the year
+    asked = table(spark, d, "events").select(F.col("user_id").alias("owner_id"), F.col("event_id").alias("seq"), at.alias("at"), (F.floor(F.abs("value")).cast("long") % 8).alias("amount"))
+    return S.token_bucket(asked, 0.0001, 5.0).select("owner_id", "seq", F.round("granted_at", 2).alias("granted_at"))
 
 
 @query("SELECT 'p' || user_id AS paper_id, count(*) AS chunks FROM events WHERE 'p' || user_id > 'p2' GROUP BY 1 ORDER BY 1 LIMIT 20")

@@ -31,6 +31,13 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def ship_active() -> None:
+    """The same for the active session, by functions that make column expressions."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship_package(spark)
+
+
 #: Bytes of a text table that is dealt out anew where it has fewer files than there are cores.
 SPREAD_FROM, SPREAD_TO = 4 << 20, 256 << 20
 
