@@ -154,8 +154,9 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, ids array<int>, decoded string")
 
 
-def digest_documents(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; ``with_ids`` adds ids array<int>."""
+def digest_documents(docs: DataFrame, path: str, with_ids: bool = False, keep_words: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; ``with_ids`` adds ids array<int>. Without ``keep_words`` a worker
+    drops its table of encoded words at the end of a task, for jobs whose other stages need the memory."""
     shared.bound_batches(docs.sparkSession)
     shipped = _shipped(docs, path)
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
@@ -175,6 +176,8 @@ def digest_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                     ids.append(np.array(said.split(" ") if said else [], np.int32))
             out = pd.DataFrame({"doc_id": pdf["doc_id"]}).assign(**{c: [r[k] for r in rows] for k, c in enumerate(names)})
             yield out.assign(ids=pd.Series(ids, dtype=object)) if with_ids else out
+        if not keep_words:
+            bpe.words.clear()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, schema)
