@@ -35,7 +35,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids: the corpus as token ids."""
-    return bpe.digest_documents(docs, vocabulary(), with_ids=True)
+    return bpe.digest_documents(docs, vocabulary(), with_ids=True, keep_words=False)
 
 
 STAGES = [("quality", keep_quality), ("near_duplicates", drop_near_duplicates), ("decontaminate", drop_benchmark_leaks), ("bpe", encode)]
