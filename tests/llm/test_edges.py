@@ -19,7 +19,7 @@ ODD = {
     "labels": [(i, i % 2, None) for i in range(12)] + [(3, None, None), (None, 1, 1)],
     "conversations": [(1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 0, None, None), (3, None, "user", "x"), (4, 0, "assistant", "</s>")],
 }
-CLASHING = "score predicted shard hash _n tokens size label held_out n component_id ids bucket payload features group rank h w item _score _predicted _place place _id _h _key low own band piece reading conv turns clips grp idx name digest tampered subroot root leaf m bag first docs class_id above toxic share".split()
+CLASHING = "score predicted shard hash _n tokens size label held_out n component_id ids bucket payload features group rank h w item _score _predicted _place place _id _h _key low own band piece reading conv turns clips grp idx name digest tampered subroot root leaf m bag first docs class_id above share".split()
 ROWS = {"op1": 21, "op2": 21, "op4": 21, "op5": 21, "op8": 21, "op10": 21, "op12": 21, "op13": 21, "op6": 5, "op3": 5}
 
 
