@@ -93,9 +93,12 @@ def scope_clamp(claimed: Column, obtained: Column) -> Column:
 
 
 def lookup_by_keys(requests: DataFrame, keys: list[Column], stored: DataFrame, key: str, best: Column) -> DataFrame:
-    """A row with several keys meets the stored rows by equality on any; the best one stays. requests: request_id."""
-    each = requests.select("request_id", F.explode(F.array_compact(F.array(*keys))).alias(key)).distinct()
-    hits = each.join(stored.withColumn("_best", best), key)
+    """A row with several keys meets the stored rows by equality on any; the best one stays. requests: request_id.
+
+    The best row of a key is the same for all that ask by it, so stored rows are reduced to one a key before they meet."""
+    each = requests.select("request_id", F.explode(F.array_compact(F.array(*keys))).alias(key))
+    first = stored.withColumn("_best", best).groupBy(key).agg(F.min(F.struct("_best", "state_id")).alias("_first")).select(key, "_first.*")
+    hits = each.join(first, key)
     return hits.groupBy("request_id").agg(F.min_by("state_id", F.struct("_best", "state_id")).alias("state_id"))
 
 
