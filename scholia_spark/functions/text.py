@@ -160,7 +160,7 @@ def final_jamo(term: Column) -> Column:
 def _placed(index: Column) -> Column:
     """Words of a map word -> positions, as structs (position, number of the entry, word) in order."""
     pairs = F.transform(F.map_entries(index), lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w"))))
-    return F.array_sort(F.flatten(pairs))
+    return F.sort_array(F.flatten(pairs))
 
 
 def inverted_text(index: Column) -> Column:
@@ -170,6 +170,7 @@ def inverted_text(index: Column) -> Column:
 
 def inverted_text_of_slots(index: Column) -> Column:
     """SRC20: one word a position; of words at one position that of the later entry stays."""
-    placed = _placed(index)
-    last = F.filter(placed, lambda s, k: ~F.coalesce(F.get(placed, k + 1)["p"] == s["p"], F.lit(False)))
-    return F.array_join(F.transform(last, lambda s: s["w"]), " ")
+    last = lambda s, t: F.when(t.isNull() | (s["p"] != t["p"]), s["w"])
+    # as the variable of a lambda the array is built once; named inside one it would be built anew for each element
+    words = F.transform(F.array(_placed(index)), lambda a: F.zip_with(a, F.slice(a, F.lit(2), F.size(a)), last))
+    return F.array_join(words[0], " ")

@@ -116,10 +116,10 @@ def src19_inverted_abstract(spark, d):
 f AS (SELECT *, min(pos) OVER (PARTITION BY doc_id, word) AS entry FROM w), s AS (SELECT doc_id, pos // 2 AS slot, arg_max(word, entry) AS word FROM f GROUP BY ALL)
 SELECT doc_id, string_agg(word, ' ' ORDER BY slot) AS abstract FROM s GROUP BY doc_id""")
 def src20_one_word_a_position(spark, d):
-    """SRC20: two neighbours share a position, and the later entry of the map stays."""
-    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.array_remove(F.split("text", r"\s+"), "")).alias("p", "w"))
+    """SRC20: two neighbours share a position, and the later entry of the map stays. Texts are dealt by id once, as for SRC19."""
+    words = table(spark, d, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.array_remove(F.split("text", r"\s+"), "")).alias("p", "w"))
     entry = words.groupBy("doc_id", "w").agg(F.min("p").alias("first"), F.collect_set(F.expr("(p + 1) div 2")).alias("at"))
-    entries = entry.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "w", "at"))).alias("e"))
+    entries = entry.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "w", "at"))).alias("e"))
     index = F.map_from_entries(F.transform("e", lambda x: F.struct(x["w"], x["at"])))
     return entries.select("doc_id", text.inverted_text_of_slots(index).alias("abstract"))
 
