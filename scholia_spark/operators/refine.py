@@ -86,19 +86,22 @@ def map_reduce_chunks(docs: DataFrame, budget: int = 30_000, overlap: int = 2_00
 def segment_batches(segments: DataFrame, budget: int = 3_500) -> DataFrame:
     """Segments (doc_id, ord, text) numbered by batch in order; a segment over the budget has a batch of its own."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        batch, used, out = 0, 0, []
-        for n in pdf["n"]:
-            if used and used + n > budget:
-                batch, used = batch + 1, 0
-            used += n
-            out.append(batch)
-        return pdf[["doc_id", "ord"]].assign(batch=out)
+    def run(batches):
+        doc, batch, used = None, 0, 0
+        for pdf in batches:
+            out = []
+            for d, n in zip(pdf["doc_id"], pdf["n"], strict=True):
+                if d != doc:
+                    doc, batch, used = d, 0, 0
+                if used and used + n > budget:
+                    batch, used = batch + 1, 0
+                used += n
+                out.append(batch)
+            yield pdf[["doc_id", "ord"]].assign(batch=out)
 
     sized = segments.select("doc_id", "ord", F.greatest(F.lit(1), F.floor(F.length(F.coalesce("text", F.lit(""))) / 4)).cast("long").alias("n"))
     ship_package(sized.sparkSession)
-    return sized.groupBy("doc_id").applyInPandas(run, "doc_id long, ord long, batch int")
+    return sized.repartition("doc_id").sortWithinPartitions("doc_id", "ord").mapInPandas(run, "doc_id long, ord long, batch int")
 
 
 #: Whether the Korean reading of a kept English term ends in a consonant.
