@@ -144,11 +144,21 @@ def capped_selection(candidates: DataFrame, target: int, share: float = 0.15) ->
 
 
 def conflict_map(refs: DataFrame) -> DataFrame:
-    """G1: claim n conflicts with the other claims whose supporting papers it names as conflicting. refs: answer_id, n, side, paper_id."""
-    con = refs.where("side = 'conflict'").select("answer_id", "n", "paper_id").distinct()
-    pro = refs.where("side = 'support'").select("answer_id", F.col("n").alias("m"), "paper_id").distinct()
-    hits = con.join(pro, ["answer_id", "paper_id"]).where("n <> m")
-    return hits.groupBy("answer_id", "n").agg(F.array_sort(F.collect_set("m")).alias("conflicts_with"))
+    """G1: claim n conflicts with the other claims whose supporting papers it names as conflicting. refs: answer_id, n, side, paper_id.
+
+    Claims of an answer that name the same papers have the same list, so a list is gathered once a set of papers and only then
+    given to its claims: no pair of claims is made or shuffled. What is left to grow with the square is the lists themselves.
+    """
+    refs = refs.where("answer_id IS NOT NULL AND n IS NOT NULL AND paper_id IS NOT NULL")
+    named = F.array_sort(F.collect_set("paper_id")).alias("papers")
+    con = refs.where("side = 'conflict'").groupBy("answer_id", "n").agg(named)
+    pro = refs.where("side = 'support'").select("answer_id", F.col("n").alias("m"), "paper_id")
+    sets = con.select("answer_id", "papers").distinct().withColumn("paper_id", F.explode("papers"))
+    lists = sets.join(pro, ["answer_id", "paper_id"]).groupBy("answer_id", "papers").agg(F.array_sort(F.collect_set("m")).alias("all"))
+    # few bytes go in and long lists come out, so the number of tasks stays as set and neither side is sent to all
+    dealt = con.repartition(int(con.sparkSession.conf.get("spark.sql.shuffle.partitions")), "answer_id", "papers")
+    hits = dealt.join(lists.hint("merge"), ["answer_id", "papers"]).where((F.size("all") > 1) | (F.get("all", F.lit(0)) != F.col("n")))
+    return hits.select("answer_id", "n", F.array_remove("all", F.col("n")).alias("conflicts_with"))
 
 
 def stale_chunks(indexed: DataFrame, expected: DataFrame) -> DataFrame:
